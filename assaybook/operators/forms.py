@@ -43,6 +43,13 @@ def _form_struct(form: str) -> str:
     return ", ".join(f"`{k}` {v}" for k, v in fields.items())
 
 
+def _tick(field: str, text: Column):
+    return lambda code: F.struct(
+        F.lit(field).alias("field"), code.alias("code"),
+        F.when(code == "other", text).alias("free_text"),
+    )
+
+
 def _ticks(form: str, parsed: Column) -> Column:
     """array<struct<field, code, free_text>> of one parsed form."""
     raw_text = form == "SKIN_SCRAPING"  # this form prints the free text untrimmed
@@ -53,13 +60,8 @@ def _ticks(form: str, parsed: Column) -> Column:
     parts = []
     for group, (other, _) in spec.TICKS.get(form, {}).items():
         text = free(other) if other else F.lit(None).cast("string")
-        parts.append(F.transform(
-            F.coalesce(F.array_distinct(parsed[group]), F.array().cast("array<string>")),
-            lambda code, g=group, t=text: F.struct(
-                F.lit(g).alias("field"), code.alias("code"),
-                F.when(code == "other", t).alias("free_text"),
-            ),
-        ))
+        codes = F.coalesce(F.array_distinct(parsed[group]), F.array().cast("array<string>"))
+        parts.append(F.transform(codes, _tick(group, text)))
     for field, (text, owner, _) in spec.CHOICES.get(form, {}).items():
         value = free(text) if text else F.lit(None).cast("string")
         parts.append(F.array(F.struct(

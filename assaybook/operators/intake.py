@@ -119,10 +119,9 @@ def _child_reason() -> Column:
     """Child faults visible inside the body: repeats, unreadable ids, over-long texts."""
     results = F.coalesce(F.col("_results"), F.array().cast(_RESULTS))
     ids = F.transform(results, lambda r: r["parameter_id"])
-    long = reduce(lambda a, b: a | b, [
-        F.exists(results, lambda r, c=c, n=n: F.coalesce(F.length(r[c]) > n, F.lit(False)))
-        for c, n in RESULT_TEXT_LIMITS.items()
-    ])
+    long = F.exists(results, lambda r: reduce(lambda a, b: a | b, [
+        F.coalesce(F.length(r[c]) > n, F.lit(False)) for c, n in RESULT_TEXT_LIMITS.items()
+    ]))
     return F.coalesce(
         F.when(F.size(F.array_distinct("_panels")) < F.size("_panels"), "duplicate_panel"),
         F.when(F.exists(ids, lambda i: i.isNull()), "bad_parameter_id"),
