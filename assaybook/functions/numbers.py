@@ -5,9 +5,10 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import or_null, trim
+from .text import SPACE_CLASS, or_null, trim
 
-DECIMAL = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?\z"
+_DECIMAL = r"[+-]?(?:[0-9]+\.?[0-9]*|\.[0-9]+)(?:[eE][+-]?[0-9]+)?"
+DECIMAL = rf"^{_DECIMAL}\z"
 
 
 def js_number(c: Column) -> Column:
@@ -51,10 +52,10 @@ def to_active(c: Column, fallback: Column | int = 1) -> Column:
 
 
 def to_id(c: Column) -> Column:
-    """Id text to whole number; 0, blank and non-numbers are null."""
-    n = js_number(c)
-    usable = (n != 0) & (F.abs(n) < 9.0e15)
-    return F.when(usable, F.rint(n)).try_cast("bigint")
+    """Id text to whole number; 0, blank and non-numbers are null. Decimal notation only, so
+    that the rule stays one short expression per list entry."""
+    digits = F.regexp_extract(c, rf"^{SPACE_CLASS}*({_DECIMAL}){SPACE_CLASS}*\z", 1)
+    return F.rint(F.nullif(digits.try_cast("double"), F.lit(0.0))).try_cast("bigint")
 
 
 def clean_ids(ids: Column) -> Column:

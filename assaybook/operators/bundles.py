@@ -8,7 +8,7 @@ reports come out as exactly one record with part 0.
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -55,7 +55,7 @@ def _sorted_items(order: Sequence[str], item: Column, when: Column | None = None
     return F.transform(F.array_sort(entries), lambda e: e["item"])
 
 
-def _with_result_rows(tables: dict[str, DataFrame], headers: DataFrame) -> DataFrame:
+def _with_result_rows(tables: Mapping[str, DataFrame], headers: DataFrame) -> DataFrame:
     """Selected panels with their results, ranges resolved for the report's species."""
     results = report_result_details(tables["lab_report_results"], tables["lab_test_parameters"])
     panels = report_panel_details(tables["lab_report_panels"], tables["lab_test_panels"])
@@ -65,7 +65,7 @@ def _with_result_rows(tables: dict[str, DataFrame], headers: DataFrame) -> DataF
 
 
 def report_bundles(
-    tables: dict[str, DataFrame],
+    tables: Mapping[str, DataFrame],
     reports: DataFrame | None = None,
     max_items: int = MAX_ITEMS,
 ) -> DataFrame:
@@ -162,7 +162,7 @@ def catalog_bundles(
 
 
 def report_drafts(
-    tables: dict[str, DataFrame],
+    tables: Mapping[str, DataFrame],
     as_of: Column,
     reports: DataFrame | None = None,
     max_items: int = MAX_ITEMS,

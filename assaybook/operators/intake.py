@@ -6,6 +6,7 @@ bad child is refused whole. Bodies carry `seq`, their arrival number.
 
 from __future__ import annotations
 
+from collections.abc import Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -18,6 +19,7 @@ from ..functions.text import or_null, trim
 from ..schemas import (
     MAX_IMAGES, MAX_UPDATE_PANELS, MAX_UPDATE_RESULTS, RESULT_TEXT_LIMITS, TEXT_LIMITS, conform,
 )
+from ..sources.tables import Tables, changed
 from .forms import last_writes, replace_forms
 from .numbering import last_number, next_id, report_no, running_totals
 
@@ -133,7 +135,7 @@ def _child_reason() -> Column:
 _RESULTS = "array<struct<parameter_id:bigint,value:string,flag:string,remarks:string>>"
 
 
-def _missing_parents(bodies: DataFrame, tables: dict[str, DataFrame]) -> DataFrame:
+def _missing_parents(bodies: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
     """(seq, reason) of bodies naming a panel or parameter that does not exist."""
     bad = []
     for ids, table, reason in (
@@ -152,7 +154,7 @@ def _missing_parents(bodies: DataFrame, tables: dict[str, DataFrame]) -> DataFra
 
 
 def _checked(
-    payloads: DataFrame, validated: DataFrame, tables: dict[str, DataFrame], mode: str, as_of: str
+    payloads: DataFrame, validated: DataFrame, tables: Mapping[str, DataFrame], mode: str, as_of: str
 ) -> tuple[DataFrame, DataFrame]:
     """(coerced bodies with child lists, (seq, reject_reason) of refused ones)."""
     rows = validated.withColumns(_children(mode))
@@ -169,8 +171,14 @@ def _checked(
     return good, rows.filter(F.col("reject_reason").isNotNull()).select("seq", "reject_reason")
 
 
-def _child_rows(bodies: DataFrame, column: str, start: str, fields: dict[str, Column]) -> DataFrame:
+RESULT_FIELDS = ("parameter_id", "value", "flag", "remarks")
+
+
+def _child_rows(bodies: DataFrame, column: str, start: str) -> DataFrame:
     """One row per list entry, with ids counted on from the body's `start`."""
+    fields = {"panel_id": F.col("col")} if column == "_panels" else {
+        f: F.col("col")[f] for f in RESULT_FIELDS
+    }
     return bodies.select("report_id", F.col(start).alias("_start"), F.posexplode(column)).select(
         (F.col("_start") + F.col("pos")).alias("id"), "report_id",
         *[c.alias(n) for n, c in fields.items()],
@@ -234,7 +242,7 @@ def attach_images(images: DataFrame, requests: DataFrame, mode: str) -> DataFram
 
 
 def accept_creates(
-    tables: dict[str, DataFrame], payloads: DataFrame, as_of: str
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted bodies with report_id, report_no and the first id of each child list, refused
     (seq, reject_reason)). All six outputs of a create derive from the accepted bodies, so a job
@@ -259,24 +267,31 @@ def accept_creates(
     }).drop("_n_report"), rejects
 
 
-def created_rows(accepted: DataFrame, as_of: str, user_id: int) -> dict[str, DataFrame]:
+def created_rows(accepted: DataFrame, as_of: str, user_id: int) -> Tables:
     """The added rows of the header, panel, result and form tables."""
     now = F.lit(as_of).cast("timestamp_ntz")
-    header = accepted.withColumns({
-        "id": F.col("report_id"), "created_by": F.lit(user_id).cast("bigint"),
-        "created_at": now, "updated_at": now,
+
+    def headers() -> DataFrame:
+        return conform(accepted.withColumns({
+            "id": F.col("report_id"), "created_by": F.lit(user_id).cast("bigint"),
+            "created_at": now, "updated_at": now,
+        }), "lab_reports")
+
+    def forms() -> DataFrame:
+        last = last_writes(_form_writes(accepted))
+        starts = accepted.select("report_id", "_n_forms")
+        # codes that only differ in case or beyond 40 characters fall together, leaving id gaps
+        return last.join(starts, "report_id").select(
+            (F.col("_n_forms") + F.col("pos")).alias("id"), "report_id", "form_code", "form_json",
+            now.alias("updated_at"),
+        )
+
+    return Tables({
+        "lab_reports": headers,
+        "lab_report_panels": lambda: _child_rows(accepted, "_panels", "_n_panels"),
+        "lab_report_results": lambda: _child_rows(accepted, "_results", "_n_results"),
+        "lab_report_forms": forms,
     })
-    forms = last_writes(_form_writes(accepted))
-    starts = accepted.select("report_id", "_n_forms")
-    # codes that only differ in case or beyond 40 characters fall together, leaving id gaps
-    forms = forms.join(starts, "report_id").withColumn("id", F.col("_n_forms") + F.col("pos"))
-    return {
-        "lab_reports": conform(header, "lab_reports"),
-        **_new_children(accepted),
-        "lab_report_forms": forms.select(
-            "id", "report_id", "form_code", "form_json", now.alias("updated_at")
-        ),
-    }
 
 
 def attachments(bodies: DataFrame) -> DataFrame:
@@ -287,27 +302,16 @@ def attachments(bodies: DataFrame) -> DataFrame:
 
 
 def apply_creates(
-    tables: dict[str, DataFrame], payloads: DataFrame, as_of: str, user_id: int
-) -> tuple[dict[str, DataFrame], DataFrame]:
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str, user_id: int
+) -> tuple[Tables, DataFrame]:
     """Valid bodies become reports: (next tables, refused (seq, reject_reason))."""
     accepted, rejects = accept_creates(tables, payloads, as_of)
-    out = dict(tables)
-    for name, rows in created_rows(accepted, as_of, user_id).items():
-        out[name] = tables[name].unionByName(rows)
-    out["lab_report_images"] = attach_images(
+    new = created_rows(accepted, as_of, user_id)
+    following = {n: (lambda n=n: tables[n].unionByName(new[n])) for n in new}
+    following["lab_report_images"] = lambda: attach_images(
         tables["lab_report_images"], attachments(accepted), "create"
     )
-    return out, rejects
-
-
-def _new_children(placed: DataFrame) -> dict[str, DataFrame]:
-    entry = F.col("col")
-    return {
-        "lab_report_panels": _child_rows(placed, "_panels", "_n_panels", {"panel_id": entry}),
-        "lab_report_results": _child_rows(placed, "_results", "_n_results", {
-            f: entry[f] for f in ("parameter_id", "value", "flag", "remarks")
-        }),
-    }
+    return changed(tables, following), rejects
 
 
 def _form_writes(bodies: DataFrame) -> DataFrame:
@@ -321,11 +325,14 @@ def _form_writes(bodies: DataFrame) -> DataFrame:
 
 
 def apply_updates(
-    tables: dict[str, DataFrame], payloads: DataFrame, as_of: str
-) -> tuple[dict[str, DataFrame], DataFrame]:
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str
+) -> tuple[Tables, DataFrame]:
     """Bodies with report_id replace the header, and each child list that is present: a missing
     list keeps the stored rows, an empty one clears them. Of several bodies for a report the
-    last one counts, separately for the header and for each child list."""
+    last one counts, separately for the header and for each child list.
+
+    Every output derives from the accepted bodies; a job that writes them all reads the bodies
+    from a stored table."""
     good, rejects = _checked(
         payloads, validate_update(payloads, tables["lab_reports"]), tables, "update", as_of
     )
@@ -335,19 +342,17 @@ def apply_updates(
         "patient_name", "owner_phone", "pet_name", "species", "breed", "age", "sex",
         "referring_vet", "sample_date", "report_date", "clinical_notes", "remarks", "status",
     ]
-    last = good.groupBy("report_id").agg(
-        F.max_by(F.struct(*header_columns), "seq").alias("_h")
-    ).withColumnRenamed("report_id", "id")
-    reports = tables["lab_reports"].join(last, "id", "left")
-    hit = F.col("_h").isNotNull()
-    out = dict(tables)
-    out["lab_reports"] = reports.withColumns({
-        **{
-            c: F.when(hit, F.col(f"_h.{c}")).otherwise(F.col(c))
-            for c in header_columns
-        },
-        "updated_at": F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(F.col("updated_at")),
-    }).select(*tables["lab_reports"].columns)
+    def headers() -> DataFrame:
+        last = good.groupBy(F.col("report_id").alias("id")).agg(
+            F.max_by(F.struct(*header_columns), "seq").alias("_h")
+        )
+        hit = F.col("_h").isNotNull()
+        new = {c: F.when(hit, F.col(f"_h.{c}")).otherwise(F.col(c)) for c in header_columns}
+        new["updated_at"] = F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(
+            F.col("updated_at")
+        )
+        reports = tables["lab_reports"]
+        return reports.join(last, "id", "left").withColumns(new).select(*reports.columns)
 
     def latest(column: str) -> DataFrame:
         """Last present list per report."""
@@ -361,23 +366,22 @@ def apply_updates(
         start = running_totals(lists, ["seq"], {"_n": F.size(column)}).withColumn(
             "_n", next_id(tables[name]) + F.col("_n")
         )
-        fields = {"panel_id": F.col("col")} if column == "_panels" else {
-            f: F.col("col")[f] for f in ("parameter_id", "value", "flag", "remarks")
-        }
-        added = _child_rows(start, column, "_n", fields)
-        return kept.select(*tables[name].columns).unionByName(added)
-
-    out["lab_report_panels"] = replaced("lab_report_panels", "_panels")
-    out["lab_report_results"] = replaced("lab_report_results", "_results")
-    out["lab_report_images"] = attach_images(
-        tables["lab_report_images"],
-        attachments(good),
-        "update",
-    )
-    form_lists = latest("_forms")
-    writes = _form_writes(form_lists).withColumn("ts", F.lit(as_of).cast("timestamp_ntz"))
-    out["lab_report_forms"] = replace_forms(tables["lab_report_forms"], writes, form_lists)
-    return out, rejects
+        return kept.select(*tables[name].columns).unionByName(_child_rows(start, column, "_n"))
+
+    def forms() -> DataFrame:
+        lists = latest("_forms")
+        writes = _form_writes(lists).withColumn("ts", F.lit(as_of).cast("timestamp_ntz"))
+        return replace_forms(tables["lab_report_forms"], writes, lists)
+
+    return changed(tables, {
+        "lab_reports": headers,
+        "lab_report_panels": lambda: replaced("lab_report_panels", "_panels"),
+        "lab_report_results": lambda: replaced("lab_report_results", "_results"),
+        "lab_report_images": lambda: attach_images(
+            tables["lab_report_images"], attachments(good), "update"
+        ),
+        "lab_report_forms": forms,
+    }), rejects
 
 
 # -- delete --------------------------------------------------------------------------------
@@ -387,43 +391,49 @@ def _without(df: DataFrame, ids: DataFrame, column: str, key: str) -> DataFrame:
     return df.join(ids.select(F.col(key).alias(column)), column, "left_anti").select(*df.columns)
 
 
-def delete_reports(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+def delete_reports(tables: Mapping[str, DataFrame], ids: DataFrame) -> Tables:
     """ids(report_id): the reports and everything that belongs to them."""
-    out = dict(tables)
-    out["lab_reports"] = _without(tables["lab_reports"], ids, "id", "report_id")
-    for name in (
-        "lab_report_panels", "lab_report_results", "lab_report_images", "lab_report_forms",
-    ):
-        out[name] = _without(tables[name], ids, "report_id", "report_id")
-    return out
+    columns = {"lab_reports": "id"} | dict.fromkeys(
+        ("lab_report_panels", "lab_report_results", "lab_report_images", "lab_report_forms"),
+        "report_id",
+    )
+    return changed(tables, {
+        n: (lambda n=n, c=c: _without(tables[n], ids, c, "report_id")) for n, c in columns.items()
+    })
 
 
-def delete_panels_cascade(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+def delete_panels_cascade(tables: Mapping[str, DataFrame], ids: DataFrame) -> Tables:
     """ids(panel_id): panels, their selections, their parameters, and those parameters' results."""
-    out = dict(tables)
-    out["lab_test_panels"] = _without(tables["lab_test_panels"], ids, "id", "panel_id")
-    for name in ("lab_test_parameters", "lab_report_panels"):
-        out[name] = _without(tables[name], ids, "panel_id", "panel_id")
-    gone = tables["lab_test_parameters"].join(
-        ids.select("panel_id"), "panel_id", "left_semi"
-    ).select(F.col("id").alias("parameter_id"))
-    out["lab_report_results"] = _without(
-        tables["lab_report_results"], gone, "parameter_id", "parameter_id"
-    )
-    return out
+    def results() -> DataFrame:
+        gone = tables["lab_test_parameters"].join(
+            ids.select("panel_id"), "panel_id", "left_semi"
+        ).select(F.col("id").alias("parameter_id"))
+        return _without(tables["lab_report_results"], gone, "parameter_id", "parameter_id")
+
+    columns = {
+        "lab_test_panels": "id", "lab_test_parameters": "panel_id", "lab_report_panels": "panel_id",
+    }
+    return changed(tables, {
+        **{n: (lambda n=n, c=c: _without(tables[n], ids, c, "panel_id")) for n, c in columns.items()},
+        "lab_report_results": results,
+    })
 
 
-def null_deleted_users(tables: dict[str, DataFrame], ids: DataFrame) -> dict[str, DataFrame]:
+def null_deleted_users(tables: Mapping[str, DataFrame], ids: DataFrame) -> Tables:
     """ids(user_id): the users go; their reports and images stay without a creator."""
-    out = dict(tables)
-    out["lab_users"] = _without(tables["lab_users"], ids, "id", "user_id")
-    gone = ids.select(F.col("user_id").alias("_by"), F.lit(True).alias("_gone")).distinct()
-    for name in ("lab_reports", "lab_report_images"):
+    def cleared(name: str) -> DataFrame:
+        gone = ids.select(F.col("user_id").alias("_by"), F.lit(True).alias("_gone")).distinct()
+        # rows without a creator get keys of their own that match nothing, not one null key
         df = tables[name].withColumn("_by", F.coalesce("created_by", -F.col("id")))
-        out[name] = df.join(gone, "_by", "left").withColumn(
+        return df.join(gone, "_by", "left").withColumn(
             "created_by", F.when(F.col("_gone").isNull(), F.col("created_by"))
         ).select(*tables[name].columns)
-    return out
+
+    return changed(tables, {
+        "lab_users": lambda: _without(tables["lab_users"], ids, "id", "user_id"),
+        "lab_reports": lambda: cleared("lab_reports"),
+        "lab_report_images": lambda: cleared("lab_report_images"),
+    })
 
 
 def delete_images(images: DataFrame, ids: DataFrame) -> DataFrame:

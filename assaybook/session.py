@@ -12,10 +12,32 @@ SETTINGS = {
     "spark.sql.adaptive.skewJoin.enabled": "true",
     # split a hot key even where a later aggregation then needs another shuffle
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
+    # two joins on report_id share one shuffle even when one of them has a second key
+    "spark.sql.requireAllClusterKeysForCoPartition": "false",
     "spark.sql.session.timeZone": "UTC",
 }
 
 
+# Only possible when the session is created.
+STATIC_SETTINGS = {
+    # no call-site bookkeeping for every column expression built
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
+    "spark.ui.enabled": "false",
+}
+
+
+def local_session(cores: int | str, partitions: int = 8, memory: str = "16g") -> SparkSession:
+    """Session on one machine, for tests and measurements."""
+    builder = (
+        SparkSession.builder.master(f"local[{cores}]")
+        .config("spark.sql.shuffle.partitions", partitions)
+        .config("spark.driver.memory", memory)
+    )
+    for key, value in {**STATIC_SETTINGS, **SETTINGS}.items():
+        builder = builder.config(key, value)
+    return builder.getOrCreate()
+
+
 def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)

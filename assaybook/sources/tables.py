@@ -3,13 +3,39 @@
 from __future__ import annotations
 
 import os
+from collections.abc import Callable, Iterator, Mapping
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from ..schemas import OPTIONAL_TABLES, TABLES, conform, empty_table
 
-Tables = dict[str, DataFrame]
+
+class Tables(Mapping[str, DataFrame]):
+    """Table name -> DataFrame, each built when first asked for."""
+
+    def __init__(self, makers: Mapping[str, Callable[[], DataFrame]]):
+        self._makers = dict(makers)
+        self._made: dict[str, DataFrame] = {}
+
+    def __getitem__(self, name: str) -> DataFrame:
+        if name not in self._made:
+            self._made[name] = self._makers[name]()
+        return self._made[name]
+
+    def __iter__(self) -> Iterator[str]:
+        return iter(self._makers)
+
+    def __len__(self) -> int:
+        return len(self._makers)
+
+
+def changed(
+    tables: Mapping[str, DataFrame], changes: Mapping[str, Callable[[], DataFrame]]
+) -> Tables:
+    """The tables with some of them replaced."""
+    return Tables({**{n: (lambda n=n: tables[n]) for n in tables}, **changes})
 
 
 def load_tables(
@@ -29,15 +55,17 @@ def load_tables(
     read = (lambda n: _parquet(spark, path, n)) if path else (
         lambda n: _jdbc(spark, jdbc, n, partitions or 2 * spark.sparkContext.defaultParallelism)
     )
-    out: Tables = {}
-    for name in TABLES:
+
+    def load(name: str) -> DataFrame:
         try:
-            out[name] = conform(read(name), name)
+            # rows without an id only mark emptied buckets, see writer.py
+            return conform(read(name), name).filter(F.col("id").isNotNull())
         except AnalysisException as err:
             if name not in OPTIONAL_TABLES or err.getCondition() != "PATH_NOT_FOUND":
                 raise
-            out[name] = empty_table(spark, name)
-    return out
+            return empty_table(spark, name)
+
+    return Tables({name: (lambda name=name: load(name)) for name in TABLES})
 
 
 def _parquet(spark: SparkSession, path: str, name: str) -> DataFrame:

@@ -8,10 +8,27 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assaybook.schemas import conform
+from assaybook.sources.tables import Tables
 
 AS_OF = "2026-03-05 14:07:09"
 
 
+# The columns of the given tables that the views use.
+RAW = {
+    "supplier": "s_suppkey BIGINT, s_name STRING",
+    "customer": "c_custkey BIGINT, c_name STRING, c_nationkey INT, c_mktsegment STRING",
+    "part": "p_partkey BIGINT, p_name STRING, p_brand STRING, p_type STRING, p_size INT, "
+            "p_retailprice DOUBLE",
+    "orders": "o_orderkey BIGINT, o_custkey BIGINT, o_orderstatus STRING, "
+              "o_orderdate TIMESTAMP_NTZ, o_orderpriority STRING",
+    "lineitem": "l_orderkey BIGINT, l_partkey BIGINT, l_linenumber INT, l_quantity DOUBLE, "
+                "l_returnflag STRING, l_shipdate TIMESTAMP_NTZ",
+    "events": "event_id BIGINT, ts TIMESTAMP_NTZ, user_id BIGINT, event_type STRING",
+    "documents": "doc_id BIGINT, lang STRING, n_chars BIGINT",
+    "labels": "doc_id BIGINT",
+}
+
+
 def text(c: Column) -> Column:
     return c.cast("string")
 
@@ -34,7 +51,8 @@ class Lab:
         self.spark, self.dir = spark, sf_dir
 
     def raw(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.dir}/{name}.parquet")
+        # declared columns: no schema inference job
+        return self.spark.read.schema(RAW[name]).parquet(f"{self.dir}/{name}.parquet")
 
     @cached_property
     def users(self) -> DataFrame:
@@ -205,13 +223,14 @@ class Lab:
         )
 
     @cached_property
-    def tables(self) -> dict[str, DataFrame]:
-        return {
-            "lab_users": self.users, "lab_test_panels": self.panels,
-            "lab_test_parameters": self.params, "lab_reports": self.reports,
-            "lab_report_panels": self.report_panels, "lab_report_results": self.results,
-            "lab_report_images": self.images, "lab_report_forms": self.forms,
-        }
+    def tables(self) -> Tables:
+        return Tables({
+            "lab_users": lambda: self.users, "lab_test_panels": lambda: self.panels,
+            "lab_test_parameters": lambda: self.params, "lab_reports": lambda: self.reports,
+            "lab_report_panels": lambda: self.report_panels,
+            "lab_report_results": lambda: self.results,
+            "lab_report_images": lambda: self.images, "lab_report_forms": lambda: self.forms,
+        })
 
     # -- bodies --------------------------------------------------------------------------------
 
