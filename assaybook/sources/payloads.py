@@ -33,7 +33,7 @@ def _parse(lines: DataFrame, ddl: str) -> DataFrame:
         f"{ddl}, _corrupt STRING",
         {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"},
     )
-    reason = F.when(size > MAX_BODY_BYTES, "body_too_large").when(
+    reason = F.when(F.col("body_bytes") > MAX_BODY_BYTES, "body_too_large").when(
         F.col("p").isNull() | F.col("p._corrupt").isNotNull(), "bad_json"
     )
     return lines.select(parsed.alias("p"), size.alias("body_bytes")).select(

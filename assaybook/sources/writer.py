@@ -3,13 +3,15 @@
 Report-side tables are stored as parquet directories partitioned by `bucket`, a hash of the
 report id, so a change rewrites only the buckets of the reports it touches. New rows are first
 stored under _staging and then copied into the live directories: no plan reads files that its own
-write replaces, and a job that dies half-way is simply run again with the same commit id.
+write replaces. A job that dies half-way is simply run again with the same commit id: once all is
+staged only the copying is repeated, and a finished commit is left alone.
 """
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -46,13 +48,27 @@ def write_report_tables(
 
     touched(report_id) names the reports that changed; with None everything is written. Images
     that were detached or are unattached count as touched by their own id and always rewrite.
-    The marker row under _commits is written last. Running again with the same commit id gives
-    the same result.
+    The marker under _commits is written last.
     """
-    spark = next(iter(tables.values())).sparkSession
-    live = None if touched is None else _touched_buckets(touched, buckets)
     names = [n for n in REPORT_KEYS if n in tables]
-    staging = f"{out_path}/_staging/{commit}"
+    spark = tables[names[0]].sparkSession
+    staging, done = f"{out_path}/_staging/{commit}", f"{out_path}/_commits/{commit}"
+    if _exists(spark, done):
+        return
+    if not _exists(spark, f"{staging}/_ready"):
+        _stage(tables, names, staging, buckets, touched)
+        _mark(spark, f"{staging}/_ready", commit)
+    for name in names:
+        _store(_stored(spark, f"{staging}/{name}", name), f"{out_path}/{name}")
+    _mark(spark, done, commit)
+
+
+def _stage(
+    tables: Mapping[str, DataFrame], names: list[str], staging: str, buckets: int,
+    touched: DataFrame | None,
+) -> None:
+    spark = tables[names[0]].sparkSession
+    live = None if touched is None else _touched_buckets(touched, buckets)
     for name in names:
         rows = _with_bucket(conform(tables[name], name), name, buckets)
         # images move between reports, and with them between buckets
@@ -63,12 +79,19 @@ def write_report_tables(
         # one row without an id per rewritten bucket, so that an emptied bucket is replaced too
         marked = rows.unionByName(marks.select("bucket"), allowMissingColumns=True)
         _store(marked, f"{staging}/{name}")
-    for name in names:
-        _store(_stored(spark, f"{staging}/{name}", name), f"{out_path}/{name}")
-    spark.range(1).select(
-        F.lit(commit).alias("commit"), F.lit(buckets).alias("buckets"),
-        F.lit(",".join(names)).alias("tables"),
-    ).coalesce(1).write.mode("overwrite").json(f"{out_path}/_commits/{commit}")
+
+
+def _mark(spark: SparkSession, path: str, commit: str) -> None:
+    spark.range(1).select(F.lit(commit).alias("commit")).coalesce(1).write.mode("overwrite").json(path)
+
+
+def _exists(spark: SparkSession, path: str) -> bool:
+    try:
+        return not spark.read.schema("commit STRING").json(path).isEmpty()
+    except AnalysisException as err:
+        if err.getCondition() != "PATH_NOT_FOUND":
+            raise
+        return False
 
 
 def _touched_buckets(touched: DataFrame, buckets: int) -> DataFrame:
