@@ -51,11 +51,14 @@ def to_active(c: Column, fallback: Column | int = 1) -> Column:
     return F.when(or_null(c).isNull(), fb.cast("int")).otherwise(on.cast("int"))
 
 
+_ZERO = rf"[+-]?[0.]+(?:[eE][+-]?[0-9]+)?{SPACE_CLASS}*\z"
+_ID = rf"^{SPACE_CLASS}*(?!{_ZERO}){_DECIMAL}{SPACE_CLASS}*\z"
+
+
 def to_id(c: Column) -> Column:
-    """Id text to whole number; 0, blank and non-numbers are null. Decimal notation only, so
-    that the rule stays one short expression per list entry."""
-    digits = F.regexp_extract(c, rf"^{SPACE_CLASS}*({_DECIMAL}){SPACE_CLASS}*\z", 1)
-    return F.rint(F.nullif(digits.try_cast("double"), F.lit(0.0))).try_cast("bigint")
+    """Id text to whole number; 0, blank and non-numbers are null. Decimal notation only.
+    Tested before it is cast: a failing cast costs far more than the test."""
+    return F.when(c.rlike(_ID), F.rint(trim(c).try_cast("double")).try_cast("bigint"))
 
 
 def clean_ids(ids: Column) -> Column:

@@ -136,20 +136,26 @@ _RESULTS = "array<struct<parameter_id:bigint,value:string,flag:string,remarks:st
 
 
 def _missing_parents(bodies: DataFrame, tables: Mapping[str, DataFrame]) -> DataFrame:
-    """(seq, reason) of bodies naming a panel or parameter that does not exist."""
-    bad = []
-    for ids, table, reason in (
-        (F.col("_panels"), "lab_test_panels", "unknown_panel"),
-        (F.transform("_results", lambda r: r["parameter_id"]), "lab_test_parameters",
-         "unknown_parameter"),
-    ):
-        named = bodies.select("seq", F.explode(ids).alias("id"))
-        bad.append(
-            named.join(tables[table].select("id"), "id", "left_anti")
-            .select("seq", F.lit(reason).alias("_parent_reason"))
+    """(seq, reason) of bodies naming a panel or parameter that does not exist. All ids go
+    through one join with the ids of both tables."""
+    def named(kind: str, ids: Column) -> Column:
+        return F.transform(
+            F.coalesce(ids, F.array().cast("array<bigint>")),
+            lambda i: F.struct(F.lit(kind).alias("kind"), i.alias("id")),
         )
-    return bad[0].unionByName(bad[1]).groupBy("seq").agg(
-        F.min("_parent_reason").alias("_parent_reason")
+
+    refs = F.array_distinct(F.concat(
+        named("panel", F.col("_panels")),
+        named("parameter", F.transform("_results", lambda r: r["parameter_id"])),
+    ))
+    known = tables["lab_test_panels"].select(F.lit("panel").alias("kind"), "id").unionByName(
+        tables["lab_test_parameters"].select(F.lit("parameter").alias("kind"), "id")
+    )
+    return (
+        bodies.select("seq", F.inline(refs))
+        .join(known, ["kind", "id"], "left_anti")
+        .groupBy("seq")
+        .agg(F.concat(F.lit("unknown_"), F.min("kind")).alias("_parent_reason"))
     )
 
 
@@ -161,8 +167,8 @@ def _checked(
     rows = rows.withColumn(
         "reject_reason", F.coalesce(F.col("reject_reason"), _storable(mode), _child_reason())
     )
-    fit = rows.filter(F.col("reject_reason").isNull())
-    rows = rows.join(_missing_parents(fit, tables), "seq", "left").withColumn(
+    # no filter before the join: it would work out the child lists a second time
+    rows = rows.join(_missing_parents(rows, tables), "seq", "left").withColumn(
         "reject_reason", F.coalesce(F.col("reject_reason"), F.col("_parent_reason"))
     ).drop("_parent_reason")
     good = coerce_payload(

@@ -32,6 +32,8 @@ def local_session(cores: int | str, partitions: int = 8, memory: str = "16g") ->
         SparkSession.builder.master(f"local[{cores}]")
         .config("spark.sql.shuffle.partitions", partitions)
         .config("spark.driver.memory", memory)
+        # small local data: keep all cores busy after a shuffle
+        .config("spark.sql.adaptive.coalescePartitions.minPartitionSize", "128k")
     )
     for key, value in {**STATIC_SETTINGS, **SETTINGS}.items():
         builder = builder.config(key, value)

@@ -103,6 +103,16 @@ class Lab:
 
     @cached_property
     def reports(self) -> DataFrame:
+        return conform(self._orders.select(*self._report_columns), "lab_reports")
+
+    @cached_property
+    def _orders(self) -> DataFrame:
+        return self.raw("orders").join(
+            self.raw("customer"), F.col("o_custkey") == F.col("c_custkey")
+        )
+
+    @cached_property
+    def _report_columns(self) -> list[Column]:
         o, c = F.col("o_orderkey"), F.col("c_custkey")
         phone = pick(c % 5, {
             0: F.concat(F.lit("92300"), text(c + 1000000)),
@@ -116,30 +126,27 @@ class Lab:
             .when(F.col("c_mktsegment") == "HOUSEHOLD", "feline").otherwise("Rabbit")
         )
         day = F.col("o_orderdate").cast("date")
-        return conform(
-            self.raw("orders").join(self.raw("customer"), F.col("o_custkey") == c).select(
-                (o + 1).alias("id"),
-                F.concat(F.lit("PZ-"), text(F.year(day)), F.lit("-"), text(o + 1)).alias("report_no"),
-                F.when(c % 9 == 0, "").otherwise(F.col("c_name")).alias("patient_name"),
-                phone.alias("owner_phone"),
-                pick(o % 4, {0: "Rex", 1: " rex ", 2: "MILO"}, "").alias("pet_name"),
-                species.alias("species"),
-                F.when(c % 4 != 0, F.concat(F.lit("Breed "), text(F.col("c_nationkey")))).alias("breed"),
-                F.concat(text(o % 15), F.lit(" years")).alias("age"),
-                pick(o % 3, {0: "Male", 1: "Female"}, None).alias("sex"),
-                F.when(o % 3 != 0, F.col("o_orderpriority")).alias("referring_vet"),
-                F.when(o % 5 != 0, day).alias("sample_date"),
-                day.alias("report_date"),
-                pick(o % 6, {0: None, 1: ""}, F.concat(F.lit("note "), F.col("o_orderpriority"))).alias("clinical_notes"),
-                pick(o % 4, {1: "", 2: None}, F.col("o_orderpriority")).alias("remarks"),
-                F.when(F.col("o_orderstatus") == "P", "draft").otherwise("final").alias("status"),
-                (F.col("c_nationkey") + 1).cast("bigint").alias("created_by"),
-                F.when(o % 7 != 0, F.col("o_orderdate") + F.make_dt_interval(
-                    secs=(o % 86400).cast("decimal(18,6)")
-                )).alias("created_at"),
-            ),
-            "lab_reports",
-        )
+        return [
+            (o + 1).alias("id"),
+            F.concat(F.lit("PZ-"), text(F.year(day)), F.lit("-"), text(o + 1)).alias("report_no"),
+            F.when(c % 9 == 0, "").otherwise(F.col("c_name")).alias("patient_name"),
+            phone.alias("owner_phone"),
+            pick(o % 4, {0: "Rex", 1: " rex ", 2: "MILO"}, "").alias("pet_name"),
+            species.alias("species"),
+            F.when(c % 4 != 0, F.concat(F.lit("Breed "), text(F.col("c_nationkey")))).alias("breed"),
+            F.concat(text(o % 15), F.lit(" years")).alias("age"),
+            pick(o % 3, {0: "Male", 1: "Female"}, None).alias("sex"),
+            F.when(o % 3 != 0, F.col("o_orderpriority")).alias("referring_vet"),
+            F.when(o % 5 != 0, day).alias("sample_date"),
+            day.alias("report_date"),
+            pick(o % 6, {0: None, 1: ""}, F.concat(F.lit("note "), F.col("o_orderpriority"))).alias("clinical_notes"),
+            pick(o % 4, {1: "", 2: None}, F.col("o_orderpriority")).alias("remarks"),
+            F.when(F.col("o_orderstatus") == "P", "draft").otherwise("final").alias("status"),
+            (F.col("c_nationkey") + 1).cast("bigint").alias("created_by"),
+            F.when(o % 7 != 0, F.col("o_orderdate") + F.make_dt_interval(
+                secs=(o % 86400).cast("decimal(18,6)")
+            )).alias("created_at"),
+        ]
 
     @cached_property
     def results(self) -> DataFrame:
@@ -263,19 +270,14 @@ class Lab:
             F.lit("ULTRASOUND"), F.concat(F.lit('{"findings":"n'), text(o), F.lit('"}')),
             F.lit(""), F.lit("{}"),
         ))
-        head = self.reports.select(
-            (F.col("id") - 1).alias("seq"), "patient_name", "owner_phone", "pet_name", "species",
-            "breed", "age", "sex", "referring_vet", "sample_date", "report_date", "clinical_notes",
-            "remarks", "status",
-        ).withColumns({
-            "sample_date": F.when(F.col("seq") % 41 == 0, "soon").otherwise(text(F.col("sample_date"))),
-            "report_date": F.when(F.col("seq") % 8 != 0, text(F.col("report_date"))),
-        })
-        children = self.raw("orders").select(
-            o.alias("seq"),
+        head = self._orders.select(
+            o.alias("seq"), *self._report_columns,
             F.when(o % 50 == 2, "x").when(o % 50 == 3, text(o + 1000000000000))
             .otherwise(text(F.when(o % 10 == 4, o).otherwise(o + 1))).alias("report_id"),
             panel_ids.alias("panel_ids"), results.alias("results"),
             image_ids.alias("image_ids"), forms.alias("forms"),
-        )
-        return head.join(children, "seq")
+        ).drop("id", "report_no", "created_by", "created_at")
+        return head.withColumns({
+            "sample_date": F.when(F.col("seq") % 41 == 0, "soon").otherwise(text(F.col("sample_date"))),
+            "report_date": F.when(F.col("seq") % 8 != 0, text(F.col("report_date"))),
+        })
