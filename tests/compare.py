@@ -58,5 +58,5 @@ def differences(spark_table: pa.Table, duck_table: pa.Table) -> list[str]:
 
 def check(spark, con, name, query, sql, sf_dir) -> tuple[int, list[str]]:
     got = query(spark, sf_dir).toArrow()
-    want = con.execute(sql).to_arrow_table()
+    want = con.sql(sql).to_arrow_table()
     return got.num_rows, differences(got, want)

