@@ -21,3 +21,44 @@ def test_plan(spark, sf, name):
         for window in re.findall(r"Window \[.*", plan):
             single = not re.search(r"\], \[[^\]]+#", window) and "_bucket" not in window
             assert not single, window[:300]
+
+
+@pytest.mark.parametrize("name", ["rate_limit_audit", "report_list_batch"])
+def test_ranks_are_cut_before_the_shuffle(spark, sf, name):
+    plan = entry.queries()[name](spark, sf)._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"WindowGroupLimit .*Partial", plan)
+
+
+def test_result_lines_share_one_shuffle_on_the_report(spark):
+    from assaybook.plans.print import report_lines
+    from assaybook.schemas import TABLES, conform
+    from assaybook.session import tune
+
+    source = tune(spark).range(50).selectExpr(
+        "id", "id AS report_id", "id AS panel_id", "id AS parameter_id", "'c' AS code",
+        "string(id) AS value", "string(id) AS reference_range", "string(id) AS species",
+    )
+    tables = {n: conform(source, n) for n in TABLES}
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        text = report_lines(tables)._jdf.queryExecution().executedPlan().toString()
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+    # results meet their selected panels on (report, panel), spread by the report alone
+    assert re.search(r"SortMergeJoin \[report_id#\d+L, panel_id#\d+L\]", text)
+    assert not re.search(r"hashpartitioning\(report_id#\d+L, panel_id#\d+L", text)
+    assert len(re.findall(r"Exchange hashpartitioning\(report_id#\d+L, \d+\)", text)) <= 3
+
+
+def test_equal_filters_reach_the_parquet_reader(spark, tmp_path):
+    from assaybook.operators import lists, numbering
+    from assaybook.schemas import conform
+
+    path = str(tmp_path / "r")
+    conform(spark.range(5), "lab_reports").write.parquet(path)
+    stored = spark.read.parquet(path)
+    plan = lists.reports_by_no(stored, ["PZ-2026-0001"])._jdf.queryExecution().executedPlan().toString()
+    assert re.search(r"PushedFilters: \[.*report_no", plan)
+    new = stored.select(stored.id.alias("seq"))
+    plan = numbering.assign_report_no(new, stored, 2026)._jdf.queryExecution().executedPlan().toString()
+    assert "StringStartsWith(report_no,PZ-2026-)" in plan
