@@ -42,11 +42,12 @@ def stream_reports(
 ) -> StreamingQuery:
     """Validates and saves JSON bodies from files under in_path until all present are done.
 
+    Progress is kept in `checkpoint`, by default beside the output, which all executors share.
     catalog holds lab_test_panels and lab_test_parameters; existing the tables that were there
     before the stream began, from which ids and report numbers go on.
     """
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    place = checkpoint or (f"{shared}/reports" if shared else f"{out_path}/_checkpoint")
+    # progress belongs to the output: the two are kept, moved and removed together
+    place = checkpoint or f"{out_path}/_checkpoint"
 
     def save(batch: DataFrame, batch_id: int) -> None:
         save_batch(batch, batch_id, out_path, catalog, user_id, clock(), existing)
