@@ -31,3 +31,24 @@ SELECT doc_id, max(doc_id) OVER (PARTITION BY x) AS keep_id, count(*) OVER (PART
        row_number() OVER (PARTITION BY x ORDER BY doc_id DESC NULLS LAST) = 1 AS kept, sha256(x) AS text_sha256
 FROM t
 """
+
+
+@query
+def op8_warc(spark, sf_dir):
+    from .warc import page_records, read_warc, write_warc
+
+    files = write_warc(table(spark, sf_dir, "pages"))
+    return page_records(read_warc(spark, files, range_bytes=4 << 20, payloads=False))
+
+
+ORACLE["op8_warc"] = """
+WITH p AS (SELECT page_id, coalesce(html, '') AS x FROM pages),
+     b AS (SELECT page_id, x, cast(cast(unhex(sha1(x)) AS BIT) AS VARCHAR) AS bits, max(page_id) OVER (PARTITION BY x) AS latest FROM p)
+SELECT page_id, cast(strlen(x) AS BIGINT) AS payload_bytes,
+       array_to_string(list_transform(range(32), lambda i: substr('ABCDEFGHIJKLMNOPQRSTUVWXYZ234567', cast(1 + 16 * cast(substr(bits, 5 * i + 1, 1) AS INT)
+           + 8 * cast(substr(bits, 5 * i + 2, 1) AS INT) + 4 * cast(substr(bits, 5 * i + 3, 1) AS INT) + 2 * cast(substr(bits, 5 * i + 4, 1) AS INT)
+           + cast(substr(bits, 5 * i + 5, 1) AS INT) AS BIGINT), 1)), '') AS payload_digest,
+       CASE WHEN page_id = latest THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> latest THEN latest END AS refers_to
+FROM b
+"""
