@@ -6,9 +6,8 @@ bytes a row), which are merged per block of the bitmap. Pass 2 tests each row: a
 was set once only has a text of its own and goes straight through. The others are possibly repeated;
 only they are shuffled, by their full SHA-256, and counted exactly.
 
-The bitmap has 16 bits a row, to a fixed most of MAX_BITS (32 MiB, the proven bound of what is
-broadcast). Beyond that it fills up and lets more rows through to the exact step, which decides alone:
-fuller bitmaps cost traffic and never change a result.
+The bitmap is bounded (bloom.MAX_BITS); a fuller one lets more rows through to the exact step, which
+decides alone.
 
 Texts are equal when identical after lowering A-Z; null counts as empty. Of equal texts the row with
 the largest id stays (a null id counts as smallest); of rows that tie there too, one stays. An empty
@@ -17,89 +16,17 @@ table gives an empty result.
 
 from __future__ import annotations
 
-import numpy as np
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .bloom import possibly_repeated
 from .shared import fresh, lower_ascii, stored
 
-MAX_BITS = 1 << 28
-_BLOCK = 1 << 16  # bits of a block, so that a place in it takes two bytes
-
 
 def normal_text(text: str | Column) -> Column:
     return lower_ascii(F.coalesce(F.col(text) if isinstance(text, str) else text, F.lit("")))
 
 
-def _places(h: np.ndarray, bits: int) -> tuple[np.ndarray, np.ndarray]:
-    """The two bits of each hash: its low and its high half."""
-    h = h.view(np.uint64)
-    return (h & np.uint64(bits - 1)).astype(np.int64), ((h >> np.uint64(32)) & np.uint64(bits - 1)).astype(np.int64)
-
-
-def _split(places: np.ndarray) -> tuple[list[int], list[bytes]]:
-    """Sorted bit positions as one row for each block that has any."""
-    block = places // _BLOCK
-    at = np.flatnonzero(np.diff(block, prepend=-1))
-    low = (places % _BLOCK).astype("<u2")
-    return block[at].tolist(), [x.tobytes() for x in np.split(low, at[1:])] if len(at) else []
-
-
-def repeated_bits(hashes: DataFrame, bits: int) -> np.ndarray:
-    """The bitmap of bits that more than one row sets, as packed bytes; hashes has one long column."""
-
-    def local(batches_):
-        got = [c for b in batches_ if b.num_rows for c in _places(b.column(0).to_numpy(zero_copy_only=False), bits)]
-        if not got:
-            return
-        place, count = np.unique(np.concatenate(got), return_counts=True)
-        for again, x in ((False, place), (True, place[count > 1])):
-            blocks, data = _split(x)
-            if blocks:
-                yield pa.record_batch({"block": pa.array(blocks, pa.int32()), "again": pa.array([again] * len(blocks)), "data": pa.array(data, pa.binary())})
-
-    def merge(key, parts):
-        seen, twice = np.zeros(_BLOCK, dtype=bool), np.zeros(_BLOCK, dtype=bool)
-        for again, data in zip(parts.column("again").to_pylist(), parts.column("data").to_pylist(), strict=True):
-            x = np.frombuffer(data, dtype="<u2")
-            if again:
-                twice[x] = True
-            else:
-                twice[x[seen[x]]] = True
-                seen[x] = True
-        return pa.table({"block": pa.array([key[0].as_py()], pa.int32()), "data": pa.array([np.packbits(twice, bitorder="little").tobytes()], pa.binary())})
-
-    # at most MAX_BITS / _BLOCK = 4,096 rows of 8 KiB, whatever the input
-    merged = hashes.mapInArrow(local, "block int, again boolean, data binary").groupBy("block").applyInArrow(merge, "block int, data binary")
-    out = np.zeros(bits // 8, dtype=np.uint8)
-    for row in merged.toLocalIterator():
-        x = np.frombuffer(row.data, dtype=np.uint8)[: len(out)]
-        out[row.block * _BLOCK // 8 : row.block * _BLOCK // 8 + len(x)] = x
-    return out
-
-
-def bits_for(rows: int) -> int:
-    return min(MAX_BITS, max(1 << 10, 1 << int(max(1, rows) * 16 - 1).bit_length()))
-
-
-def possibly_repeated(df: DataFrame, hash_col: str) -> Column:
-    """A column for frames that hold the hashes of df: could another row have the same hash?"""
-    spark = df.sparkSession
-    bits = bits_for(df.count())
-    bitmap = spark.sparkContext.broadcast(repeated_bits(df.select(hash_col), bits))
-
-    @F.pandas_udf("boolean")
-    def hit(h):
-        import pandas as pd
-
-        low, high = _places(h.to_numpy(dtype=np.int64, na_value=0), bits)
-        b = bitmap.value
-        return pd.Series(((b[low >> 3] >> (low & 7)) & (b[high >> 3] >> (high & 7)) & 1).astype(bool))
-
-    return hit(F.col(hash_col))
-
-
 def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """One row per row of df: doc_id, keep_id, group_size, kept, text_sha256 (see the module's rules).
 
@@ -116,9 +43,10 @@ def duplicate_groups(df: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     flagged = stored(spread.withColumn("maybe", possibly_repeated(spread, "h")), "flagged")
     maybe = flagged.filter("maybe")
     # (id, row) orders the rows of a group: null ids first, the row number settles ties
-    groups = maybe.groupBy("text_sha256").agg(
+    # stored, so that the join's own shuffle can split a group that holds a third of all rows
+    groups = stored(maybe.groupBy("text_sha256").agg(
         F.max(F.struct(F.col("doc_id").isNotNull().alias("known"), "doc_id", "row")).alias("best"), F.count("*").alias("group_size"),
-    )
+    ), "groups")
     shared = maybe.join(groups, "text_sha256").select(
         "doc_id", F.col("best.doc_id").alias("keep_id"), "group_size", (F.col("row") == F.col("best.row")).alias("kept"), "text_sha256",
     )
@@ -140,7 +68,7 @@ def drop_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     maybe = hashed.filter(flags).withColumn(pick, F.struct(F.col(id_col).isNotNull().alias("known"), F.col(id_col).alias("id")))
     # count rows of a (text, id) first: a text that a third of all rows share is summed up in every task
     ties = maybe.groupBy(sha, pick).agg(F.count("*").alias(n))
-    winners = ties.groupBy(sha).agg(F.max(F.struct(F.col(pick), F.col(n))).alias(best)).select(sha, F.col(f"{best}.{pick}").alias(pick), F.col(f"{best}.{n}").alias(n))
+    winners = stored(ties.groupBy(sha).agg(F.max(F.struct(F.col(pick), F.col(n))).alias(best)).select(sha, F.col(f"{best}.{pick}").alias(pick), F.col(f"{best}.{n}").alias(n)), "winners")
     won = maybe.join(winners, [sha, pick])
     one = won.filter(F.col(n) == 1).unionByName(won.filter(F.col(n) > 1).dropDuplicates([sha, pick]))
     return alone.select(*df.columns).unionByName(one.select(*df.columns))

@@ -28,7 +28,7 @@ from pyarrow.fs import FileSystem
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .exact_dedup import possibly_repeated
+from .bloom import possibly_repeated
 from .shared import batches, new_folder, partitions, stored
 
 MAGIC = b"\x1f\x8b\x08"
