@@ -117,10 +117,10 @@ def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
         if c >= width:
             out.append(np.unique(acc[a : a + c - width + 1]))
         elif c:
-            h = np.uint64(c)
-            for x in w.hashes[a : a + c]:
-                h = mix(np.array([h]))[0] + x
-            out.append(mix(np.array([h])))
+            h = np.array([c], dtype=np.uint64)
+            for j in range(a, a + c):
+                h = mix(h) + w.hashes[j : j + 1]
+            out.append(mix(h))
         else:
             out.append(np.zeros(0, dtype=np.uint64))
     sizes = np.array([len(x) for x in out], dtype=np.int64)

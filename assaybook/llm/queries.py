@@ -52,3 +52,26 @@ SELECT page_id, cast(strlen(x) AS BIGINT) AS payload_bytes,
        CASE WHEN page_id <> latest THEN latest END AS refers_to
 FROM b
 """
+
+
+@query
+def op10_minhash(spark, sf_dir):
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), width=4).drop("tk", "tk2")
+
+
+ORACLE["op10_minhash"] = """
+WITH RECURSIVE w AS (
+    SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x20\\x09-\\x0D]+') AS w FROM documents),
+s AS (
+    SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 4 THEN [array_to_string(w, ' ')]
+        ELSE list_transform(range(1, len(w) - 2), lambda i: array_to_string(w[i:i + 3], ' ')) END) AS x FROM w),
+n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY 1),
+pairs AS (SELECT a.doc_id AS a, b.doc_id AS b, count(*) AS c FROM s a JOIN s b ON a.x = b.x AND a.doc_id < b.doc_id GROUP BY 1, 2),
+links AS (SELECT a, b FROM pairs JOIN n na ON na.doc_id = a JOIN n nb ON nb.doc_id = b WHERE 100 * c >= 80 * (na.n + nb.n - c)),
+sides AS (SELECT a, b FROM links UNION ALL SELECT b, a FROM links),
+reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM reach JOIN sides ON a = r)
+SELECT d AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, d = min(r) AS kept
+FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d
+"""
