@@ -75,3 +75,30 @@ reach AS (SELECT doc_id AS d, doc_id AS r FROM documents UNION SELECT d, b FROM
 SELECT d AS doc_id, coalesce(any_value(n), 0) AS n_shingles, min(r) AS component_id, d = min(r) AS kept
 FROM reach LEFT JOIN n ON n.doc_id = d GROUP BY d
 """
+
+
+@query
+def op6_decontamination(spark, sf_dir):
+    from .decontaminate import contamination
+
+    return contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+ORACLE["op6_decontamination"] = """
+WITH words AS (
+    SELECT 'd' AS kind, doc_id AS id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') AS w FROM documents
+    UNION ALL
+    SELECT 'b', item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+') FROM benchmark),
+windows AS (
+    SELECT DISTINCT id AS item_id, least(len(w), 10) AS n, unnest(list_transform(range(1, len(w) - least(len(w), 10) + 2), lambda i: array_to_string(w[i:i + least(len(w), 10) - 1], ' '))) AS x
+    FROM words WHERE kind = 'b' AND len(w) > 0),
+places AS (
+    SELECT id, n, unnest(range(1, len(w) - n + 2)) AS i, unnest(list_transform(range(1, len(w) - n + 2), lambda i: array_to_string(w[i:i + n - 1], ' '))) AS x
+    FROM words, (SELECT DISTINCT n FROM windows) WHERE kind = 'd' AND len(w) >= n),
+met AS (SELECT id, i, p.n, item_id FROM places p JOIN windows v ON v.x = p.x AND v.n = p.n),
+hit AS (SELECT id, count(DISTINCT j) AS n_hit FROM (SELECT id, unnest(range(i, i + n)) AS j FROM met) GROUP BY 1),
+items AS (SELECT id, count(*) AS n_items, string_agg(item, ',' ORDER BY item) AS items FROM (SELECT DISTINCT id, cast(item_id AS VARCHAR) AS item FROM met) GROUP BY 1)
+SELECT w.id AS doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items,
+       sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
+FROM words w LEFT JOIN hit h ON h.id = w.id LEFT JOIN items i ON i.id = w.id WHERE kind = 'd'
+"""
