@@ -102,3 +102,12 @@ SELECT w.id AS doc_id, cast(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS
        sha256(coalesce(items, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated
 FROM words w LEFT JOIN hit h ON h.id = w.id LEFT JOIN items i ON i.id = w.id WHERE kind = 'd'
 """
+
+
+@query
+def op3_packing(spark, sf_dir):
+    import public_tokenizers
+
+    from .packing import pack_documents
+
+    return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
