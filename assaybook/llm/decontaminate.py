@@ -30,9 +30,10 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType, StringType
 
 from .bytewords import ALNUM, Words, mix, words
-from .shared import batches, fresh
+from .shared import batches, fresh, wider
 
 WINDOW = 10
 #: Words of the items that one automaton holds: about 1 kB each while it is built, and 100 MB at most.
@@ -260,7 +261,7 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
             share = n_hit / np.maximum(n, 1)
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(texts, pa.string()), pa.array(share)], names=[*b.schema.names, cleaned, coverage])
 
-    schema = docs.schema.add(cleaned, "string").add(coverage, "double")
+    schema = wider(docs, **{cleaned: StringType(), coverage: DoubleType()})
     told = batches(docs, work, schema)
     kept = told.filter(F.col(coverage) <= max_coverage)
     return kept.withColumn(text_col, F.coalesce(cleaned, text_col)).select(*docs.columns)

@@ -111,3 +111,12 @@ def op3_packing(spark, sf_dir):
     from .packing import pack_documents
 
     return pack_documents(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
+@query
+def op2_language_id(spark, sf_dir):
+    from .langid import fit, fold, predict
+
+    docs = table(spark, sf_dir, "documents")
+    model = fit(docs, only=fold() != 2)
+    return predict(docs.select("doc_id", "text"), model).select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")

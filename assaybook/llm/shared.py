@@ -8,6 +8,7 @@ from urllib.parse import urlparse
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import DataType, StructField, StructType
 
 #: Rows of an Arrow batch sent to Python; a batch of long texts stays a few megabytes.
 BATCH_ROWS = 256
@@ -38,7 +39,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def batches(df: DataFrame, fn, schema: str) -> DataFrame:
+def batches(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
     """mapInArrow with batches small enough for texts of any length (about 100 kB times BATCH_ROWS)."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
     return df.mapInArrow(fn, schema)
@@ -63,3 +64,8 @@ def fresh(taken, *names: str) -> list[str]:
 
 def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+
+def wider(df: DataFrame, **more: DataType) -> StructType:
+    """The schema of df with further columns."""
+    return StructType([*df.schema.fields, *[StructField(name, kind) for name, kind in more.items()]])
