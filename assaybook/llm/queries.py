@@ -120,3 +120,10 @@ def op2_language_id(spark, sf_dir):
     docs = table(spark, sf_dir, "documents")
     model = fit(docs, only=fold() != 2)
     return predict(docs.select("doc_id", "text"), model).select("doc_id", (fold() == 2).alias("held_out"), "lang_pred", "score")
+
+
+@query
+def op7_secrets(spark, sf_dir):
+    from .secrets import digest, scan
+
+    return digest(scan(table(spark, sf_dir, "documents")))
