@@ -2,16 +2,17 @@
 
 Signature: shingle hashes are put in a random order by one permutation (of 32-bit numbers); a second
 permutation, shifted circularly by k, gives coordinate k as the least value it takes over the set. So
-two permutations make all 128 coordinates. Bands of 4 coordinates make 32 bucket keys a document: a pair
+two permutations make all 256 coordinates. Bands of 4 of the first 128 make 32 bucket keys a document: a pair
 of similarity 0.8 shares none of them with a probability of 5e-8.
 
 Documents with equal shingle sets are one class and take part once. Within a bucket not all pairs are
-compared at once: first every member with the bucket's smallest member, then with a pseudo-random one, and
-only in buckets whose members aren't connected by then, the pairs of different components, in blocks of at
-most 2 * BLOCK members. A pair is verified on its full shingle sets, read from the texts, unless its
-signatures agree in under 60 % of the coordinates (at a similarity of 0.8 that is over five standard
-deviations off) or its set sizes alone rule it out. No bucket or candidate is capped. Pairs stay pairs of
-class representatives.
+compared at once: first every member with the bucket's smallest member, then, in buckets whose members aren't
+connected by then, with the member that is most like all (most coordinates in common with the bucket's most
+frequent values: the original, where the others are edited copies), and in those still open the pairs of
+different components, in blocks of at most 2 * BLOCK members. A pair is verified on its full shingle sets, read
+from the texts, unless its set sizes rule it out or its signatures agree in under 70 % of the coordinates (a
+pair of similarity 0.8 does so with a probability of 2e-5). No
+bucket or candidate is capped. Pairs stay pairs of class representatives.
 
 Defined cases: a set holds the distinct runs of `width` words; a text of fewer words has its whole sequence
 as its only element; null texts and texts without words have an empty set and link with nothing. Rows with a
@@ -32,7 +33,7 @@ from .bloom import possibly_in
 from .bytewords import SPACED, mix, shingles, words
 from .shared import batches, fresh, stored
 
-COORDINATES, BAND = 128, 4
+COORDINATES, BANDED, BAND = 256, 128, 4
 BLOCK = 512  # members of a bucket that one side of a comparison holds
 _CHUNK = 1 << 16  # shingles worked on at once, so that they stay in the cache
 
@@ -69,7 +70,7 @@ def signatures(flat: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 def bands(sig: np.ndarray) -> np.ndarray:
     """A bucket key for each band: rows x bands, int64; keys of different bands differ."""
-    parts = sig.reshape(len(sig), -1, BAND).astype(np.uint64)
+    parts = sig[:, :BANDED].reshape(len(sig), -1, BAND).astype(np.uint64)
     acc = mix(np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64) + np.uint64(1), parts.shape[:2]))
     for j in range(BAND):
         acc = mix(acc + parts[:, :, j])
@@ -171,36 +172,69 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(told.join(keys, "key"), "open")
 
 
+def _sig(t: pa.Table) -> np.ndarray:
+    return np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+
+
+def _blocks(members: DataFrame) -> DataFrame:
+    """Members with the number of blocks of their bucket, and their own block: about BLOCK members each."""
+    placed = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
+    return placed.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+
+
+def _centres(members: DataFrame) -> DataFrame:
+    """key and node of the member of each bucket (of its first block) that agrees most with the others' values."""
+
+    def work(key, t):
+        sig = _sig(t)
+        if len(sig) > 2:
+            values, order = np.sort(sig, axis=0), np.arange(len(sig))[:, None]
+            new = np.ones_like(values, dtype=bool)
+            new[1:] = values[1:] != values[:-1]
+            since = order - np.maximum.accumulate(np.where(new, order, 0), axis=0)  # how often a value came before
+            mode = values[since.argmax(axis=0), np.arange(COORDINATES)]
+            i = int((sig == mode).sum(axis=1).argmax())
+        else:
+            i = len(sig) - 1
+        return pa.table({"key": pa.array([key[0].as_py()], pa.int64()), "node": t.column("node").slice(i, 1)})
+
+    return _blocks(members).filter("block = 0").select("key", "node", "sig").groupBy("key").applyInArrow(work, "key long, node long")
+
+
 def _pairs_left(members: DataFrame, percent: int, share: float) -> DataFrame:
-    """Likely pairs of different components within each bucket; large buckets in pairs of blocks."""
+    """Likely pairs of different components within each bucket; large buckets in pairs of blocks.
+
+    A pair that shares several bands is reported in the first of them only.
+    """
     least = round(share * COORDINATES)
 
     def work(key, t):
-        i, j = key[1].as_py(), key[2].as_py()
+        i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
         node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block"))
-        sig = np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
+        sig = _sig(t)
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
         for p in left.tolist():
             q = right[(comp[right] != comp[p]) & (100 * np.minimum(size[right], size[p]) >= percent * np.maximum(size[right], size[p]))]
-            q = q[(sig[q] == sig[p]).sum(axis=1) >= least]
+            same = sig[q] == sig[p]
+            earlier = same[:, : band * BAND].reshape(len(q), band, BAND).all(axis=2).any(axis=1)
+            q = q[(same.sum(axis=1) >= least) & ~earlier]
             out.append(np.stack([np.minimum(node[q], node[p]), np.maximum(node[q], node[p])], axis=1))
         got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
         return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
 
     # block i meets block j >= i once: a member goes with its block to the pairs that hold it
-    blocks = F.ceil(F.col("n") / BLOCK).cast("int")
-    placed = members.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    dealt = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return dealt.select("key", "i", "j", "block", "node", "comp", "n_shingles", "sig").groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
+    dealt = _blocks(members).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    return dealt.select("key", "i", "j", "block", "band", "node", "comp", "n_shingles", "sig").groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
 
 
-def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: float = 0.6) -> DataFrame:
+def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: float = 0.7) -> DataFrame:
     """One row per row of df: doc_id, n_shingles, component_id, kept, and tk, tk2, the keys of its text."""
     rows = _prepare(df, id_col, text_col, width)
     classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "classes")
     reps = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "tk", "tk2", "n_shingles", "sig", "bands")
-    keys = reps.select("node", F.explode("bands").alias("key"))
+    keys = reps.select("node", F.posexplode("bands").alias("band", "key"))
     busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("key", "pivot")
     placed = stored(keys.join(busy, "key"), "placed")
     shared_nodes = placed.select("node").distinct()
@@ -227,8 +261,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
         if left.isEmpty():
             break
         if step == 0:
-            pick = left.groupBy("key").agg(F.min(F.struct(F.xxhash64("key", "node").alias("h"), "node")).alias("p")).select("key", F.col("p.node").alias("node"))
-            pairs = against(left, left.join(pick, ["key", "node"]))
+            pairs = against(left, left.join(stored(_centres(left), "centres"), ["key", "node"]))
         else:
             pairs = _pairs_left(left, percent, share)
         more = stored(_verified(pairs, texts, width, percent), "edges")
