@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from assaybook.session import tune
 
@@ -127,3 +128,11 @@ def op7_secrets(spark, sf_dir):
     from .secrets import digest, scan
 
     return digest(scan(table(spark, sf_dir, "documents")))
+
+
+@query
+def op1_substring_dedup(spark, sf_dir):
+    from .substrings import remove_repeats
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return remove_repeats(docs).withColumn("changed", F.col("n_removed") > 0)
