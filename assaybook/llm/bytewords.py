@@ -126,3 +126,15 @@ def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:
     sizes = np.array([len(x) for x in out], dtype=np.int64)
     flat = np.concatenate(out) if out else np.zeros(0, dtype=np.uint64)
     return flat, np.concatenate([[0], np.cumsum(sizes)])
+
+
+def prefix_hashes(w: Words, sizes: tuple[int, ...]):
+    """(places of the words longer than size bytes, hash of their first size bytes), for each size in rising order."""
+    acc = np.zeros(len(w.starts), dtype=np.uint64)
+    alive = np.arange(len(w.starts))
+    powers = _powers(max(sizes))
+    for j in range(max(sizes)):
+        alive = alive[w.lens[alive] > j + 1]
+        acc[alive] += _BYTE[w.data[w.starts[alive] + j]] * powers[j]
+        if j + 1 in sizes:
+            yield alive, mix(acc[alive] + np.uint64(j + 1 << 32))

@@ -136,3 +136,11 @@ def op1_substring_dedup(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return remove_repeats(docs).withColumn("changed", F.col("n_removed") > 0)
+
+
+@query
+def op5_toxicity(spark, sf_dir):
+    from .toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")))
