@@ -10,9 +10,9 @@ compared at once: first every member with the bucket's smallest member, then, in
 connected by then, with the member that is most like all (most coordinates in common with the bucket's most
 frequent values: the original, where the others are edited copies), and in those still open the pairs of
 different components, in blocks of at most 2 * BLOCK members. A pair is verified on its full shingle sets, read
-from the texts, unless its set sizes rule it out or its signatures agree in under 70 % of the coordinates (a
-pair of similarity 0.8 does so with a probability of 2e-5). No
-bucket or candidate is capped. Pairs stay pairs of class representatives.
+from the texts, unless its set sizes rule it out, or counts of its shingles in CELLS hash cells do (the sum of
+the smaller counts bounds the intersection from above), or its signatures agree in under 70 % of the
+coordinates (a pair of similarity 0.8 does so with a probability of 2e-5). No bucket or candidate is capped. Pairs stay pairs of class representatives.
 
 Defined cases: a set holds the distinct runs of `width` words; a text of fewer words has its whole sequence
 as its only element; null texts and texts without words have an empty set and link with nothing. Rows with a
@@ -33,7 +33,7 @@ from .bloom import possibly_in
 from .bytewords import SPACED, mix, shingles, words
 from .shared import batches, fresh, stored
 
-COORDINATES, BANDED, BAND = 256, 128, 4
+COORDINATES, BANDED, BAND, CELLS = 256, 128, 4, 256
 BLOCK = 512  # members of a bucket that one side of a comparison holds
 _CHUNK = 1 << 16  # shingles worked on at once, so that they stay in the cache
 
@@ -77,8 +77,23 @@ def bands(sig: np.ndarray) -> np.ndarray:
     return acc.view(np.int64)
 
 
+def cells(flat: np.ndarray, borders: np.ndarray) -> np.ndarray:
+    """How many shingles of each row fall into each hash cell: rows x CELLS, uint8; all 255 if a count exceeds 254."""
+    n = len(borders) - 1
+    row = np.repeat(np.arange(n), np.diff(borders))
+    out = np.bincount(row * CELLS + (flat >> np.uint64(40)).astype(np.int64) % CELLS, minlength=n * CELLS).reshape(n, CELLS)
+    out[(out > 254).any(axis=1)] = 255
+    return out.astype(np.uint8)
+
+
+def _possible(x: np.ndarray, y: np.ndarray, n_x, n_y, percent: int) -> np.ndarray:
+    """Whether sets of these cells and sizes can have the similarity, row by row."""
+    most = np.minimum(x, y).sum(axis=1, dtype=np.int64)
+    return (100 * most >= percent * (n_x + n_y - most)) | ((x[:, 0] == 255) & (y[:, 0] == 255))
+
+
 def _prepare(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame:
-    """Per row: id, keys of its text, set size, digest of its set, signature (low bytes), bucket keys."""
+    """Per row: id, keys of its text, set size, digest of its set, signature (low bytes) and cells, bucket keys."""
 
     def work(batches_):
         for b in batches_:
@@ -89,8 +104,9 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
             sets = [hashlib.blake2b(raw[8 * a : 8 * z], digest_size=16).digest() if z > a else None for a, z in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)]
             sig = signatures(flat, np.append(borders[:-1][full], borders[-1]))
             low, keys = [None] * len(sizes), [None] * len(sizes)
+            count = cells(flat, borders)
             for i, s, k in zip(full.tolist(), sig.astype(np.uint8), bands(sig), strict=True):
-                low[i], keys[i] = s.tobytes(), k
+                low[i], keys[i] = s.tobytes() + count[i].tobytes(), k
             yield pa.record_batch({
                 "doc_id": b.column("doc_id"), "tk": b.column("tk"), "tk2": b.column("tk2"), "n_shingles": pa.array(sizes, pa.int64()),
                 "class": pa.array(sets, pa.binary()), "sig": pa.array(low, pa.binary()), "bands": pa.array(keys, pa.list_(pa.int64())),
@@ -101,15 +117,21 @@ def _prepare(df: DataFrame, id_col: str, text_col: str, width: int) -> DataFrame
     return stored(batches(src, work, schema).withColumn("row", F.monotonically_increasing_id()), "signatures")
 
 
-def _likely(pairs: DataFrame, share: float) -> DataFrame:
-    """Of pairs (a, b, sig_a, sig_b) those whose signatures agree in at least that share: distinct (a, b)."""
+def _sketches(t) -> tuple[np.ndarray, np.ndarray]:
+    both = np.frombuffer(b"".join(t.to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES + CELLS)
+    return both[:, :COORDINATES], both[:, COORDINATES:]
+
+
+def _likely(pairs: DataFrame, percent: int, share: float) -> DataFrame:
+    """Of pairs (a, b, n_a, n_b, sig_a, sig_b) those that signatures and cells don't rule out: distinct (a, b)."""
     least = round(share * COORDINATES)
 
     def work(batches_):
         for b in batches_:
             if b.num_rows:
-                x, y = (np.frombuffer(b"".join(b.column(c).to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES) for c in ("sig_a", "sig_b"))
-                ok = pa.array((x == y).sum(axis=1) >= least)
+                (x, x_cells), (y, y_cells) = (_sketches(b.column(c)) for c in ("sig_a", "sig_b"))
+                n_a, n_b = (b.column(c).to_numpy() for c in ("n_a", "n_b"))
+                ok = pa.array(((x == y).sum(axis=1) >= least) & _possible(x_cells, y_cells, n_a, n_b, percent))
                 yield pa.record_batch({c: b.column(c).filter(ok) for c in ("a", "b")})
 
     return pairs.mapInArrow(work, "a long, b long").distinct()
@@ -172,10 +194,6 @@ def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     return stored(told.join(keys, "key"), "open")
 
 
-def _sig(t: pa.Table) -> np.ndarray:
-    return np.frombuffer(b"".join(t.column("sig").to_pylist()), dtype=np.uint8).reshape(-1, COORDINATES)
-
-
 def _blocks(members: DataFrame) -> DataFrame:
     """Members with the number of blocks of their bucket, and their own block: about BLOCK members each."""
     placed = members.withColumn("blocks", F.ceil(F.col("n") / BLOCK).cast("int"))
@@ -186,7 +204,7 @@ def _centres(members: DataFrame) -> DataFrame:
     """key and node of the member of each bucket (of its first block) that agrees most with the others' values."""
 
     def work(key, t):
-        sig = _sig(t)
+        sig = _sketches(t.column("sig"))[0]
         if len(sig) > 2:
             values, order = np.sort(sig, axis=0), np.arange(len(sig))[:, None]
             new = np.ones_like(values, dtype=bool)
@@ -211,7 +229,7 @@ def _pairs_left(members: DataFrame, percent: int, share: float) -> DataFrame:
     def work(key, t):
         i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
         node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block"))
-        sig = _sig(t)
+        sig, cell = _sketches(t.column("sig"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         out = []
         for p in left.tolist():
@@ -219,6 +237,7 @@ def _pairs_left(members: DataFrame, percent: int, share: float) -> DataFrame:
             same = sig[q] == sig[p]
             earlier = same[:, : band * BAND].reshape(len(q), band, BAND).all(axis=2).any(axis=1)
             q = q[(same.sum(axis=1) >= least) & ~earlier]
+            q = q[_possible(cell[q], cell[p : p + 1], size[q], size[p], percent)]
             out.append(np.stack([np.minimum(node[q], node[p]), np.maximum(node[q], node[p])], axis=1))
         got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
         return pa.table({"a": pa.array(got[:, 0], pa.int64()), "b": pa.array(got[:, 1], pa.int64())})
@@ -250,7 +269,7 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     def against(members, pivots):
         one = pivots.select("key", F.col("node").alias("a"), F.col("sig").alias("sig_a"), F.col("n_shingles").alias("n_a"), F.col("comp").alias("comp_a"))
         two = members.select("key", F.col("node").alias("b"), F.col("sig").alias("sig_b"), F.col("n_shingles").alias("n_b"), F.col("comp").alias("comp_b"))
-        return _likely(two.join(one, "key").filter(F.col("comp_a") != F.col("comp_b")).filter(fits).select("a", "b", "sig_a", "sig_b"), share)
+        return _likely(two.join(one, "key").filter(F.col("comp_a") != F.col("comp_b")).filter(fits).select("a", "b", "n_a", "n_b", "sig_a", "sig_b"), percent, share)
 
     alone = members.withColumn("comp", F.col("node"))
     edges = stored(_verified(against(alone, alone.filter("node = pivot")), texts, width, percent), "edges")
