@@ -144,3 +144,10 @@ def op5_toxicity(spark, sf_dir):
 
     docs = table(spark, sf_dir, "documents")
     return score(docs, fit(docs, table(spark, sf_dir, "labels")))
+
+
+@query
+def op4_licenses(spark, sf_dir):
+    from .licenses import scan
+
+    return scan(table(spark, sf_dir, "documents"))
