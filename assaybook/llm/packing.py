@@ -26,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .shared import batches
-from .tokens import Tokens
+from .tokens import process_tokens
 
 WAITING = 2048
 
@@ -149,7 +149,7 @@ def pack_documents(
         return pa.record_batch(columns)
 
     def work(batches_):
-        coder, packer, id_type = Tokens(tokenizer), Packer(limits, cut=True, first=_first_sequence()), None
+        coder, packer, id_type = process_tokens(tokenizer), Packer(limits, cut=True, first=_first_sequence()), None
         for b in batches_:
             id_type = b.column("doc_id").type
             ids, borders = coder.encode(b.column("text"))

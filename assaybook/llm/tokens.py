@@ -9,6 +9,7 @@ encoded whole.
 
 from __future__ import annotations
 
+import functools
 import os
 
 import numpy as np
@@ -24,9 +25,9 @@ _SEPARATOR = "\n"
 
 
 class Tokens:
-    """Encoder of one process; holds at most max_pieces distinct pieces."""
+    """Encoder of one process; holds at most max_pieces distinct pieces (about 150 bytes each)."""
 
-    def __init__(self, path: str, max_pieces: int = 1_000_000):
+    def __init__(self, path: str, max_pieces: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
@@ -120,3 +121,9 @@ class Tokens:
             at.append(i)
         places = np.concatenate(at)
         return np.unique(np.searchsorted(borders, places, side="right") - 1)
+
+
+@functools.lru_cache(maxsize=1)
+def process_tokens(path: str) -> Tokens:
+    """The encoder that all tasks of a Python worker share, so that later tasks know most pieces already."""
+    return Tokens(path)
