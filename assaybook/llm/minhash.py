@@ -70,7 +70,7 @@ def signatures(flat: np.ndarray, borders: np.ndarray) -> np.ndarray:
 
 def bands(sig: np.ndarray) -> np.ndarray:
     """A bucket key for each band: rows x bands, int64; keys of different bands differ."""
-    parts = sig[:, :BANDED].reshape(len(sig), -1, BAND).astype(np.uint64)
+    parts = sig[:, :BANDED].reshape(len(sig), BANDED // BAND, BAND).astype(np.uint64)
     acc = mix(np.broadcast_to(np.arange(parts.shape[1], dtype=np.uint64) + np.uint64(1), parts.shape[:2]))
     for j in range(BAND):
         acc = mix(acc + parts[:, :, j])
@@ -303,7 +303,7 @@ def drop_near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Texts without words are no group and all stay. Only rows of groups of several rows are shuffled whole.
     """
     found = stored(near_duplicates(df, id_col, text_col, width, percent), "near")
-    groups = found.filter("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "tk", "tk2")).alias("best"))
+    groups = found.filter("n_shingles > 0").groupBy("component_id").agg(F.count("*").alias("n"), F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "tk", "tk2")).alias("best"))
     groups = stored(groups.filter("n > 1"), "groups")
     several = found.filter("n_shingles > 0").alias("f").join(groups.alias("g"), F.expr("f.component_id <=> g.component_id")).select(
         "f.doc_id", "f.tk", "f.tk2", F.expr("f.doc_id <=> g.best.doc_id and f.tk = g.best.tk and f.tk2 = g.best.tk2").alias("stays"),
