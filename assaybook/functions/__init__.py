@@ -5,7 +5,7 @@ from .forms import (
     doc_subtitle, form_defaults, form_map, is_doc_panel, is_form_panel, panel_kind,
     ultrasound_heading, ultrasound_labels,
 )
-from .numbers import clamp_limit, clean_ids, is_numeric_id, js_number, to_active, to_id, to_order
+from .numbers import clean_ids, is_numeric_id, js_number, list_limit, to_active, to_id, to_order
 from .ranges import (
     cat_range, display_value, dog_range, is_cat, is_out_of_range, normalize_species, outside,
     parse_range, parse_result, reference_for,

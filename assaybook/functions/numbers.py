@@ -69,17 +69,11 @@ def is_numeric_id(c: Column) -> Column:
     return F.coalesce(c.rlike(r"^[0-9]+\z"), F.lit(False))
 
 
-def clamp_limit(value: str | int | None, default: int, maximum: int) -> int:
-    """List limit from a request argument: leading whole number, 0 or none -> default."""
-    text = str(value if value is not None else default).strip()
-    sign = -1 if text[:1] == "-" else 1
-    digits = text.lstrip("+-") if text[:1] in "+-" else text
-    head = ""
-    for ch in digits:
-        if ch not in "0123456789":
-            break
-        head += ch
-    n = sign * int(head) if head else 0
-    if n < 0:
-        raise ValueError(f"limit must not be negative: {value!r}")
-    return min(n or default, maximum)
+def list_limit(value: str | int | None) -> int | None:
+    """A limit as it was asked for: none or blank is no limit, anything but a whole number of 0 or more raises."""
+    text = str(value if value is not None else "").strip()
+    if not text:
+        return None
+    if not text.isascii() or not text.isdigit():
+        raise ValueError(f"not a limit: {value!r}")
+    return int(text)

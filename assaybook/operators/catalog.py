@@ -13,7 +13,7 @@ from ..functions.forms import panel_kind as _panel_kind
 from ..schemas import PANEL_TEXT_LIMITS, PARAMETER_TEXT_LIMITS, TABLES, columns_of, conform
 from .checks import code_conflicts
 from .details import catalog_ranges
-from .numbering import with_new_ids
+from .numbering import with_new_ids, ranked
 
 PANEL_COLUMNS = ("id", "code", "name", "description", "display_order", "is_active")
 
@@ -58,6 +58,12 @@ def panel_parameter_counts(
     )
 
 
+def catalog_order(panels: DataFrame) -> DataFrame:
+    """id, code and place of every panel by display order, then id."""
+    rows = panels.select("id", "code", F.coalesce("display_order", F.lit(0)).alias("_order"))
+    return ranked(rows, "_order", "id", "place").drop("_order")
+
+
 def panel_kind(panels: DataFrame) -> DataFrame:
     return panels.select("id", "code", _panel_kind(F.col("code")).alias("kind"))
 

@@ -6,12 +6,11 @@ phone and a name share costs one partial row per task, however many reports it h
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp_limit
+from ..functions.numbers import list_limit
 from ..functions.text import digits_only, like_any, or_null, owner_key, pet_key
-from ..schemas import SEARCH_DEFAULT, SEARCH_MAX, SEARCH_OWNERS, SEARCH_SCAN
 
 PET_FIELDS = ("pet_name", "species", "breed", "age", "sex")
 
@@ -94,53 +93,44 @@ def _search_rows(reports: DataFrame, q: str) -> DataFrame:
     hits = reports.filter(
         like_any(text, [F.col("owner_phone"), F.col("patient_name"), F.col("pet_name")])
     )
-    # the newest 300 are taken before phone digits are looked at, as the source does
-    newest = hits.orderBy(F.desc("id")).limit(SEARCH_SCAN)
     if phone:
-        newest = newest.filter(F.contains(digits_only(F.col("owner_phone")), F.lit(text)))
-    return newest
+        hits = hits.filter(F.contains(digits_only(F.col("owner_phone")), F.lit(text)))
+    return hits
 
 
-def _search_owner_rows(reports: DataFrame, q: str) -> DataFrame:
-    """Search hits with their owner's fields and position; at most 300 rows from here on."""
+def search_owners(reports: DataFrame, q: str, owners: str | int | None = None) -> DataFrame:
+    """Owners of all reports that match: newest known name, phone and vet among the matches, newest
+    match, pets. All of them, or the newest `owners`."""
     rows = _keyed(_search_rows(reports, q))
-    newest_first = Window.partitionBy("owner_key").orderBy(F.desc("id"))
-    whole = newest_first.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-
-    def newest(name: str) -> Column:
-        return F.coalesce(F.first(or_null(F.col(name)), ignorenulls=True).over(whole), F.lit(""))
-
-    rows = rows.withColumns({
-        **{c: newest(c) for c in ("patient_name", "owner_phone", "referring_vet")},
-        "_seen": F.max("id").over(whole),
-    })
-    return rows.withColumn(
-        "owner_position", F.dense_rank().over(Window.orderBy(F.desc("_seen")))
-    ).filter(F.col("owner_position") <= SEARCH_OWNERS)
-
-
-OWNER_FIELDS = ("owner_position", "owner_key", "patient_name", "owner_phone", "referring_vet")
-
-
-def search_owners(reports: DataFrame, q: str) -> DataFrame:
-    """First 20 owners of a search, newest first."""
-    return _search_owner_rows(reports, q).groupBy(*OWNER_FIELDS).agg(
-        F.countDistinct("pet_key").alias("pets")
-    )
+    # one row per pet first, so a huge owner is already spread when its pets are counted
+    pets = rows.groupBy("owner_key", "pet_key").agg(F.max("id").alias("id"))
+    counts = pets.groupBy("owner_key").agg(F.count(F.lit(1)).alias("pets"))
+    found = rows.groupBy("owner_key").agg(
+        *[_newest_text(c) for c in ("patient_name", "owner_phone", "referring_vet")],
+        F.max("id").alias("owner_last_report_id"),
+    ).join(counts, "owner_key")
+    n = list_limit(owners)
+    return found if n is None else found.orderBy(F.desc("owner_last_report_id")).limit(n)
 
 
 def patient_search(
-    reports: DataFrame, q: str, limit: str | int | None = None
+    reports: DataFrame, q: str, limit: str | int | None = None, owners: str | int | None = None
 ) -> DataFrame:
-    """Flat pet list of a search: owners newest first, pets newest first inside an owner."""
-    n = clamp_limit(limit, SEARCH_DEFAULT, SEARCH_MAX)
-    pets = _search_owner_rows(reports, q).groupBy(*OWNER_FIELDS, "pet_key").agg(
-        F.max_by(F.struct(*PET_FIELDS, "report_date"), "id").alias("_p"),
-        F.max("id").alias("last_report_id"),
+    """Flat pet list of a search, each pet with its owner's fields.
+
+    The list's order is owner_last_report_id, then last_report_id, newest first; `limit` takes its
+    first rows and `owners` its first owners, exactly. Without them the whole result is returned,
+    unsorted: nothing forces it through one task.
+    """
+    newest = F.max_by(F.struct(*PET_FIELDS, "report_date"), "id")
+    pets = _keyed(_search_rows(reports, q)).groupBy("owner_key", "pet_key").agg(
+        newest.alias("_p"), F.max("id").alias("last_report_id")
     )
-    order = Window.orderBy("owner_position", F.desc("last_report_id"))
-    return pets.select(
-        F.row_number().over(order).alias("position"), *OWNER_FIELDS, "pet_key",
-        *[F.coalesce(F.col(f"_p.{c}"), F.lit("")).alias(c) for c in PET_FIELDS],
+    out = pets.join(search_owners(reports, q, owners).drop("pets"), "owner_key").select(
+        "owner_key", "patient_name", "owner_phone", "referring_vet", "owner_last_report_id",
+        "pet_key", *[F.coalesce(F.col(f"_p.{c}"), F.lit("")).alias(c) for c in PET_FIELDS],
         "last_report_id", F.col("_p.report_date").alias("last_report_date"),
-    ).filter(F.col("position") <= n)
+    )
+    n = list_limit(limit)
+    order = (F.desc("owner_last_report_id"), F.desc("last_report_id"))
+    return out if n is None else out.orderBy(*order).limit(n)

@@ -179,16 +179,24 @@ def ultrasound_sections(
 # -- saving --------------------------------------------------------------------------------
 
 
+def split_writes(writes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(writes whose form code fits its column, the others with reject_reason). A code is never cut:
+    two long codes with one beginning would become one form."""
+    long = F.coalesce(F.length("form_code") > MAX_FORM_CODE, F.lit(False))
+    return writes.filter(~long), writes.filter(long).withColumn("reject_reason", F.lit("form_code_too_long"))
+
+
 def last_writes(writes: DataFrame) -> DataFrame:
-    """Last write per report and form; '{}' for a missing body, codes cut to 40 characters."""
-    code = F.substring("form_code", 1, MAX_FORM_CODE)
+    """Last write per report and form; '{}' for a missing body. Over-long codes are left to the
+    refused half of split_writes."""
+    writes = split_writes(writes)[0]
     ts = F.col("ts") if "ts" in writes.columns else F.lit(None)
     # place of the form inside its payload
     pos = F.col("pos") if "pos" in writes.columns else F.lit(0)
     return (
         writes.filter(or_null(F.col("form_code")).isNotNull())
         .select(
-            "report_id", "seq", code.alias("form_code"),
+            "report_id", "seq", "form_code",
             F.coalesce(F.col("form_json"), F.lit("{}")).alias("form_json"),
             ts.cast("timestamp_ntz").alias("ts"), F.struct("seq", pos.alias("pos")).alias("_at"),
         )

@@ -16,9 +16,7 @@ from ..functions.dates import today_utc
 from ..functions.numbers import clean_ids, to_id
 from ..functions.ranges import normalize_species
 from ..functions.text import or_null, trim
-from ..schemas import (
-    MAX_IMAGES, MAX_UPDATE_PANELS, MAX_UPDATE_RESULTS, RESULT_TEXT_LIMITS, TEXT_LIMITS, conform,
-)
+from ..schemas import MAX_FORM_CODE, RESULT_TEXT_LIMITS, TEXT_LIMITS, conform
 from ..sources.tables import Tables, changed
 from .forms import last_writes, replace_forms
 from .numbering import last_number, next_id, report_no, running_totals
@@ -92,14 +90,10 @@ def _storable(mode: str) -> Column:
 # -- children ------------------------------------------------------------------------------
 
 
-def _children(mode: str) -> dict[str, Column]:
-    """Child lists of a body as they would be stored; null where the body has no such list."""
-    panels, results = clean_ids(F.col("panel_ids")), F.col("results")
-    if mode == "update":
-        panels = F.slice(panels, 1, MAX_UPDATE_PANELS)
-        results = F.slice(results, 1, MAX_UPDATE_RESULTS)
+def _children() -> dict[str, Column]:
+    """Child lists of a body as they would be stored, whole; null where the body has no such list."""
     rows = F.filter(
-        results,
+        F.col("results"),
         lambda r: or_null(r["parameter_id"]).isNotNull() & (r["parameter_id"] != "0"),
     )
     rows = F.transform(rows, lambda r: F.struct(
@@ -110,15 +104,15 @@ def _children(mode: str) -> dict[str, Column]:
         F.map_entries("forms"), lambda e: or_null(e["key"]).isNotNull()
     )
     return {
-        "_panels": panels,
+        "_panels": clean_ids(F.col("panel_ids")),
         "_results": rows,
-        "_images": F.slice(clean_ids(F.col("image_ids")), 1, MAX_IMAGES),
+        "_images": clean_ids(F.col("image_ids")),
         "_forms": forms,
     }
 
 
 def _child_reason() -> Column:
-    """Child faults visible inside the body: repeats, unreadable ids, over-long texts."""
+    """Child faults visible inside the body: repeats, unreadable ids, over-long texts and codes."""
     results = F.coalesce(F.col("_results"), F.array().cast(_RESULTS))
     ids = F.transform(results, lambda r: r["parameter_id"])
     long = F.exists(results, lambda r: reduce(lambda a, b: a | b, [
@@ -129,6 +123,7 @@ def _child_reason() -> Column:
         F.when(F.exists(ids, lambda i: i.isNull()), "bad_parameter_id"),
         F.when(F.size(F.array_distinct(ids)) < F.size(ids), "duplicate_parameter"),
         F.when(long, "result_too_long"),
+        F.when(F.exists("_forms", lambda e: F.length(e["key"]) > MAX_FORM_CODE), "form_code_too_long"),
     )
 
 
@@ -163,7 +158,7 @@ def _checked(
     payloads: DataFrame, validated: DataFrame, tables: Mapping[str, DataFrame], mode: str, as_of: str
 ) -> tuple[DataFrame, DataFrame]:
     """(coerced bodies with child lists, (seq, reject_reason) of refused ones)."""
-    rows = validated.withColumns(_children(mode))
+    rows = validated.withColumns(_children())
     rows = rows.withColumn(
         "reject_reason", F.coalesce(F.col("reject_reason"), _storable(mode), _child_reason())
     )
@@ -192,9 +187,9 @@ def _child_rows(bodies: DataFrame, column: str, start: str) -> DataFrame:
 
 
 def image_positions(payloads: DataFrame) -> DataFrame:
-    """(seq, image_id, display_order): place in the body's image list, first 40."""
+    """(seq, image_id, display_order): place in the body's image list."""
     return payloads.select(
-        "seq", F.posexplode(F.slice(clean_ids(F.col("image_ids")), 1, MAX_IMAGES))
+        "seq", F.posexplode(clean_ids(F.col("image_ids")))
     ).select("seq", F.col("col").alias("image_id"), F.col("pos").alias("display_order"))
 
 

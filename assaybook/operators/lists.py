@@ -7,28 +7,26 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.numbers import clamp_limit
+from ..functions.numbers import list_limit
 from ..functions.text import like_any, trim
 from ..functions.text import rebook_key as _rebook_key
-from ..schemas import LIST_DEFAULT, LIST_MAX
 
 LIST_COLUMNS = (
     "id", "report_no", "patient_name", "pet_name", "species", "sample_date", "report_date",
     "status", "created_at",
 )
 SEARCHED = ("report_no", "patient_name", "pet_name", "owner_phone")
-SEARCHES_PER_PASS = 64
 
 
 def report_list(
     reports: DataFrame, q: str = "", limit: str | int | None = None, accent_blind: bool = False
 ) -> DataFrame:
-    """Newest reports, optionally only those matching q."""
+    """Reports, newest first, optionally only those matching q; all of them, or the newest `limit`."""
     q = (q or "").strip()
     rows = reports.filter(like_any(q, map(F.col, SEARCHED), accent_blind)) if q else reports
-    return rows.select(*LIST_COLUMNS).orderBy(F.desc("id")).limit(
-        clamp_limit(limit, LIST_DEFAULT, LIST_MAX)
-    )
+    n = list_limit(limit)
+    rows = rows.select(*LIST_COLUMNS).orderBy(F.desc("id"))
+    return rows if n is None else rows.limit(n)
 
 
 def report_list_batch(
@@ -37,21 +35,18 @@ def report_list_batch(
     """report_list for many search strings in one scan: + query_no, position.
 
     Every search string is a literal pattern tested on each row as it is read, so no pairs of
-    rows and strings are built; the per-string top list is cut before the shuffle.
+    rows and strings are built; the per-string top list is cut before the shuffle. Without a limit
+    every match is returned, and no positions: order by query_no and id where they are needed.
     """
-    n = clamp_limit(limit, LIST_DEFAULT, LIST_MAX)
-    found = None
-    for start in range(0, len(queries), SEARCHES_PER_PASS):
-        hits = F.array(*[
-            F.when(_matches(q), F.lit(start + i))
-            for i, q in enumerate(queries[start:start + SEARCHES_PER_PASS])
-        ])
-        part = reports.select(
-            *LIST_COLUMNS, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("query_no")
-        )
-        found = part if found is None else found.unionByName(part)
-    if found is None:
+    if not queries:
         raise ValueError("no queries given")
+    n = list_limit(limit)
+    hits = F.array(*[F.when(_matches(q), F.lit(i)) for i, q in enumerate(queries)])
+    found = reports.select(
+        *LIST_COLUMNS, F.explode(F.filter(hits, lambda h: h.isNotNull())).alias("query_no")
+    )
+    if n is None:
+        return found
     newest = Window.partitionBy("query_no").orderBy(F.desc("id"))
     return found.withColumn("position", F.row_number().over(newest)).filter(
         F.col("position") <= n

@@ -6,10 +6,12 @@ from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.window import WindowSpec
 
 from ..schemas import REPORT_PREFIX
 
 BUCKET_BITS = 20
+SPAN_BITS = 22
 
 
 def running_totals(
@@ -22,20 +24,29 @@ def running_totals(
     """Adds, for each name in `sums`, the total over all earlier rows of the group.
 
     order[0] is a whole arrival number; later entries break ties. Rows are cut into ranges of
-    2^bits arrival numbers: each range is totalled (partial aggregation), the short table of
-    range totals is prefix-summed, and rows are ordered only inside their own range, so the
-    work of a group of any size is spread. The answer depends only on the data.
+    2^bits arrival numbers: each range is totalled (partial aggregation), the range totals are
+    prefix-summed, and rows are ordered only inside their own range, so the work of a group of
+    any size is spread. Sparse numbers (times, hashes) give a range per row, so the totals are
+    summed in two levels: ranges inside a span of 2^SPAN_BITS ranges, then the spans, of which
+    64-bit numbers have 2^22 at most. The answer depends only on the data.
     """
-    bucket = F.shiftright(F.col(order[0]).cast("bigint"), bits)
+    rows = df.withColumn("_bucket", F.shiftright(F.col(order[0]).cast("bigint"), bits))
     keys = [*groups, "_bucket"]
-    rows = df.withColumn("_bucket", bucket)
     totals = rows.groupBy(*keys).agg(*[F.sum(c).alias(f"_t_{n}") for n, c in sums.items()])
-    before = Window.partitionBy(*groups).orderBy("_bucket").rowsBetween(
-        Window.unboundedPreceding, -1
-    )
+    totals = totals.withColumn("_span", F.shiftright("_bucket", SPAN_BITS))
+    spans = totals.groupBy(*groups, "_span").agg(*[F.sum(f"_t_{n}").alias(f"_t_{n}") for n in sums])
+
+    def before(*parts: str, by: str) -> WindowSpec:
+        return Window.partitionBy(*parts).orderBy(by).rowsBetween(Window.unboundedPreceding, -1)
+
+    def earlier(window: WindowSpec, name: str) -> list[Column]:
+        return [F.coalesce(F.sum(f"_t_{n}").over(window), F.lit(0)).alias(f"{name}_{n}") for n in sums]
+
+    span_offsets = spans.select(*groups, "_span", *earlier(before(*groups, by="_span"), "_s"))
     offsets = totals.select(
-        *keys,
-        *[F.coalesce(F.sum(f"_t_{n}").over(before), F.lit(0)).alias(f"_o_{n}") for n in sums],
+        *groups, "_span", "_bucket", *earlier(before(*groups, "_span", by="_bucket"), "_b")
+    ).join(span_offsets, [*groups, "_span"]).select(
+        *keys, *[(F.col(f"_s_{n}") + F.col(f"_b_{n}")).alias(f"_o_{n}") for n in sums]
     )
     for g in groups:
         rows = rows.filter(F.col(g).isNotNull())
@@ -50,6 +61,18 @@ def running_totals(
     )
 
 
+def ranked(df: DataFrame, first: str, second: str, name: str) -> DataFrame:
+    """Adds the place of each row by (first, second), from 1; both are whole numbers. Values of
+    `first` may be few: their counts are prefix-summed, and rows are ranked inside their value."""
+    sizes = running_totals(
+        df.groupBy(first).agg(F.count(F.lit(1)).alias("_n")), [first], {"_earlier": F.col("_n")}
+    ).select(first, "_earlier")
+    inside = running_totals(df, [second], {"_rank": F.lit(1)}, [first])
+    return inside.join(sizes, first).select(
+        *df.columns, (F.col("_earlier") + F.col("_rank") + 1).alias(name)
+    )
+
+
 def next_id(existing: DataFrame) -> Column:
     """First free id of a table, as a scalar subquery."""
     return existing.agg((F.coalesce(F.max("id"), F.lit(0)) + 1).alias("n")).scalar()

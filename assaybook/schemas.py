@@ -80,16 +80,10 @@ PARAMETER_TEXT_LIMITS = {
     "code": 40, "name": 150, "unit": 40, "reference_range_dog": 120, "reference_range_cat": 120,
 }
 
-# Request and list limits.
+# Request sizes of the web form, for callers that want to keep them, and a column width.
 MAX_BODY_BYTES = 1048576
 MAX_UPLOAD_BYTES = 8 * 1024 * 1024
-MAX_IMAGES = 40
-MAX_UPDATE_PANELS = 50
-MAX_UPDATE_RESULTS = 500
 MAX_FORM_CODE = 40
-LIST_DEFAULT, LIST_MAX = 50, 200
-SEARCH_DEFAULT, SEARCH_MAX = 40, 100
-SEARCH_SCAN, SEARCH_OWNERS = 300, 20
 REPORT_PREFIX = "PZ"
 
 

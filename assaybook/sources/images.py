@@ -6,13 +6,15 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.text import safe_ext
-from ..schemas import MAX_UPLOAD_BYTES
 
 
-def image_manifest(files: DataFrame) -> DataFrame:
-    """files(original_name, mime, bytes, ...) -> + accepted, reject_reason, safe_ext."""
+def image_manifest(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
+    """files(original_name, mime, bytes, ...) -> + accepted, reject_reason, safe_ext. Files of more
+    than max_bytes are refused, if given."""
     image = F.coalesce(F.col("mime"), F.lit("")).rlike(r"(?i)^image/(jpeg|jpg|png|gif|webp)\z")
-    reason = F.when(~image, "not_an_image").when(F.col("bytes") > MAX_UPLOAD_BYTES, "too_large")
+    reason = F.when(~image, "not_an_image")
+    if max_bytes is not None:
+        reason = reason.when(F.col("bytes") > max_bytes, "too_large")
     return files.select(
         "*",
         reason.isNull().alias("accepted"),

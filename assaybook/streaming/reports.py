@@ -17,7 +17,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 from ..operators.intake import accept_creates, attach_images, attachments, created_rows
-from ..schemas import TABLES
+from ..schemas import TABLES, columns_of
 from ..sources.payloads import parse_payloads
 from ..sources.tables import Tables
 
@@ -91,7 +91,7 @@ def save_batch(
             for n in NUMBERED
         },
     })
-    readable = bodies.filter(F.col("reject_reason").isNull()).drop("reject_reason")
+    readable = bodies.filter(F.col("reject_reason").isNull()).drop("reject_reason", "raw_body")
     accepted, refused = accept_creates(tables, readable, as_of)
     stored(unread.unionByName(refused), "rejects")
     accepted = stored(accepted, "_accepted")
@@ -153,14 +153,22 @@ def _next_counters(counters: DataFrame, accepted: DataFrame, year: int) -> DataF
 def streamed_tables(
     spark: SparkSession, out_path: str, images: DataFrame | None = None
 ) -> Tables:
-    """The rows saved by the stream so far, and `images` with the attachments of all batches."""
+    """The rows saved by the stream so far, and `images` with the attachments of all batches. Only
+    batches whose counters are stored count: they are written last, so a batch that is still being
+    written, or that died half-way, is not seen."""
+    done = spark.read.schema(f"{COUNTERS}, batch BIGINT").parquet(f"{out_path}/_counters")
+    done = done.select("batch").distinct()
+
+    def saved(name: str, ddl: str) -> DataFrame:
+        rows = spark.read.schema(f"{ddl}, batch BIGINT").parquet(f"{out_path}/{name}")
+        return rows.join(done, "batch", "left_semi")
+
     def rows(name: str) -> DataFrame:
-        return spark.read.schema(f"{TABLES[name]}, batch BIGINT").parquet(f"{out_path}/{name}")
+        columns = [c for c, _ in columns_of(TABLES[name])]
+        return saved(name, TABLES[name]).select(*columns, "batch")
 
     def attached() -> DataFrame:
-        asked = spark.read.schema(
-            "seq BIGINT, report_id BIGINT, image_ids ARRAY<BIGINT>, batch BIGINT"
-        ).parquet(f"{out_path}/_attachments")
+        asked = saved("_attachments", "seq BIGINT, report_id BIGINT, image_ids ARRAY<BIGINT>")
         # ids rise with arrival across batches
         return attach_images(images, asked.withColumn("seq", F.col("report_id")), "create")
 

@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 import compare  # noqa: F401  (path check)
 from assaybook.operators import intake
-from assaybook.schemas import MAX_BODY_BYTES, TABLES, conform
-from assaybook.sources.payloads import read_drafts, read_payloads, split_rejects
+from assaybook.schemas import MAX_BODY_BYTES, TABLES, conform, empty_table
+from assaybook.sources.payloads import parse_payloads, read_drafts, read_payloads, split_rejects
 from assaybook.sources.tables import load_tables
 from assaybook.sources.writer import save_bucketed, write_report_tables
 from assaybook.streaming.rates import rate_limit_audit, rate_limit_stream
@@ -40,7 +40,9 @@ def catalog(spark):
 def test_read_payloads(spark, tmp_path):
     lines = [body(1), "{bad", body(2, clinical_notes="x" * (MAX_BODY_BYTES + 1)), body(3, forms=None), "[]"]
     (tmp_path / "in.json").write_text("\n".join(lines))
-    ok, bad = split_rejects(read_payloads(spark, str(tmp_path)))
+    ok, bad = split_rejects(read_payloads(spark, str(tmp_path), max_bytes=MAX_BODY_BYTES))
+    assert rows(bad, "raw_body") == sorted([(lines[1],), (lines[2],), (lines[4],)], key=repr)
+    assert split_rejects(read_payloads(spark, str(tmp_path)))[0].count() == 3
     assert rows(ok, "patient_name") == [("Owner 1",), ("Owner 3",)]
     first = ok.orderBy("patient_name").first()
     assert first.panel_ids == ["1", "2"] and first.results[0].value == "5.5"
@@ -91,6 +93,50 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(streamed_tables(spark, str(out))["lab_reports"], "id", "report_no", "patient_name") == headers
 
 
+def test_half_written_batch_is_not_seen(spark, tmp_path):
+    src, out = tmp_path / "in.json", tmp_path / "out"
+    src.write_text(body(1))
+    save_batch(spark.read.text(str(src)), 0, str(out), catalog(spark), 7, DAY)
+    before = rows(streamed_tables(spark, str(out))["lab_reports"], "id")
+    save_batch(spark.read.text(str(src)), 1, str(out), catalog(spark), 7, DAY)
+    (out / "_counters" / "batch=1").rename(tmp_path / "lost")
+    images = conform(spark.createDataFrame([(1,), (2,)], "id BIGINT"), "lab_report_images")
+    seen = streamed_tables(spark, str(out), images)
+    assert rows(seen["lab_reports"], "id") == before and len(before) == 1
+    assert seen["lab_report_results"].filter("report_id > 1").count() == 0
+    assert {r[0] for r in rows(seen["lab_report_images"], "report_id")} <= {None, before[0][0]}
+
+
+def test_large_bodies_are_stored_whole(spark):
+    panels, results, images = range(1, 61), range(1, 701), range(1, 61)
+    empty = {n: empty_table(spark, n) for n in TABLES}
+    tables = {
+        **empty,
+        "lab_test_panels": conform(spark.range(1, 61).selectExpr("id", "string(id) AS code"), "lab_test_panels"),
+        "lab_test_parameters": conform(spark.range(1, 701).selectExpr("id", "id % 60 + 1 AS panel_id", "string(id) AS code"), "lab_test_parameters"),
+        "lab_report_images": conform(spark.range(1, 61).toDF("id"), "lab_report_images"),
+    }
+    big = dict(
+        panel_ids=[str(i) for i in panels], image_ids=[str(i) for i in images],
+        results=[{"parameter_id": str(i), "value": str(i)} for i in results], forms={"A" * 40: "{}", "B": "{}"},
+    )
+
+    def bodies(*lines):
+        parsed = parse_payloads(spark.createDataFrame([(x,) for x in lines], "value STRING"), "report_id STRING")
+        return split_rejects(parsed)[0].withColumn("seq", F.monotonically_increasing_id())
+
+    made, refused = intake.apply_creates(tables, bodies(body(1, **big), body(2, **big | {"forms": {"C" * 41: "{}", "C" * 40: "{}"}})), DAY, 7)
+    assert rows(refused, "reject_reason") == [("form_code_too_long",)]
+    want = {"lab_report_panels": 60, "lab_report_results": 700, "lab_report_images": 60, "lab_report_forms": 2}
+    (report,) = [r.id for r in made["lab_reports"].collect()]
+    count = lambda t: {n: t[n].filter(F.col("report_id") == report).count() for n in want}
+    assert count(made) == want
+    saved, refused = intake.apply_updates({**tables, **made}, bodies(body(1, report_id=str(report), **big)), DAY)
+    assert refused.count() == 0 and count(saved) == want
+    _, refused = intake.apply_updates({**tables, **made}, bodies(body(1, report_id=str(report), **big | {"forms": {"C" * 41: "{}"}})), DAY)
+    assert rows(refused, "reject_reason") == [("form_code_too_long",)]
+
+
 def test_write_and_rewrite_touched(spark, tmp_path):
     n = 40
     tables = {

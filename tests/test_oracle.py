@@ -4,8 +4,9 @@ import compare
 import pytest
 
 import __spark_entry__ as entry
+import workload
 
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = workload.all_queries(), workload.all_oracles()
 
 
 @pytest.fixture(scope="module")

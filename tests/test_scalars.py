@@ -143,15 +143,16 @@ def test_like_accent_blind(spark):
 
 
 @pytest.mark.parametrize("value,want", [
-    (None, 50), ("0", 50), ("x", 50), ("12abc", 12), ("999", 200), (7, 7), ("", 50),
+    (None, None), ("0", 0), (" 12 ", 12), ("999", 999), (7, 7), ("", None), (10**9, 10**9),
 ])
-def test_clamp_limit(value, want):
-    assert fn.clamp_limit(value, 50, 200) == want
+def test_list_limit(value, want):
+    assert fn.list_limit(value) == want
 
 
-def test_clamp_limit_negative():
+@pytest.mark.parametrize("value", ["-3", "x", "12abc", 1.5, "²"])
+def test_unusable_limit(value):
     with pytest.raises(ValueError):
-        fn.clamp_limit("-3", 50, 200)
+        fn.list_limit(value)
 
 
 def test_clean_ids(spark):
@@ -208,7 +209,8 @@ def test_image_manifest(spark):
         ("d.gif", None, 1), ("e.jpg", "image/jpeg\n", 1),
     ]
     df = spark.createDataFrame(rows, "original_name STRING, mime STRING, bytes BIGINT")
-    got = {r.original_name: (r.accepted, r.reject_reason, r.safe_ext) for r in image_manifest(df).collect()}
+    assert image_manifest(df).filter("original_name = 'c.gif' and accepted").count() == 1
+    got = {r.original_name: (r.accepted, r.reject_reason, r.safe_ext) for r in image_manifest(df, 8 << 20).collect()}
     assert got == {
         "a.PNG": (True, None, ".png"), "b": (False, "not_an_image", ".jpg"),
         "c.gif": (False, "too_large", ".gif"), "d.gif": (False, "not_an_image", ".gif"),

@@ -14,6 +14,7 @@ from assaybook.functions import (
 )
 from assaybook.operators import bundles, catalog, checks, details, directory, lists, numbering
 from assaybook.plans import print as printed
+from assaybook.schemas import MAX_UPLOAD_BYTES
 from assaybook.sources import images
 
 from .duck import (
@@ -136,7 +137,7 @@ def _(lab: Lab):
         "doc_id", F.concat(F.lit("dir.d/scan"), text(d), ending).alias("original_name"),
         mime.alias("mime"), (F.col("n_chars") * 1000).alias("bytes"),
     )
-    return images.image_manifest(files).select("doc_id", "accepted", "reject_reason", "safe_ext")
+    return images.image_manifest(files, MAX_UPLOAD_BYTES).select("doc_id", "accepted", "reject_reason", "safe_ext")
 
 
 @register("missing_files", sql("""
@@ -167,11 +168,11 @@ SEARCH = "(lower(report_no) LIKE '{0}' OR lower(patient_name) LIKE '{0}' OR lowe
 
 @register("report_list", sql(f"SELECT {LISTED} FROM lab_reports ORDER BY id DESC LIMIT 50"))
 def _(lab: Lab):
-    return lists.report_list(lab.reports)
+    return lists.report_list(lab.reports, limit=50)
 
 
 @register("report_list_search", sql(
-    f"SELECT {LISTED} FROM lab_reports WHERE {SEARCH.format('%000_7%')} ORDER BY id DESC LIMIT 200"
+    f"SELECT {LISTED} FROM lab_reports WHERE {SEARCH.format('%000_7%')} ORDER BY id DESC LIMIT 500"
 ))
 def _(lab: Lab):
     return lists.report_list(lab.reports, " 000_7 ", 500)
@@ -268,15 +269,10 @@ def _(lab: Lab):
 
 
 @register("catalog_order", sql("""
-    SELECT id, code, CAST(row_number() OVER (ORDER BY display_order, id) AS INTEGER) AS place
+    SELECT id, code, row_number() OVER (ORDER BY display_order, id) AS place
     FROM lab_test_panels"""))
 def _(lab: Lab):
-    from pyspark.sql import Window
-
-    # the catalog has one row per panel
-    return lab.panels.select("id", "code", F.row_number().over(
-        Window.orderBy("display_order", "id")
-    ).alias("place"))
+    return catalog.catalog_order(lab.panels)
 
 
 @register("catalog_bundles", sql(f"""
@@ -514,34 +510,43 @@ def _(lab: Lab):
     return directory.owner_pet_counts(lab.reports)
 
 
-def search_sql(like: str, recheck: str, limit: int) -> str:
+def search_sql(like: str, recheck: str = "true", end: str = "") -> str:
     return sql(f"""
-    SELECT CAST(row_number() OVER (ORDER BY owner_position, last_report_id DESC) AS INTEGER) AS position, *
-    FROM (SELECT CAST(dense_rank() OVER (ORDER BY seen DESC) AS INTEGER) AS owner_position, *
-      FROM (SELECT o.owner_key, o.patient_name, o.owner_phone, o.referring_vet, o.seen, p.pet_key,
-              p.pet_name, p.species, p.breed, p.age, p.sex, p.last_report_id, p.last_report_date
-            FROM (SELECT owner_key, {newest('patient_name')}, {newest('owner_phone')},
-                         {newest('referring_vet')}, max(id) AS seen FROM hits GROUP BY owner_key) o
-            JOIN ({PETS.replace(KEYED, 'hits')}) p ON p.owner_key = o.owner_key))
-    WHERE owner_position <= 20
-    QUALIFY position <= {limit}""".replace("SELECT *\n", "SELECT *\n"), hits=f"""
-      SELECT * FROM (SELECT * FROM {KEYED} WHERE lower(owner_phone) LIKE '{like}'
-        OR lower(patient_name) LIKE '{like}' OR lower(pet_name) LIKE '{like}'
-        ORDER BY id DESC LIMIT 300) WHERE {recheck}""")
+    SELECT o.owner_key, o.patient_name, o.owner_phone, o.referring_vet, o.seen AS owner_last_report_id, p.pet_key,
+           p.pet_name, p.species, p.breed, p.age, p.sex, p.last_report_id, p.last_report_date
+    FROM (SELECT owner_key, {newest('patient_name')}, {newest('owner_phone')},
+                 {newest('referring_vet')}, max(id) AS seen FROM hits GROUP BY owner_key) o
+    JOIN ({PETS.replace(KEYED, 'hits')}) p ON p.owner_key = o.owner_key {end}""", hits=f"""
+      SELECT * FROM {KEYED} WHERE (lower(owner_phone) LIKE '{like}'
+        OR lower(patient_name) LIKE '{like}' OR lower(pet_name) LIKE '{like}') AND {recheck}""")
+
+
+@register("patient_search", search_sql("%ustomer#00%1_%"))
+def _(lab: Lab):
+    return directory.patient_search(lab.reports, "ustomer#00%1_")
 
 
-@register("patient_search", f"SELECT * EXCLUDE (seen) FROM ({search_sql('%ustomer#00%1_%', 'true', 100)})")
+@register("patient_search_newest", search_sql(
+    "%ustomer#00%1_%", end="ORDER BY owner_last_report_id DESC, last_report_id DESC LIMIT 200"))
 def _(lab: Lab):
-    return directory.patient_search(lab.reports, "ustomer#00%1_", 200)
+    return directory.patient_search(lab.reports, "ustomer#00%1_", limit=200)
 
 
-@register("patient_search_phone", f"""SELECT * EXCLUDE (seen) FROM ({search_sql(
-    '%9230010%', "regexp_replace(coalesce(owner_phone, ''), '[^0-9]', '', 'g') LIKE '%9230010%'", 40
-)})""")
+@register("patient_search_phone", search_sql(
+    "%9230010%", "regexp_replace(coalesce(owner_phone, ''), '[^0-9]', '', 'g') LIKE '%9230010%'"))
 def _(lab: Lab):
     return directory.patient_search(lab.reports, " +92 300-10 ")
 
 
+@register("search_owners", sql(f"""
+    SELECT owner_key, {newest('patient_name')}, {newest('owner_phone')}, {newest('referring_vet')},
+           max(id) AS owner_last_report_id, count(DISTINCT pet_key) AS pets
+    FROM (SELECT * FROM {KEYED} WHERE lower(owner_phone) LIKE '%rex%'
+      OR lower(patient_name) LIKE '%rex%' OR lower(pet_name) LIKE '%rex%') GROUP BY owner_key"""))
+def _(lab: Lab):
+    return directory.search_owners(lab.reports, "Rex")
+
+
 # -- numbering -----------------------------------------------------------------------------
 
 
