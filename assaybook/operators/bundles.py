@@ -1,16 +1,14 @@
-"""Nested outputs: reports with panels, results, images and forms; panels with parameters.
+"""What belongs to a report, a panel or a draft, as flat rows of one shape at every size.
 
-A nested row collects what belongs to one report into one record. Groups beyond `max_items`
-children are split into several records of the same report, numbered by `part`, so that no
-single record, task or group has to hold an unbounded report; nothing is cut off. Ordinary
-reports come out as exactly one record with part 0.
+A report is one header row; its panels, results, images and forms are rows that name it, each with its
+place. Nothing is nested, split or cut off, so a report of any size is as many rows as it has children.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.forms import form_map
@@ -20,183 +18,121 @@ from .details import (
     report_headers, report_panel_details, report_result_details, results_in_panels, species_ranges,
 )
 
-MAX_ITEMS = 10_000
-
+PANEL_FIELDS = ("code", "name", "description", "display_order")
 RESULT_FIELDS = (
-    "id", "parameter_id", "value", "flag", "remarks", "panel_id", "code", "name", "unit",
-    "reference_range", "reference_range_dog", "reference_range_cat", "display_order",
+    "id", "parameter_id", "value", "flag", "remarks", "code", "name", "unit", "reference_range",
+    "reference_range_dog", "reference_range_cat", "display_order",
 )
+IMAGE_FIELDS = ("id", "stored_name", "original_name", "display_order")
 
 
-def split_large_groups(
-    rows: DataFrame, keys: Sequence[str], spread: Sequence[Column], max_items: int
-) -> DataFrame:
-    """Adds `part`: 0 for groups up to max_items rows, else a hash of `spread` into enough parts.
-
-    Group sizes come from a count that combines before its shuffle; only the large groups are
-    joined back, and that join is split at run time when one of them is hot.
-    """
-    large = (
-        rows.groupBy(*keys)
-        .agg(F.count(F.lit(1)).alias("_n"))
-        .filter(F.col("_n") > max_items)
-        .select(*keys, F.ceil(F.col("_n") / max_items).cast("bigint").alias("_parts"))
-    )
-    part = F.when(
-        F.col("_parts").isNotNull(), F.pmod(F.xxhash64(*spread), F.col("_parts"))
-    ).otherwise(F.lit(0)).cast("int")
-    return rows.join(large, list(keys), "left").withColumn("part", part).drop("_parts")
+def _placed(rows: DataFrame, within: list[str], order: list[str]) -> DataFrame:
+    """Adds position, from 0."""
+    place = F.row_number().over(Window.partitionBy(*within).orderBy(*order)) - 1
+    return rows.withColumn("position", place)
 
 
-def _sorted_items(order: Sequence[str], item: Column, when: Column | None = None) -> Column:
-    """Array of items ordered by the given columns."""
-    entry = F.struct(*[F.col(c).alias(f"o{i}") for i, c in enumerate(order)], item.alias("item"))
-    entries = F.collect_list(F.when(when, entry) if when is not None else entry)
-    return F.transform(F.array_sort(entries), lambda e: e["item"])
-
-
-def _with_result_rows(tables: Mapping[str, DataFrame], headers: DataFrame) -> DataFrame:
-    """Selected panels with their results, ranges resolved for the report's species."""
-    results = report_result_details(tables["lab_report_results"], tables["lab_test_parameters"])
-    panels = report_panel_details(tables["lab_report_panels"], tables["lab_test_panels"])
-    species = headers.select(F.col("id").alias("report_id"), "species")
-    # species joins the short panel rows, not the long result rows
-    return species_ranges(results_in_panels(panels.join(species, "report_id"), results))
+def _of(rows: DataFrame, reports: DataFrame | None) -> DataFrame:
+    """Child rows of some reports, or of all."""
+    if reports is None:
+        return rows.filter(F.col("report_id").isNotNull())
+    return rows.join(reports.select(F.col("id").alias("report_id")), "report_id", "left_semi")
 
 
 def report_bundles(
-    tables: Mapping[str, DataFrame],
-    reports: DataFrame | None = None,
-    max_items: int = MAX_ITEMS,
-) -> DataFrame:
-    """report columns, created_by_name, part, panels[.., results[]], images[], forms{}.
+    tables: Mapping[str, DataFrame], reports: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """reports, panels, results, images and forms; `reports` restricts the work to some header rows
+    (e.g. reports_by_no).
 
-    `reports` restricts the work to some header rows (e.g. reports_by_no).
+    results holds the results of selected panels only, with ranges resolved for the report's species;
+    it meets its panels and is placed after one shuffle on report_id.
     """
-    reports = tables["lab_reports"] if reports is None else reports
-    headers = report_headers(reports, tables["lab_users"])
-    key = ["report_id", "part"]
-
-    rows = split_large_groups(
-        _with_result_rows(tables, headers), ["report_id"], [F.col("id"), F.col("panel_id")],
-        max_items,
-    ).repartition("report_id", "part")  # serves both collecting steps below
-    result = F.struct(*[
-        (F.col(f"result_{c}") if c in ("code", "name", "display_order") else F.col(c)).alias(c)
-        for c in RESULT_FIELDS
-    ])
-    per_panel = rows.groupBy(*key, "panel_id").agg(
-        *[F.first(c).alias(c) for c in ("code", "name", "description", "display_order")],
-        _sorted_items(
-            ["result_display_order", "parameter_id", "id"], result, F.col("id").isNotNull()
-        ).alias("results"),
+    headers = report_headers(
+        tables["lab_reports"] if reports is None else reports, tables["lab_users"]
     )
-    panel = F.struct(
-        F.col("panel_id").alias("id"), "code", "name", "description", "display_order", "results"
+    panels = report_panel_details(
+        _of(tables["lab_report_panels"], reports), tables["lab_test_panels"]
     )
-    panels = per_panel.groupBy(*key).agg(
-        _sorted_items(["display_order", "panel_id"], panel).alias("panels")
+    results = report_result_details(
+        _of(tables["lab_report_results"], reports), tables["lab_test_parameters"]
     )
-
-    images = split_large_groups(
-        tables["lab_report_images"].filter(F.col("report_id").isNotNull()), ["report_id"],
-        [F.col("id")], max_items,
-    ).groupBy(*key).agg(_sorted_items(["display_order", "id"], F.struct(
-        "id", "report_id", "stored_name", "original_name", "display_order",
-        image_url(F.col("stored_name")).alias("url"),
-    )).alias("images"))
-
-    forms = split_large_groups(
-        tables["lab_report_forms"], ["report_id"], [F.col("form_code")], max_items
-    ).groupBy(*key).agg(_form_entries().alias("forms"))
-
-    children = panels.join(images, key, "full").join(forms, key, "full")
-    out = headers.withColumnRenamed("id", "report_id").join(children, "report_id", "left")
-
-    def filled(name: str) -> Column:
-        return F.coalesce(F.col(name), F.array().cast(children.schema[name].dataType))
-
-    return out.select(
-        *["report_id" if c == "id" else c for c in headers.columns],
-        F.coalesce(F.col("part"), F.lit(0)).alias("part"),
-        filled("panels").alias("panels"),
-        filled("images").alias("images"),
-        F.coalesce(
-            F.col("forms"), F.create_map().cast(children.schema["forms"].dataType)
-        ).alias("forms"),
+    # species joins the short panel rows, not the long result rows
+    species = headers.select(F.col("id").alias("report_id"), "species")
+    rows = species_ranges(results_in_panels(panels.join(species, "report_id"), results))
+    named = {c: f"result_{c}" if c in PANEL_FIELDS else c for c in RESULT_FIELDS}
+    rows = rows.filter(F.col("id").isNotNull()).select(
+        "report_id", "panel_id", *[F.col(name).alias(c) for c, name in named.items()]
     )
-
-
-def _form_entries() -> Column:
-    """form_code -> key/text map; unreadable JSON gives an empty map, the newest row wins."""
-    entries = F.array_sort(F.collect_list(F.struct("id", "form_code", "form_json")))
-    codes = F.array_distinct(F.transform(entries, lambda e: e["form_code"]))
-    last = F.transform(codes, lambda code: F.struct(code.alias("key"), form_map(
-        F.element_at(F.filter(entries, lambda e: e["form_code"] == code), -1)["form_json"]
-    ).alias("value")))
-    return F.map_from_entries(last)
-
-
-def report_forms_map(forms: DataFrame, max_items: int = MAX_ITEMS) -> DataFrame:
-    """(report_id, part, forms: form_code -> key/text map)"""
-    rows = split_large_groups(forms, ["report_id"], [F.col("form_code")], max_items)
-    return rows.groupBy("report_id", "part").agg(_form_entries().alias("forms"))
+    images = _of(tables["lab_report_images"], reports).select(
+        "report_id", *IMAGE_FIELDS, image_url(F.col("stored_name")).alias("url")
+    )
+    return {
+        "reports": headers.withColumnRenamed("id", "report_id"),
+        "panels": _placed(
+            panels.select("report_id", "panel_id", *PANEL_FIELDS), ["report_id"],
+            ["display_order", "panel_id"],
+        ),
+        "results": _placed(
+            rows, ["report_id", "panel_id"], ["display_order", "parameter_id", "id"]
+        ),
+        "images": _placed(images, ["report_id"], ["display_order", "id"]),
+        "forms": report_forms_map(_of(tables["lab_report_forms"], reports)),
+    }
+
+
+def report_forms_map(forms: DataFrame) -> DataFrame:
+    """(report_id, form_code, fields: key/text map); unreadable JSON gives an empty map, of several
+    rows of one code the newest counts."""
+    newest = forms.groupBy("report_id", "form_code").agg(F.max_by("form_json", "id").alias("j"))
+    return newest.select("report_id", "form_code", form_map(F.col("j")).alias("fields"))
 
 
 def catalog_bundles(
-    panels: DataFrame, params: DataFrame, active_only: bool = False, max_items: int = MAX_ITEMS
+    panels: DataFrame, params: DataFrame, active_only: bool = False
 ) -> DataFrame:
-    """panel columns, part, parameters[]; a panel without parameters has []."""
-    flat = panels_with_parameters(panels, params, active_only)
-    fields = [c for c in flat.columns if c.startswith("parameter_")]
-    parameter = F.struct(*[F.col(c).alias(c.removeprefix("parameter_")) for c in fields])
-    head = [c for c in flat.columns if c not in fields and c != "panel_id"]
-    rows = split_large_groups(flat, ["panel_id"], [F.col("parameter_id")], max_items)
-    return rows.groupBy("panel_id", "part").agg(
-        *[F.first(c).alias(c) for c in head],
-        _sorted_items(
-            ["parameter_display_order", "parameter_id"], parameter,
-            F.col("parameter_id").isNotNull(),
-        ).alias("parameters"),
-    )
+    """Panel columns, parameter columns, and the place of the parameter in its panel; a panel
+    without parameters keeps one row with nulls."""
+    rows = panels_with_parameters(panels, params, active_only)
+    placed = _placed(rows, ["panel_id"], ["parameter_display_order", "parameter_id"])
+    some = F.col("parameter_id").isNotNull()
+    return placed.withColumn("position", F.when(some, F.col("position")))
 
 
 def report_drafts(
-    tables: Mapping[str, DataFrame],
-    as_of: Column,
-    reports: DataFrame | None = None,
-    max_items: int = MAX_ITEMS,
-) -> DataFrame:
-    """Saved reports as editable drafts: blank texts '', the run date for missing dates, value
-    map, included parameter ids, panel ids in print order, images, forms."""
-    b = report_bundles(tables, reports, max_items)
-    rows = F.flatten(F.transform("panels", lambda p: p["results"]))
-    ids = F.transform(rows, lambda r: r["parameter_id"])
-    # one value per parameter; a repeated parameter keeps its last value
-    values = F.map_from_entries(F.transform(F.array_distinct(ids), lambda i: F.struct(
-        i.cast("string").alias("key"),
-        F.coalesce(
-            F.element_at(F.filter(rows, lambda r: r["parameter_id"] == i), -1)["value"], F.lit("")
-        ).alias("value"),
-    )))
+    tables: Mapping[str, DataFrame], as_of: Column, reports: DataFrame | None = None
+) -> dict[str, DataFrame]:
+    """Saved reports as editable drafts: drafts (one row per report, blank texts '', the run date for
+    missing dates), panels in print order, values (one per report and parameter, the last one of a
+    repeated parameter; these are the included parameters too), images, forms."""
+    b = report_bundles(tables, reports)
     day = as_of.cast("date").cast("string")
-    return b.select(
-        F.col("report_id").alias("editId"), "part",
-        *[
-            F.coalesce(F.col(c), F.lit("")).alias(c)
-            for c in (
-                "patient_name", "owner_phone", "pet_name", "species", "breed", "age", "sex",
-                "referring_vet",
-            )
-        ],
+    texts = (
+        "patient_name", "owner_phone", "pet_name", "species", "breed", "age", "sex",
+        "referring_vet",
+    )
+    drafts = b["reports"].select(
+        F.col("report_id").alias("editId"),
+        *[F.coalesce(F.col(c), F.lit("")).alias(c) for c in texts],
         F.coalesce(F.col("sample_date").cast("string"), day).alias("sample_date"),
         F.coalesce(F.col("report_date").cast("string"), day).alias("report_date"),
         F.coalesce(F.col("remarks"), F.lit("")).alias("remarks"),
         F.coalesce(F.col("clinical_notes"), F.lit("")).alias("clinical_notes"),
         F.lit("final").alias("status"),
-        F.transform("panels", lambda p: p["id"]).alias("panel_ids"),
-        ids.alias("included_parameter_ids"),
-        ids.alias("parameter_ids_snapshot"),
-        values.alias("results"),
-        "images", "forms",
     )
+    last = F.max_by(F.struct("value", "panel_id", "display_order"), "id")
+    values = b["results"].groupBy("report_id", "parameter_id").agg(last.alias("v")).select(
+        "report_id", "parameter_id", "v.panel_id", "v.display_order",
+        F.coalesce("v.value", F.lit("")).alias("value"),
+    )
+    named = lambda df: df.withColumnRenamed("report_id", "editId")
+    return {
+        "drafts": drafts,
+        "panels": named(b["panels"].select("report_id", "position", "panel_id")),
+        "values": named(
+            _placed(values, ["report_id", "panel_id"], ["display_order", "parameter_id"])
+            .select("report_id", "panel_id", "position", "parameter_id", "value")
+        ),
+        "images": named(b["images"]),
+        "forms": named(b["forms"]),
+    }

@@ -131,18 +131,15 @@ def test_seed_if_empty(spark):
     assert rows(catalog.seed_if_empty(once, other), "lab_name") == [("lab",)]
 
 
-def test_catalog_bundle_order_and_split(spark):
+def test_catalog_bundle_order(spark):
     panels = make_panels(spark, [(2, "A", "a", None, 1, 1), (1, "B", "b", None, 9, 1), (3, "C", "c", None, 0, 0)])
     params = make_params(spark, [
         (10 + i, 1, f"P{i}", f"p{i}", None, None, "", "1 - 2", 10 - i, 1) for i in range(5)
     ] + [(30, 2, "X", "x", None, None, None, None, 1, 0)])
-    b = {r.panel_id: r for r in catalog_bundles(panels, params, True).collect()}
-    assert sorted(b) == [1, 2] and b[2].parameters == []
-    assert [p.id for p in b[1].parameters] == [14, 13, 12, 11, 10]
-    assert b[1].parameters[0].reference_range_cat == "1 - 2"
-    parts = catalog_bundles(panels, params, True, max_items=2).filter("panel_id = 1").collect()
-    assert len(parts) > 1
-    assert sorted(p.id for r in parts for p in r.parameters) == [10, 11, 12, 13, 14]
+    got = catalog_bundles(panels, params, True)
+    assert rows(got.filter("panel_id = 2"), "parameter_id", "position") == [(None, None)]
+    assert rows(got.filter("panel_id = 1"), "position", "parameter_id") == [(i, 14 - i) for i in range(5)]
+    assert rows(got.filter("position = 0"), "parameter_reference_range_cat") == [("1 - 2",)] and got.filter("panel_id = 3").count() == 0
 
 
 def test_unique_and_conflicts_ignore_case_accents_and_trailing_blanks(spark):

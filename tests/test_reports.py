@@ -88,43 +88,54 @@ def test_page_plan(lab):
 
 def test_bundles(lab):
     tables, ids, tests = lab
-    b = {r.report_id: r for r in bundles.report_bundles(tables).collect()}
-    one = b[1]
-    assert (one.species, one.created_by_name, one.part) == ("Cat", "Dr U", 0)
-    assert [p.code for p in one.panels] == ["CBC", "ULTRASOUND"] and one.panels[1].results == []
-    assert [r.code for r in one.panels[0].results] == ["WBC", "RBC"]
-    assert one.panels[0].results[0].reference_range == "5.5 - 19.5"
-    assert [i.url for i in one.images] == ["/api/uploads/file/a.png", "/api/uploads/file/b%20c.png"]
-    assert one.forms == {"ULTRASOUND": {"us_types": '["urinary"]', "findings": " f "}, "X": {}}
+    b = bundles.report_bundles(tables)
+    cbc, us = ids["CBC"], ids["ULTRASOUND"]
+    assert rows(b["reports"], "report_id", "species", "created_by_name") == [(1, "Cat", "Dr U"), (2, "Dog", None), (3, "Rabbit", None)]
+    assert rows(b["panels"].filter("report_id = 1"), "position", "panel_id", "code") == [(0, cbc, "CBC"), (1, us, "ULTRASOUND")]
+    got = rows(b["results"].filter("report_id = 1"), "panel_id", "position", "code", "reference_range")
+    assert [x[:3] for x in got] == [(cbc, 0, "WBC"), (cbc, 1, "RBC")] and got[0][3] == "5.5 - 19.5"
+    assert [x[1] for x in rows(b["images"].filter("report_id = 1"), "position", "url")] == ["/api/uploads/file/a.png", "/api/uploads/file/b%20c.png"]
+    assert {r.form_code: r.fields for r in b["forms"].filter("report_id = 1").collect()} == {"ULTRASOUND": {"us_types": '["urinary"]', "findings": " f "}, "X": {}}
     # the glucose result has no selected panel
-    assert [[r.code for r in p.results] for p in b[2].panels] == [["WBC", "BASO"], []]
-    assert b[3].species == "Rabbit" and b[3].created_by_name is None and b[3].images == []
-
-
-def test_bundles_split_keeps_everything(lab):
-    tables, _, _ = lab
-    many = bundles.report_bundles(tables, max_items=1).collect()
-    one = bundles.report_bundles(tables).collect()
+    assert rows(b["results"].filter("report_id = 2"), "position", "code") == [(0, "WBC"), (1, "BASO")]
+    one = bundles.report_bundles(tables, tables["lab_reports"].filter("report_no = 'PZ-2026-0002'"))
+    assert {name: {r.report_id for r in df.collect()} for name, df in one.items()} == {"reports": {2}, "panels": {2}, "results": {2}, "images": set(), "forms": set()}
 
-    def content(records):
-        return sorted(
-            (r.report_id, p.id, x.id) for r in records for p in r.panels for x in p.results
-        ), sorted((r.report_id, i.id) for r in records for i in r.images)
 
-    assert len(many) > len(one)
-    assert content(many) == content(one)
+def test_large_draft_round_trip(spark):
+    n = 12_000
+    params = spark.range(1, n + 1).selectExpr("id", "id % 7 + 1 AS panel_id", "string(id) AS code", "string(id) AS name", "int(id % 5) AS display_order", "1 AS is_active")
+    empty = {t: empty_table(spark, t) for t in TABLES}
+    tables = {
+        **empty, "lab_test_parameters": conform(params, "lab_test_parameters"),
+        "lab_test_panels": conform(spark.range(1, 8).selectExpr("id", "string(id) AS code", "'p' AS name", "1 AS display_order", "1 AS is_active"), "lab_test_panels"),
+        "lab_reports": conform(spark.createDataFrame([(1, "PZ-2026-0001", "Ann", "Rex", "Cat")], "id BIGINT, report_no STRING, patient_name STRING, pet_name STRING, species STRING"), "lab_reports"),
+        "lab_report_panels": spark.range(1, 8).selectExpr("id", "1L AS report_id", "id AS panel_id"),
+        "lab_report_results": conform(spark.range(1, n + 1).selectExpr("id", "1L AS report_id", "id AS parameter_id", "string(id % 100) AS value"), "lab_report_results"),
+    }
+    d = bundles.report_drafts(tables, F.lit(DAY))
+    assert d["drafts"].count() == 1 and d["values"].count() == n
+    values = d["values"].agg(F.collect_list(F.struct(
+        F.col("parameter_id").cast("string").alias("parameter_id"), "value", F.lit(None).cast("string").alias("flag"), F.lit(None).cast("string").alias("remarks"))).alias("results"))
+    body = d["drafts"].select(F.lit(1).cast("bigint").alias("seq"), F.col("editId").cast("string").alias("report_id"), "patient_name", "pet_name", "species", *[F.lit(None).cast("array<string>").alias(c) for c in ("panel_ids", "image_ids")]).join(values, how="cross")
+    out, rejects = intake.apply_updates(tables, full_body(body), DAY)
+    assert rejects.count() == 0
+    again = bundles.report_drafts(out, F.lit(DAY))
+    assert rows(again["values"], "panel_id", "position", "parameter_id", "value") == rows(d["values"], "panel_id", "position", "parameter_id", "value")
 
 
 def test_drafts_round_trip(spark, lab):
     tables, ids, tests = lab
-    d = {r.editId: r for r in bundles.report_drafts(tables, F.lit(DAY)).collect()}
-    assert d[2].results == {str(tests[ids["CBC"], "WBC"]): "<5", str(tests[ids["CBC"], "BASO"]): ""}
-    assert d[1].panel_ids == [ids["CBC"], ids["ULTRASOUND"]] and d[1].sample_date == "2026-03-05"
-    assert d[3].owner_phone == "" and d[3].status == "final"
+    d = bundles.report_drafts(tables, F.lit(DAY))
+    values = {(r.editId, r.parameter_id): r.value for r in d["values"].collect()}
+    assert {k: v for k, v in values.items() if k[0] == 2} == {(2, tests[ids["CBC"], "WBC"]): "<5", (2, tests[ids["CBC"], "BASO"]): ""}
+    assert rows(d["panels"].filter("editId = 1"), "position", "panel_id") == [(0, ids["CBC"]), (1, ids["ULTRASOUND"])]
+    heads = {r.editId: r for r in d["drafts"].collect()}
+    assert heads[1].sample_date == "2026-03-05" and heads[3].owner_phone == "" and heads[3].status == "final"
     # saving the draft of report 1 again gives the same lines
     body = spark.createDataFrame(
-        [(1, "1", "Ann", "Rex", "Cat", [str(i) for i in d[1].panel_ids],
-          [(k, v, None, None) for k, v in d[1].results.items()], ["2", "1"])],
+        [(1, "1", "Ann", "Rex", "Cat", [str(ids["CBC"]), str(ids["ULTRASOUND"])],
+          [(str(k[1]), v, None, None) for k, v in values.items() if k[0] == 1], ["2", "1"])],
         "seq BIGINT, report_id STRING, patient_name STRING, pet_name STRING, species STRING, panel_ids ARRAY<STRING>, "
         "results ARRAY<STRUCT<parameter_id: STRING, value: STRING, flag: STRING, remarks: STRING>>, image_ids ARRAY<STRING>")
     out, rejects = intake.apply_updates(tables, full_body(body), DAY)

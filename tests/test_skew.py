@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from assaybook.operators import bundles, directory, intake
-from assaybook.schemas import TABLES, conform
+from assaybook.schemas import TABLES, conform, empty_table
 
 
 def test_hot_owner_and_pet(spark):
@@ -20,15 +20,15 @@ def test_hot_owner_and_pet(spark):
     assert directory.pet_directory(reports).filter("owner_key = 'name:'").count() == n // 6 + 1
 
 
-def test_hot_report_splits_and_stays_whole(spark):
+def test_hot_report_stays_whole(spark):
     images = conform(spark.range(1, 3001).select(
         "id", F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id") + 10).alias("report_id"),
         F.lit("a.png").alias("stored_name"),
     ), "lab_report_images")
-    rows = bundles.split_large_groups(images, ["report_id"], [F.col("id")], 100)
-    sizes = {(r.report_id, r.part): r["count"] for r in rows.groupBy("report_id", "part").count().collect()}
-    assert sum(n for (rid, _), n in sizes.items() if rid == 7) == 1000
-    assert max(sizes.values()) < 200 and all(part == 0 for rid, part in sizes if rid != 7)
+    tables = {t: empty_table(spark, t) for t in TABLES} | {"lab_report_images": images}
+    got = bundles.report_bundles(tables)["images"]
+    places = sorted(r.position for r in got.filter("report_id = 7").collect())
+    assert places == list(range(1000)) and got.count() == 3000
 
 
 def test_one_report_takes_a_third_of_all_images(spark):

@@ -277,22 +277,10 @@ def _(lab: Lab):
 
 @register("catalog_bundles", sql(f"""
     SELECT *, CASE WHEN parameter_id IS NOT NULL THEN CAST(row_number() OVER (
-      PARTITION BY panel_id ORDER BY parameter_display_order, parameter_id) - 1 AS INTEGER) END AS pos
+      PARTITION BY panel_id ORDER BY parameter_display_order, parameter_id) - 1 AS INTEGER) END AS position
     FROM ({FULL})"""))
 def _(lab: Lab):
-    nested = catalog_rows(bundles.catalog_bundles(lab.panels, lab.params, max_items=1 << 40))
-    return nested
-
-
-def catalog_rows(b: DataFrame) -> DataFrame:
-    fields = [f.name for f in b.schema["parameters"].dataType.elementType]
-    return b.select(
-        "panel_id", "code", "name", "description", "display_order", "is_active",
-        F.posexplode_outer("parameters").alias("pos", "t"),
-    ).select(
-        "panel_id", "code", "name", "description", "display_order", "is_active", "pos",
-        *[F.col(f"t.{f}").alias(f"parameter_{f}") for f in fields],
-    )
+    return bundles.catalog_bundles(lab.panels, lab.params)
 
 
 @register("panel_parameter_counts", sql("""
@@ -410,30 +398,29 @@ def _(lab: Lab):
            d.id AS result_id, d.parameter_id, d.value,
            CASE WHEN d.id IS NOT NULL THEN CAST(row_number() OVER (PARTITION BY r.id, p.id
              ORDER BY d.display_order, d.parameter_id, d.id) - 1 AS INTEGER) END AS result_pos,
-           CASE WHEN d.id IS NOT NULL THEN {reference('r.species', 'd.')} END AS reference_range,
-           coalesce(i.n, 0) AS images, i.first_url AS first_url, coalesce(f.n, 0) AS forms
+           CASE WHEN d.id IS NOT NULL THEN {reference('r.species', 'd.')} END AS reference_range
     FROM lab_reports r LEFT JOIN lab_users u ON u.id = r.created_by
     LEFT JOIN lab_report_panels rp ON rp.report_id = r.id
     LEFT JOIN lab_test_panels p ON p.id = rp.panel_id
-    LEFT JOIN ({RESULT_DETAILS}) d ON d.report_id = r.id AND d.panel_id = p.id
-    LEFT JOIN (SELECT report_id, CAST(count(*) AS INTEGER) AS n,
-                 '/api/uploads/file/' || arg_min(stored_name, display_order * 1000000000 + id) AS first_url
-               FROM lab_report_images GROUP BY 1) i ON i.report_id = r.id
-    LEFT JOIN (SELECT report_id, CAST(count(*) AS INTEGER) AS n FROM lab_report_forms GROUP BY 1) f
-      ON f.report_id = r.id"""))
-def _(lab: Lab):
-    b = bundles.report_bundles(lab.tables, max_items=1 << 40)
-    return b.select(
-        "report_id", "species", "created_by_name", F.posexplode_outer("panels").alias("panel_pos", "p"),
-        F.size("images").alias("images"), F.try_element_at("images", F.lit(1))["url"].alias("first_url"),
-        F.size("forms").alias("forms"),
-    ).select(
-        "*", F.col("p.id").alias("panel_id"), F.posexplode_outer("p.results").alias("result_pos", "s")
-    ).select(
-        "report_id", "species", "created_by_name", "panel_pos", "panel_id", "result_pos",
-        F.col("s.id").alias("result_id"), "s.parameter_id", "s.value", "s.reference_range",
-        "images", "first_url", "forms",
+    LEFT JOIN ({RESULT_DETAILS}) d ON d.report_id = r.id AND d.panel_id = p.id"""))
+def _(lab: Lab):
+    b = bundles.report_bundles(lab.tables)
+    panels = b["panels"].select("report_id", "panel_id", F.col("position").alias("panel_pos"))
+    results = b["results"].select(
+        "report_id", "panel_id", F.col("position").alias("result_pos"), F.col("id").alias("result_id"),
+        "parameter_id", "value", "reference_range",
     )
+    return b["reports"].select("report_id", "species", "created_by_name").join(
+        panels, "report_id", "left").join(results, ["report_id", "panel_id"], "left")
+
+
+@register("report_bundle_images", sql("""
+    SELECT report_id, id, stored_name, original_name, display_order,
+           '/api/uploads/file/' || stored_name AS url,
+           CAST(row_number() OVER (PARTITION BY report_id ORDER BY display_order, id) - 1 AS INTEGER) AS position
+    FROM lab_report_images WHERE report_id IS NOT NULL"""))
+def _(lab: Lab):
+    return bundles.report_bundles(lab.tables)["images"]
 
 
 @register("report_drafts", sql(f"""
@@ -444,15 +431,23 @@ def _(lab: Lab):
     JOIN ({RESULT_DETAILS}) d ON d.report_id = r.id AND d.panel_id = rp.panel_id"""))
 def _(lab: Lab):
     d = bundles.report_drafts(lab.tables, F.lit(AS_OF))
-    return d.select(
-        F.col("editId").alias("edit_id"), "owner_phone", "sample_date",
-        F.explode("results").alias("key", "value"),
-    ).select(
-        "edit_id", "owner_phone", "sample_date", F.col("key").cast("bigint").alias("parameter_id"),
-        "value",
+    return d["drafts"].select("editId", "owner_phone", "sample_date").join(d["values"], "editId").select(
+        F.col("editId").alias("edit_id"), "owner_phone", "sample_date", "parameter_id", "value"
     )
 
 
+@register("report_draft_headers", sql(f"""
+    SELECT id AS "editId", coalesce(patient_name, '') AS patient_name, coalesce(owner_phone, '') AS owner_phone,
+           coalesce(pet_name, '') AS pet_name, {species('species')} AS species, coalesce(breed, '') AS breed,
+           coalesce(age, '') AS age, coalesce(sex, '') AS sex, coalesce(referring_vet, '') AS referring_vet,
+           coalesce(CAST(sample_date AS VARCHAR), '2026-03-05') AS sample_date,
+           coalesce(CAST(report_date AS VARCHAR), '2026-03-05') AS report_date,
+           coalesce(remarks, '') AS remarks, coalesce(clinical_notes, '') AS clinical_notes, 'final' AS status
+    FROM lab_reports"""))
+def _(lab: Lab):
+    return bundles.report_drafts(lab.tables, F.lit(AS_OF))["drafts"]
+
+
 @register("report_forms_map", sql("""
     SELECT report_id, form_code, k AS key, json_extract_string(form_json, '$.' || k) AS value
     FROM (SELECT report_id, form_code, form_json, unnest(json_keys(form_json)) AS k
@@ -460,9 +455,8 @@ def _(lab: Lab):
     UNION ALL SELECT report_id, form_code, NULL, NULL FROM lab_report_forms
     WHERE NOT json_valid(form_json)"""))
 def _(lab: Lab):
-    m = bundles.report_forms_map(lab.forms)
-    return m.select("report_id", F.explode("forms").alias("form_code", "form")).select(
-        "report_id", "form_code", F.explode_outer("form").alias("key", "value")
+    return bundles.report_forms_map(lab.forms).select(
+        "report_id", "form_code", F.explode_outer("fields").alias("key", "value")
     )
 
 
