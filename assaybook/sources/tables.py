@@ -46,8 +46,7 @@ def load_tables(
 ) -> Tables:
     """All lab tables from parquet directories under `path`, or from a database.
 
-    Parquet is read with the declared columns only (no inference); directories written with
-    bucket partitions work too. A missing optional table is empty. For a database, `jdbc`
+    Parquet is read with the declared columns only (no inference). A missing optional table is empty. For a database, `jdbc`
     holds the reader options and every table is read in `partitions` id ranges.
     """
     if (path is None) == (jdbc is None):
@@ -58,8 +57,7 @@ def load_tables(
 
     def load(name: str) -> DataFrame:
         try:
-            # rows without an id only mark emptied buckets, see writer.py
-            return conform(read(name), name).filter(F.col("id").isNotNull())
+            return conform(read(name), name)
         except AnalysisException as err:
             if name not in OPTIONAL_TABLES or err.getCondition() != "PATH_NOT_FOUND":
                 raise

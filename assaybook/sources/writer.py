@@ -1,126 +1,30 @@
-"""Writing the report tables.
-
-Report-side tables are stored as parquet directories partitioned by `bucket`, a hash of the
-report id, so a change rewrites only the buckets of the reports it touches. New rows are first
-stored under _staging and then copied into the live directories: no plan reads files that its own
-write replaces. A job that dies half-way is simply run again with the same commit id: once all is
-staged only the copying is repeated, and a finished commit is left alone.
-"""
+"""Saving table states: each state is a folder of its own, written once and named by its reader."""
 
 from __future__ import annotations
 
 from collections.abc import Mapping
 
-from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
-from pyspark.sql import functions as F
-
-from ..schemas import TABLES, conform
-
-REPORT_KEYS = {
-    "lab_reports": "id",
-    "lab_report_panels": "report_id",
-    "lab_report_results": "report_id",
-    "lab_report_images": "report_id",
-    "lab_report_forms": "report_id",
-}
-BUCKETS = 256
+from pyspark.sql import DataFrame, SparkSession
 
+from ..schemas import conform
+from .tables import Tables, load_tables
 
-def bucket_of(report_id: Column, buckets: int) -> Column:
-    return F.pmod(F.xxhash64(report_id), F.lit(buckets)).cast("int")
 
+def snapshot_path(out_path: str, snapshot: str) -> str:
+    return f"{out_path}/snapshot={snapshot}"
 
-def _with_bucket(df: DataFrame, name: str, buckets: int) -> DataFrame:
-    key = F.col(REPORT_KEYS[name])
-    # unattached images have no report and share no bucket: they are spread by their own id
-    return df.withColumn("bucket", bucket_of(F.coalesce(key, -F.col("id")), buckets))
 
+def save_snapshot(tables: Mapping[str, DataFrame], out_path: str, snapshot: str) -> str:
+    """Writes the tables as the state `snapshot` and returns its folder.
 
-def write_report_tables(
-    tables: Mapping[str, DataFrame],
-    out_path: str,
-    commit: str,
-    buckets: int = BUCKETS,
-    touched: DataFrame | None = None,
-) -> None:
-    """Stores the next state of the report tables.
-
-    touched(report_id) names the reports that changed; with None everything is written. Images
-    that were detached or are unattached count as touched by their own id and always rewrite.
-    The marker under _commits is written last.
+    Nothing that exists is touched, so the tables may be read from an earlier state. A job that died is
+    run again and replaces its own half-written folder; readers are told of a state when this returns.
     """
-    names = [n for n in REPORT_KEYS if n in tables]
-    spark = tables[names[0]].sparkSession
-    staging, done = f"{out_path}/_staging/{commit}", f"{out_path}/_commits/{commit}"
-    if _exists(spark, done):
-        return
-    if not _exists(spark, f"{staging}/_ready"):
-        _stage(tables, names, staging, buckets, touched)
-        _mark(spark, f"{staging}/_ready", commit)
-    for name in names:
-        _store(_stored(spark, f"{staging}/{name}", name), f"{out_path}/{name}")
-    _mark(spark, done, commit)
-
-
-def _stage(
-    tables: Mapping[str, DataFrame], names: list[str], staging: str, buckets: int,
-    touched: DataFrame | None,
-) -> None:
-    spark = tables[names[0]].sparkSession
-    live = None if touched is None else _touched_buckets(touched, buckets)
-    for name in names:
-        rows = _with_bucket(conform(tables[name], name), name, buckets)
-        # images move between reports, and with them between buckets
-        part = live if name != "lab_report_images" else None
-        marks = _all_buckets(spark, buckets) if part is None else part
-        if part is not None:
-            rows = rows.join(part, "bucket", "left_semi")
-        # one row without an id per rewritten bucket, so that an emptied bucket is replaced too
-        marked = rows.unionByName(marks.select("bucket"), allowMissingColumns=True)
-        _store(marked, f"{staging}/{name}")
-
-
-def _mark(spark: SparkSession, path: str, commit: str) -> None:
-    spark.range(1).select(F.lit(commit).alias("commit")).coalesce(1).write.mode("overwrite").json(path)
-
-
-def _exists(spark: SparkSession, path: str) -> bool:
-    try:
-        return not spark.read.schema("commit STRING").json(path).isEmpty()
-    except AnalysisException as err:
-        if err.getCondition() != "PATH_NOT_FOUND":
-            raise
-        return False
-
-
-def _touched_buckets(touched: DataFrame, buckets: int) -> DataFrame:
-    # at most `buckets` rows
-    return touched.select(bucket_of(F.col("report_id"), buckets).alias("bucket")).distinct()
-
-
-def _all_buckets(spark: SparkSession, buckets: int) -> DataFrame:
-    return spark.range(buckets).select(F.col("id").cast("int").alias("bucket"))
-
-
-def _store(df: DataFrame, path: str) -> None:
-    # rebalance gives each bucket its own files and splits a bucket that one report made large
-    df.hint("rebalance", "bucket").write.mode("overwrite").option(
-        "partitionOverwriteMode", "dynamic"
-    ).partitionBy("bucket").parquet(path)
-
-
-def _stored(spark: SparkSession, path: str, name: str) -> DataFrame:
-    return spark.read.schema(f"{TABLES[name]}, bucket INT").parquet(path)
+    path = snapshot_path(out_path, snapshot)
+    for name in tables:
+        conform(tables[name], name).write.mode("overwrite").parquet(f"{path}/{name}")
+    return path
 
 
-def save_bucketed(
-    tables: Mapping[str, DataFrame], database: str, buckets: int = BUCKETS
-) -> None:
-    """Copies for repeated reading as catalog tables bucketed and sorted by report id: joins of
-    these tables on the report id need no shuffle."""
-    for name, key in REPORT_KEYS.items():
-        if name in tables:
-            tables[name].write.mode("overwrite").bucketBy(buckets, key).sortBy(key).saveAsTable(
-                f"{database}.{name}"
-            )
+def load_snapshot(spark: SparkSession, out_path: str, snapshot: str) -> Tables:
+    return load_tables(spark, snapshot_path(out_path, snapshot))

@@ -9,8 +9,7 @@ import compare  # noqa: F401  (path check)
 from assaybook.operators import intake
 from assaybook.schemas import MAX_BODY_BYTES, TABLES, conform, empty_table
 from assaybook.sources.payloads import parse_payloads, read_drafts, read_payloads, split_rejects
-from assaybook.sources.tables import load_tables
-from assaybook.sources.writer import save_bucketed, write_report_tables
+from assaybook.sources.writer import load_snapshot, save_snapshot
 from assaybook.streaming.rates import rate_limit_audit, rate_limit_stream
 from assaybook.streaming.reports import save_batch, stream_reports, streamed_tables
 
@@ -137,45 +136,26 @@ def test_large_bodies_are_stored_whole(spark):
     assert rows(refused, "reject_reason") == [("form_code_too_long",)]
 
 
-def test_write_and_rewrite_touched(spark, tmp_path):
+def test_snapshots(spark, tmp_path):
     n = 40
     tables = {
-        "lab_users": spark.createDataFrame([], TABLES["lab_users"]),
+        "lab_users": empty_table(spark, "lab_users"),
         "lab_reports": conform(spark.range(1, n + 1).withColumn("patient_name", F.lit("a")), "lab_reports"),
         "lab_report_panels": conform(spark.range(1, n + 1).withColumn("report_id", F.col("id")).withColumn("panel_id", F.lit(1)), "lab_report_panels"),
+        "lab_report_results": empty_table(spark, "lab_report_results"),
+        "lab_report_forms": empty_table(spark, "lab_report_forms"),
         "lab_report_images": conform(spark.range(1, n + 1).withColumn("stored_name", F.lit("x")), "lab_report_images"),
     }
     out = str(tmp_path / "lab")
-    parts = {k: v for k, v in tables.items() if k != "lab_users"}
-    write_report_tables(parts, out, "c1", buckets=8)
-    live = load_tables(spark, out)
-    assert live["lab_reports"].count() == n and live["lab_report_images"].count() == n
-    # delete all reports of one bucket: the emptied bucket is replaced too
-    from assaybook.sources.writer import bucket_of
-    gone = live["lab_reports"].filter(bucket_of(F.col("id"), 8) == 3).select(F.col("id").alias("report_id"))
-    k = gone.count()
-    full = {**{t: live[t] for t in parts}, "lab_report_results": conform(spark.range(0), "lab_report_results"),
-            "lab_report_forms": conform(spark.range(0), "lab_report_forms")}
-    after = intake.delete_reports(full, gone)
-    for _ in range(2):  # running the commit again changes nothing
-        write_report_tables({t: after[t] for t in parts}, out, "c2", buckets=8, touched=gone)
-        again = load_tables(spark, out)
-        assert again["lab_reports"].count() == n - k == again["lab_report_panels"].count()
-        assert again["lab_report_images"].count() == n
-        after = again
-    assert rows(spark.read.json(f"{out}/_commits/*"), "commit") == [("c1",), ("c2",)]
-
-
-def test_bucketed_copies_join_without_shuffle(spark, tmp_path):
-    spark.sql(f"CREATE DATABASE IF NOT EXISTS bucketed_test LOCATION '{tmp_path}/db'")
-    reports = conform(spark.range(1, 100), "lab_reports")
-    panels = conform(spark.range(1, 100).withColumn("report_id", F.col("id")).withColumn("panel_id", F.lit(1)), "lab_report_panels")
-    save_bucketed({"lab_reports": reports, "lab_report_panels": panels}, "bucketed_test", buckets=4)
-    a, b = spark.table("bucketed_test.lab_reports"), spark.table("bucketed_test.lab_report_panels")
-    joined = a.hint("merge").join(b, a.id == b.report_id)
-    assert joined.count() == 99
-    assert "Exchange hashpartitioning" not in joined._jdf.queryExecution().executedPlan().toString()
-    spark.sql("DROP DATABASE bucketed_test CASCADE")
+    save_snapshot(tables, out, "1")
+    live = load_snapshot(spark, out, "1")
+    gone = live["lab_reports"].filter("id % 3 = 0").select(F.col("id").alias("report_id"))
+    after = intake.delete_reports(live, gone)
+    for _ in range(2):  # running the job again changes nothing
+        save_snapshot({t: after[t] for t in tables}, out, "2")
+        new = load_snapshot(spark, out, "2")
+        assert new["lab_reports"].count() == 27 == new["lab_report_panels"].count()
+        assert new["lab_report_images"].count() == n and load_snapshot(spark, out, "1")["lab_reports"].count() == n
 
 
 def calls(spark):

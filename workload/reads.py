@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaybook.functions import (
     clean_code, date_only, digits_only, display_value, escape_html, image_url, is_numeric_id,
-    is_out_of_range, is_phone_query, normalize_species, owner_key, parse_range, parse_result,
+    outside, is_phone_query, normalize_species, owner_key, parse_range, parse_result,
     pet_key, pet_label, reference_for, report_date_parts, to_active, to_order,
 )
 from assaybook.operators import bundles, catalog, checks, details, directory, lists, numbering
@@ -605,16 +605,20 @@ def _(lab: Lab):
            {reference("'feline'", 't.')} AS cat_reference
     FROM lab_report_results s JOIN lab_test_parameters t ON t.id = s.parameter_id"""))
 def _(lab: Lab):
-    rows = details.report_result_details(lab.results, lab.params)
-    dog = F.col("reference_range_dog")
-    return rows.select(
+    # ranges are parsed per parameter, before the results join
+    dog, legacy = F.col("reference_range_dog"), F.col("reference_range")
+    params = details.catalog_ranges(lab.params).select(
+        F.col("id").alias("parameter_id"), parse_range(dog).alias("bounds"),
+        reference_for(F.lit("feline"), dog, F.col("reference_range_cat"), legacy).alias("cat_reference"),
+    )
+    rows = lab.results.select(
         "id", "report_id", "parameter_id", parse_result(F.col("value")).alias("parsed"),
-        parse_range(dog)["min"].alias("dog_min"), parse_range(dog)["max"].alias("dog_max"),
-        is_out_of_range(F.col("value"), dog).alias("dog_out"),
         display_value(F.col("value")).alias("shown"),
-        reference_for(
-            F.lit("feline"), dog, F.col("reference_range_cat"), F.col("reference_range")
-        ).alias("cat_reference"),
+    )
+    return rows.join(params, "parameter_id").select(
+        "id", "report_id", "parameter_id", "parsed",
+        F.col("bounds")["min"].alias("dog_min"), F.col("bounds")["max"].alias("dog_max"),
+        outside(F.col("parsed"), F.col("bounds")).alias("dog_out"), "shown", "cat_reference",
     )
 
 

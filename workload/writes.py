@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from assaybook.operators import catalog, checks, drafts, intake
+from assaybook.sources import payloads
 from assaybook.streaming.rates import rate_limit_audit
 
 from .duck import nz, species, sql
@@ -548,3 +550,83 @@ def _(lab: Lab):
         F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("id")
     )
     return rate_limit_audit(calls, limit=1)
+
+
+# -- operators on bodies and drafts ----------------------------------------------------------
+
+
+def _lines(lab: Lab) -> DataFrame:
+    """A JSON body of every order; some are no JSON, some no object."""
+    k = F.col("o_orderkey")
+    text = F.concat(
+        F.lit('{"patient_name": "'), F.coalesce("o_orderpriority", F.lit("")), F.lit('", "pet_name": "Rex", "species": "dog", "panel_ids": ['),
+        k.cast("string"), F.lit(', "2"], "results": [{"parameter_id": '), k.cast("string"), F.lit(', "value": 5.5}]}'),
+    )
+    body = F.when(k % 7 == 0, F.lit("{bad")).when(k % 7 == 1, F.lit("[]")).otherwise(text)
+    return lab.raw("orders").select(body.alias("value"))
+
+
+@register("parse_payloads", """
+    SELECT CASE WHEN bad THEN NULL ELSE o_orderpriority END AS patient_name,
+           CASE WHEN bad THEN NULL ELSE CAST(o_orderkey AS VARCHAR) || ',2' END AS panels,
+           CASE WHEN bad THEN NULL ELSE CAST(o_orderkey AS VARCHAR) || '=5.5' END AS result,
+           CASE WHEN bad THEN 'bad_json' END AS reject_reason,
+           CASE WHEN o_orderkey % 7 = 0 THEN '{bad' WHEN o_orderkey % 7 = 1 THEN '[]' END AS raw_body
+    FROM (SELECT *, o_orderkey % 7 <= 1 AS bad FROM orders)""")
+def _(lab: Lab):
+    bodies = payloads.parse_payloads(_lines(lab))
+    good = F.col("reject_reason").isNull()
+    first = F.try_element_at("results", F.lit(1))
+    return bodies.select(
+        F.when(good, F.col("patient_name")).alias("patient_name"),
+        F.when(good, F.concat_ws(",", "panel_ids")).alias("panels"),
+        F.when(good, F.concat(first["parameter_id"], F.lit("="), first["value"])).alias("result"),
+        "reject_reason", "raw_body",
+    )
+
+
+@register("draft_stage", """
+    SELECT o_orderkey AS draft_id, CASE WHEN o_orderkey % 5 IN (0, 1) OR o_orderkey % 4 = 0 THEN 'patient'
+             WHEN o_orderkey % 3 = 0 THEN 'tests' ELSE 'results' END AS stage FROM orders""")
+def _(lab: Lab):
+    k = F.col("o_orderkey")
+    rows = lab.raw("orders").select(
+        k.alias("draft_id"), F.when(k % 5 == 0, "").otherwise(F.col("o_orderpriority")).alias("patient_name"),
+        F.when(k % 5 != 1, "Rex").alias("pet_name"), F.when(k % 4 == 0, "fish").otherwise(" CAT ").alias("species"),
+        F.when(k % 3 == 0, F.array(F.lit("0"), F.lit("x"))).otherwise(F.array(F.lit("7"))).alias("panel_ids"),
+    )
+    return drafts.draft_stage(rows).select("draft_id", "stage")
+
+
+@register("draft_payload_results", """
+    SELECT o_orderkey AS draft_id, parameter_id, CASE WHEN parameter_id = o_orderkey + 1 THEN 'v' ELSE '' END AS value
+    FROM (SELECT o_orderkey, unnest(CASE WHEN o_orderkey % 2 = 0 THEN [o_orderkey + 1, o_orderkey + 9] ELSE [o_orderkey + 1] END) AS parameter_id
+          FROM orders)""")
+def _(lab: Lab):
+    k = F.col("o_orderkey")
+    listed = F.array((k + 1).cast("string"), (k + 9).cast("string"))
+    rows = lab.raw("orders").select(
+        k.alias("draft_id"), F.when(k % 2 == 0, listed).alias("included_parameter_ids"),
+        F.create_map((k + 1).cast("string"), F.lit("v")).alias("results"),
+    )
+    return drafts.draft_payload_results(rows).select("draft_id", F.inline("payload_results")).select(
+        "draft_id", "parameter_id", "value"
+    )
+
+
+@register("seed_if_empty", """
+    SELECT s_suppkey + 1 AS id, s_name AS name, 'old' AS origin FROM supplier
+    UNION ALL SELECT s_suppkey + 1, s_name, 'new' FROM supplier""")
+def _(lab: Lab):
+    rows = lab.raw("supplier").select((F.col("s_suppkey") + 1).alias("id"), F.col("s_name").alias("name"))
+    old, new = rows.withColumn("origin", F.lit("old")), rows.withColumn("origin", F.lit("new"))
+    # one table that has rows already, one that has none
+    return catalog.seed_if_empty(old, new).unionByName(catalog.seed_if_empty(old.filter(F.lit(False)), new))
+
+
+@register("evolve_schema", sql("""
+    SELECT id, panel_id, code, name, unit, CAST(NULL AS VARCHAR) AS reference_range_dog,
+           CAST(NULL AS VARCHAR) AS reference_range_cat, reference_range, display_order, is_active
+    FROM lab_test_parameters"""))
+def _(lab: Lab):
+    return catalog.evolve_schema(lab.params.drop("reference_range_dog", "reference_range_cat"))
