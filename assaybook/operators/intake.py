@@ -16,7 +16,7 @@ from ..functions.dates import today_utc
 from ..functions.numbers import clean_ids, to_id
 from ..functions.ranges import normalize_species
 from ..functions.text import or_null, trim
-from ..schemas import MAX_FORM_CODE, RESULT_TEXT_LIMITS, TEXT_LIMITS, conform
+from ..schemas import MAX_FORM_CODE, REPORT_PREFIX, RESULT_TEXT_LIMITS, TEXT_LIMITS, conform
 from ..sources.tables import Tables, changed
 from .forms import last_writes, replace_forms
 from .numbering import last_number, next_id, report_no, running_totals
@@ -243,7 +243,7 @@ def attach_images(images: DataFrame, requests: DataFrame, mode: str) -> DataFram
 
 
 def accept_creates(
-    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str, prefix: str = REPORT_PREFIX
 ) -> tuple[DataFrame, DataFrame]:
     """(accepted bodies with report_id, report_no and the first id of each child list, refused
     (seq, reject_reason)). All six outputs of a create derive from the accepted bodies, so a job
@@ -258,9 +258,9 @@ def accept_creates(
     }
     placed = running_totals(good, ["seq"], sizes)
     year = int(as_of[:4])
-    number = last_number(tables["lab_reports"], year) + F.col("_n_report") + 1
+    number = last_number(tables["lab_reports"], year, prefix) + F.col("_n_report") + 1
     return placed.withColumns({
-        "report_no": report_no(F.lit(year), number),
+        "report_no": report_no(F.lit(year), number, prefix),
         "report_id": next_id(tables["lab_reports"]) + F.col("_n_report"),
         "_n_panels": next_id(tables["lab_report_panels"]) + F.col("_n_panels"),
         "_n_results": next_id(tables["lab_report_results"]) + F.col("_n_results"),
@@ -303,10 +303,11 @@ def attachments(bodies: DataFrame) -> DataFrame:
 
 
 def apply_creates(
-    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str, user_id: int
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str, user_id: int,
+    prefix: str = REPORT_PREFIX,
 ) -> tuple[Tables, DataFrame]:
     """Valid bodies become reports: (next tables, refused (seq, reject_reason))."""
-    accepted, rejects = accept_creates(tables, payloads, as_of)
+    accepted, rejects = accept_creates(tables, payloads, as_of, prefix)
     new = created_rows(accepted, as_of, user_id)
     following = {n: (lambda n=n: tables[n].unionByName(new[n])) for n in new}
     following["lab_report_images"] = lambda: attach_images(

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
@@ -90,18 +91,18 @@ def _last_number(report_no: Column) -> Column:
     return F.regexp_extract(tail, r"^\s*\+?([0-9]+)", 1).try_cast("bigint")
 
 
-def report_no(year: Column, seq: Column) -> Column:
+def report_no(year: Column, seq: Column, prefix: str = REPORT_PREFIX) -> Column:
     # format_string pads to four digits but keeps longer numbers whole, unlike lpad
     return F.concat(
-        F.lit(f"{REPORT_PREFIX}-"), year.cast("string"), F.lit("-"),
+        F.lit(f"{prefix}-"), year.cast("string"), F.lit("-"),
         F.format_string("%04d", seq.cast("bigint")),
     )
 
 
-def last_number(existing: DataFrame, year: int) -> Column:
+def last_number(existing: DataFrame, year: int, prefix: str = REPORT_PREFIX) -> Column:
     """Number of the last inserted report of the year, 0 when none, as a scalar subquery."""
     # the constant prefix reaches the parquet reader
-    old = existing.filter(F.col("report_no").startswith(f"{REPORT_PREFIX}-{year}-"))
+    old = existing.filter(F.col("report_no").startswith(f"{prefix}-{year}-"))
     last = F.max_by("report_no", "id")
     return old.agg(F.coalesce(_last_number(last), F.lit(0)).alias("n")).scalar()
 
@@ -112,8 +113,9 @@ def assign_report_no(
     year: int | str,
     order: Sequence[str] = ("seq",),
     bits: int = BUCKET_BITS,
+    prefix: str = REPORT_PREFIX,
 ) -> DataFrame:
-    """Adds report_no = PZ-<year>-<number>, in arrival order.
+    """Adds report_no = <prefix>-<year>-<number>, in arrival order.
 
     `year` is the run year, or the name of a column of new_reports holding each row's year.
     Numbers go on from the last inserted (largest id) report of the year, not from the largest
@@ -122,9 +124,9 @@ def assign_report_no(
     rank = {"_rank": F.lit(1)}
     if isinstance(year, int):
         ranked = running_totals(new_reports, order, rank, bits=bits)
-        number = report_no(F.lit(year), last_number(existing, year) + F.col("_rank") + 1)
+        number = report_no(F.lit(year), last_number(existing, year, prefix) + F.col("_rank") + 1, prefix)
         return ranked.withColumn("report_no", number).drop("_rank")
-    pattern = rf"^{REPORT_PREFIX}-([0-9]{{4}})-"
+    pattern = rf"^{re.escape(prefix)}-([0-9]{{4}})-"
     last = (
         existing.filter(F.col("report_no").rlike(pattern))
         .groupBy(F.regexp_extract("report_no", pattern, 1).cast("int").alias("_year"))
@@ -136,5 +138,5 @@ def assign_report_no(
     return (
         running_totals(rows, order, rank, ["_year"], bits)
         .join(last, "_year", "left")
-        .select(*new_reports.columns, report_no(F.col("_year"), number).alias("report_no"))
+        .select(*new_reports.columns, report_no(F.col("_year"), number, prefix).alias("report_no"))
     )

@@ -381,6 +381,27 @@ def _(lab: Lab):
     )
 
 
+FOREIGN_KEYS = (
+    ("lab_report_panels", "report_id", "lab_reports"), ("lab_report_panels", "panel_id", "lab_test_panels"),
+    ("lab_report_results", "report_id", "lab_reports"), ("lab_report_results", "parameter_id", "lab_test_parameters"),
+    ("lab_reports", "created_by", "lab_users"),
+)
+
+
+@register("fk_violations_all", sql(" UNION ALL ".join(
+    f"SELECT '{child}.{fk}' AS reference, c.id FROM {child} c WHERE c.{fk} IS NOT NULL "
+    f"AND NOT EXISTS (SELECT 1 FROM {parent} p WHERE p.id = c.{fk} AND p.id % 5 <> 0)"
+    for child, fk, parent in FOREIGN_KEYS)))
+def _(lab: Lab):
+    # parents with ids divisible by 5 count as missing, so that every reference has violations
+    return reduce(DataFrame.unionByName, [
+        checks.fk_violations(
+            lab.tables[child], lab.tables[parent].filter(F.col("id") % 5 != 0), fk
+        ).select(F.lit(f"{child}.{fk}").alias("reference"), "id")
+        for child, fk, parent in FOREIGN_KEYS
+    ])
+
+
 @register("unique_violations", sql("""
     SELECT report_id, form_code, count(*) AS rows FROM form_writes
     GROUP BY report_id, form_code HAVING count(*) > 1"""))
@@ -544,7 +565,7 @@ def _(lab: Lab):
 # -- numbering -----------------------------------------------------------------------------
 
 
-@register("assign_report_no", sql("""
+NUMBERS = sql("""
     WITH old AS (SELECT year(report_date) AS y, count(*) AS n FROM lab_reports
                  WHERE status = 'draft' GROUP BY 1)
     SELECT id, 'PZ-' || y || '-' || lpad(CAST(seq AS VARCHAR),
@@ -554,7 +575,10 @@ def _(lab: Lab):
           FROM lab_reports r LEFT JOIN (
             SELECT year(report_date) AS ly, arg_max(id, id) AS last FROM lab_reports
             WHERE status = 'draft' GROUP BY 1) l ON l.ly = year(report_date)
-          WHERE status = 'final')""").replace("\n\n    WITH old AS", ",\n old AS").replace("\n    WITH old AS", ", old AS"))
+          WHERE status = 'final')""").replace("\n\n    WITH old AS", ",\n old AS").replace("\n    WITH old AS", ", old AS")
+
+
+@register("assign_report_no", NUMBERS)
 def _(lab: Lab):
     new = lab.reports.filter(F.col("status") == "final").select(
         "id", F.year("report_date").alias("year")
@@ -564,6 +588,16 @@ def _(lab: Lab):
     return numbering.assign_report_no(new, old, "year", ["id"], bits=12).select("id", "report_no")
 
 
+@register("assign_report_no_sparse", NUMBERS)
+def _(lab: Lab):
+    # arrival numbers as far apart as times in nanoseconds: each has a range of its own
+    new = lab.reports.filter(F.col("status") == "final").select(
+        "id", F.year("report_date").alias("year"), (F.col("id") * (1 << 36)).alias("at")
+    )
+    old = lab.reports.filter(F.col("status") == "draft")
+    return numbering.assign_report_no(new, old, "year", ["at"]).select("id", "report_no")
+
+
 # -- scalars -------------------------------------------------------------------------------
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -467,27 +469,23 @@ def _(lab: Lab):
 # -- deletes -------------------------------------------------------------------------------
 
 
-def counts(tables: dict, names: list[str]):
-    out = None
-    for n in names:
-        one = tables[n].agg(
-            F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum")
-        ).select(F.lit(n).alias("table_name"), "n", "id_sum")
-        out = one if out is None else out.unionByName(one)
-    return out
-
-
-def counts_sql(kept: dict[str, str]) -> str:
+def left_sql(kept: dict[str, str]) -> str:
     return sql(" UNION ALL ".join(
-        f"SELECT '{t}' AS table_name, count(*) AS n, CAST(sum(id) AS BIGINT) AS id_sum FROM {t} WHERE {w}"
-        for t, w in kept.items()
+        f"SELECT '{t}' AS table_name, id FROM {t} WHERE {where}" for t, where in kept.items()
     ))
 
 
+def left(tables, names: list[str]) -> DataFrame:
+    """Every row that is left, by table and id."""
+    return reduce(DataFrame.unionByName, [
+        tables[t].select(F.lit(t).alias("table_name"), "id") for t in names
+    ])
+
+
 DRAFT_IDS = "(SELECT id FROM lab_reports WHERE status = 'draft')"
 
 
-@register("delete_reports", counts_sql({
+@register("delete_reports", left_sql({
     "lab_reports": "status <> 'draft'", "lab_report_panels": f"report_id NOT IN {DRAFT_IDS}",
     "lab_report_results": f"report_id NOT IN {DRAFT_IDS}",
     "lab_report_images": f"report_id IS NULL OR report_id NOT IN {DRAFT_IDS}",
@@ -495,7 +493,7 @@ DRAFT_IDS = "(SELECT id FROM lab_reports WHERE status = 'draft')"
 }))
 def _(lab: Lab):
     ids = lab.reports.filter(F.col("status") == "draft").select(F.col("id").alias("report_id"))
-    return counts(intake.delete_reports(lab.tables, ids), [
+    return left(intake.delete_reports(lab.tables, ids), [
         "lab_reports", "lab_report_panels", "lab_report_results", "lab_report_images",
         "lab_report_forms",
     ])
@@ -504,7 +502,7 @@ def _(lab: Lab):
 OFF = "(SELECT id FROM lab_test_panels WHERE is_active = 0)"
 
 
-@register("delete_panels_cascade", counts_sql({
+@register("delete_panels_cascade", left_sql({
     "lab_test_panels": "is_active = 1", "lab_test_parameters": f"panel_id NOT IN {OFF}",
     "lab_report_panels": f"panel_id NOT IN {OFF}",
     "lab_report_results":
@@ -512,7 +510,7 @@ OFF = "(SELECT id FROM lab_test_panels WHERE is_active = 0)"
 }))
 def _(lab: Lab):
     ids = lab.panels.filter(F.col("is_active") == 0).select(F.col("id").alias("panel_id"))
-    return counts(intake.delete_panels_cascade(lab.tables, ids), [
+    return left(intake.delete_panels_cascade(lab.tables, ids), [
         "lab_test_panels", "lab_test_parameters", "lab_report_panels", "lab_report_results",
     ])
 
