@@ -211,7 +211,12 @@ def fold(id_col: str = "doc_id") -> Column:
 
 
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
-    """df without the rows that have no language: `und`, or a score below min_score (near a blind guess)."""
+    """df without the rows that have no language: `und`, or a score below min_score (near a blind guess).
+
+    Without a model only texts without a letter go: that nothing could be learned says nothing about a text.
+    """
+    if model is None:
+        return df.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     told = predict(df, model, text_col)
     pred, score = told.columns[-2:]
     return told.filter((F.col(pred) != UND) & (F.col(score) >= min_score)).select(*df.columns)

@@ -54,4 +54,5 @@ def test_defined_cases(spark):
     assert kept.columns == df.columns and {r.doc_id for r in kept.collect()} == {4, 5, 7, None}
     assert langid.fit(df.filter("lang is null")) is None
     assert {r.lang_pred for r in langid.predict(df.drop("score"), None).collect()} == {"und"}
+    assert {r.doc_id for r in langid.identify(df, None).collect()} == {4, 5, 7, None}
     assert langid.predict(df.limit(0), model).count() == 0
