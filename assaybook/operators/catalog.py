@@ -77,8 +77,8 @@ def _same_code(code: str) -> Column:
 
 def seed_if_empty(existing: DataFrame, rows: DataFrame) -> DataFrame:
     """The existing rows, or `rows` when there are none."""
-    marker = existing.select(F.lit(1).alias("_m")).limit(1)
-    new = rows.withColumn("_m", F.lit(1)).join(marker, "_m", "left_anti").drop("_m")
+    held = existing.select(F.lit(1).alias("n")).limit(1).agg(F.count("n").alias("n")).scalar()
+    new = rows.filter(held == 0)
     return existing.unionByName(new, allowMissingColumns=True)
 
 
