@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import safe_ext
+from ..functions.text import or_null, safe_ext
+from ..operators.numbering import with_new_ids
 
 
 def image_manifest(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
@@ -23,6 +24,18 @@ def image_manifest(files: DataFrame, max_bytes: int | None = None) -> DataFrame:
     )
 
 
+def register_uploads(images: DataFrame, uploads: DataFrame, as_of: str) -> DataFrame:
+    """uploads(seq, stored_name, original_name, user_id), the accepted manifest rows, become unattached
+    image rows: new ids in arrival order, place 0, the stored name where there is no original one."""
+    new = with_new_ids(uploads, images, ["seq"]).select(
+        "id", F.lit(None).cast("bigint").alias("report_id"), "stored_name",
+        F.coalesce(or_null(F.col("original_name")), F.col("stored_name")).alias("original_name"),
+        F.col("user_id").cast("bigint").alias("created_by"), F.lit(0).alias("display_order"),
+        F.lit(as_of).cast("timestamp_ntz").alias("created_at"),
+    )
+    return images.unionByName(new)
+
+
 def missing_files(images: DataFrame, file_listing: DataFrame) -> DataFrame:
     """Image rows whose stored name is a plain base name but has no file.
     file_listing has a column stored_name."""

@@ -157,6 +157,21 @@ def _(lab: Lab):
     return images.unattached_images(lab.images).select("id", "stored_name")
 
 
+@register("register_uploads", sql("""
+    SELECT id, report_id, stored_name, original_name, created_by, display_order FROM lab_report_images
+    UNION ALL SELECT (SELECT max(id) FROM lab_report_images) + row_number() OVER (ORDER BY c_custkey), NULL,
+      'up-' || c_custkey || '.png', CASE WHEN c_custkey % 3 = 0 THEN 'up-' || c_custkey || '.png' ELSE c_name END,
+      c_nationkey + 1, 0 FROM customer"""))
+def _(lab: Lab):
+    k = F.col("c_custkey")
+    uploads = lab.raw("customer").select(
+        k.alias("seq"), F.concat(F.lit("up-"), k.cast("string"), F.lit(".png")).alias("stored_name"),
+        F.when(k % 3 == 0, "").otherwise(F.col("c_name")).alias("original_name"),
+        (F.col("c_nationkey") + 1).alias("user_id"),
+    )
+    return images.register_uploads(lab.images, uploads, AS_OF).drop("created_at")
+
+
 # -- lists and lookups ---------------------------------------------------------------------
 
 LISTED = """id, report_no, patient_name, pet_name, species,
