@@ -10,8 +10,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
-#: Rows of an Arrow batch sent to Python; a batch of long texts stays a few megabytes.
-BATCH_ROWS = 256
+#: Rows and bytes of an Arrow batch sent to Python: array work takes some 30 times its bytes.
+BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
@@ -40,8 +40,9 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 def batches(df: DataFrame, fn, schema: str | StructType) -> DataFrame:
-    """mapInArrow with batches small enough for texts of any length (about 100 kB times BATCH_ROWS)."""
+    """mapInArrow with batches of bounded size, whatever the length of texts; one row is the least."""
     df.sparkSession.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+    df.sparkSession.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
     return df.mapInArrow(fn, schema)
 
 

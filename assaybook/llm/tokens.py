@@ -22,10 +22,15 @@ _SPACE[[9, 10, 11, 12, 13, 32]] = True
 #: How white space beyond ASCII begins in UTF-8; a few other characters that begin so do no harm
 _WIDE = (b"\xc2\x85", b"\xc2\xa0", b"\xe1\x9a\x80", b"\xe1\xa0\x8e", b"\xe2\x80", b"\xe2\x81\x9f", b"\xe3\x80\x80")
 _SEPARATOR = "\n"
+_RECENT = 1 << 16
 
 
 class Tokens:
-    """Encoder of one process; holds at most max_pieces distinct pieces (about 150 bytes each)."""
+    """Encoder of one process; holds at most max_pieces distinct pieces, about 40 bytes each.
+
+    Known pieces are sorted arrays of hashes; those of the last batches are in a small dict until they
+    are merged into the arrays.
+    """
 
     def __init__(self, path: str, max_pieces: int = 1_500_000):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -38,8 +43,9 @@ class Tokens:
         self._clear()
 
     def _clear(self) -> None:
-        self.index: dict[int, int] = {}
-        self.start, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int64)
+        self.count, self.recent = 0, {}  # hash: number of the piece
+        self.hashes, self.numbers = np.zeros(0, dtype=np.uint64), np.zeros(0, dtype=np.int32)
+        self.start, self.size = np.zeros(1 << 12, dtype=np.int64), np.zeros(1 << 12, dtype=np.int32)
         self.flat, self.used = np.zeros(1 << 14, dtype=np.uint32), 0
 
     def _ids(self, texts: list[str]) -> list[list[int]]:
@@ -57,7 +63,7 @@ class Tokens:
         rest = [i for i, t in enumerate(texts) if t[-1].isspace()]
         for i, got in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
             ids[i] = np.array(got, dtype=np.uint32)
-        n = len(self.index)
+        n = self.count
         sizes = np.array([len(x) for x in ids], dtype=np.int64)
         while n + len(ids) > len(self.start):
             self.start, self.size = np.concatenate([self.start, self.start]), np.concatenate([self.size, self.size])
@@ -67,7 +73,24 @@ class Tokens:
         self.start[n : n + len(ids)] = self.used + np.cumsum(sizes) - sizes
         self.flat[self.used : self.used + sizes.sum()] = np.concatenate(ids)
         self.used += int(sizes.sum())
-        self.index.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        self.count += len(ids)
+        self.recent.update(zip(hashes, range(n, n + len(ids)), strict=True))
+        if len(self.recent) > _RECENT:
+            h = np.concatenate([self.hashes, np.fromiter(self.recent.keys(), dtype=np.uint64, count=len(self.recent))])
+            at = np.concatenate([self.numbers, np.fromiter(self.recent.values(), dtype=np.int32, count=len(self.recent))])
+            order = np.argsort(h, kind="stable")
+            self.hashes, self.numbers, self.recent = h[order], at[order], {}
+
+    def _find(self, hashes: np.ndarray) -> np.ndarray:
+        """Numbers of the pieces of these hashes, -1 for unknown ones."""
+        out = np.full(len(hashes), -1, dtype=np.int64)
+        if len(self.hashes):
+            at = np.minimum(np.searchsorted(self.hashes, hashes), len(self.hashes) - 1)
+            known = self.hashes[at] == hashes
+            out[known] = self.numbers[at[known]]
+        rest = np.flatnonzero(out < 0)
+        out[rest] = [self.recent.get(k, -1) for k in hashes[rest].tolist()]
+        return out
 
     def encode(self, column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
         """All ids of the rows of a string column, and n + 1 borders; null reads as empty."""
@@ -87,19 +110,16 @@ class Tokens:
         starts = np.flatnonzero(begins)
         lens = np.diff(np.append(starts, len(data)))
         uniq, first, inverse = np.unique(hash_runs(data, starts, lens), return_index=True, return_inverse=True)
-        if len(self.index) + len(uniq) > self.max_pieces:
+        if self.count + len(uniq) > self.max_pieces:
             self._clear()
-        keys = uniq.tolist()
-        get = self.index.get
-        at = np.fromiter((get(k, -1) for k in keys), dtype=np.int64, count=len(keys))
+        at = self._find(uniq)
         new = np.flatnonzero(at < 0)
         if len(new):
-            n = len(self.index)
-            where = first[new]
-            self._learn([keys[i] for i in new.tolist()], [data[a : a + k].tobytes() for a, k in zip(starts[where].tolist(), lens[where].tolist(), strict=True)])
+            n, where = self.count, first[new]
+            self._learn(uniq[new].tolist(), [data[a : a + k].tobytes() for a, k in zip(starts[where].tolist(), lens[where].tolist(), strict=True)])
             at[new] = np.arange(n, n + len(new))
         piece = at[inverse]
-        sizes = self.size[piece]
+        sizes = self.size[piece].astype(np.int64)
         after_piece = np.cumsum(sizes)
         ids = self.flat[np.repeat(self.start[piece] - (after_piece - sizes), sizes) + np.arange(after_piece[-1])]
         out = np.concatenate([[0], after_piece])[np.searchsorted(starts, borders)]
