@@ -1,20 +1,18 @@
-"""Licence scan with a positional index of rare licence words, in DataFrame functions only.
+"""Licence scan with key phrases and a positional index of licence words, in DataFrame functions only.
 
-The index holds, for every licence word, the templates and places it stands in. Of each file the licence words
-of the highest inverse document frequency (counted over all files) are looked up; each of their places,
-less the place in the template, proposes where the template would begin, and proposals that agree are
-added up. A template is found where the words that stand at their relative positions make up LEAST_SHARE of its
-weight (the sum of its words' frequencies) and every one of its key phrases stands within SLACK words
-of its place. Words between the licence words hold their positions but aren't looked up.
+Every key phrase of a template must stand within SLACK words of its place, so the places of a file's key phrases
+propose all the places where a template can begin, of any number of licences in one file. The index holds, for every
+licence word, the templates and places it stands in. Of each proposal all words of the template that stand at their
+relative places are added up, weighted by inverse document frequency (counted over all files); a template is found
+where they make up LEAST_SHARE of its weight (the sum of its words' frequencies). Words between the licence words
+hold their positions but aren't looked up.
 
 Besides, the plain names of licences (BASE) are looked for as consecutive words, at all places.
 
 Score: the largest share of a found template; a plain name alone counts LEAST_SHARE.
 
-The words of a file never leave its row; what is shuffled are proposals of templates, summed up by file,
-template and place. Defined cases: a null text is empty and finds nothing (n_words 0, null places, empty labels,
-score 0); repeated rows give repeated results; ties among words of equal frequency go by the word; an empty table
-gives an empty result.
+What is shuffled are the proposals, and the licence words of files that hold all key phrases of a template. Defined cases: a null text is empty and finds nothing (n_words 0, null places, empty labels,
+score 0); repeated rows give repeated results; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -28,7 +26,7 @@ from pyspark.sql import functions as F
 from .shared import lower_ascii, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-RARE_WORDS, LEAST_SHARE, SLACK = 12, 0.5, 3
+LEAST_SHARE, SLACK = 0.5, 3
 
 # Names of licences and the labels they give.
 BASE = {
@@ -100,30 +98,36 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     places_of = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("place")) for t, p in ps]))])
     weight = [sum(idf[w] for w in text.split() if w not in COMMON) for _, text, _ in TEMPLATES]
 
-    # the rarest licence words of each file, and the places of templates that they propose
-    some = files.filter(F.size("hits") > 0)
-    ranked = F.array_sort(F.transform(F.array_distinct(F.transform("hits", lambda h: h.w)), lambda w: F.struct((-idf_of[w]).alias("v"), w.alias("w"))))
-    rare = some.withColumn("rare", F.transform(F.slice(ranked, 1, RARE_WORDS), lambda r: r.w))
-    looked_up = rare.select("row", F.explode(F.filter("hits", lambda h: F.array_contains("rare", h.w))).alias("h")).select("row", "h.p", "h.w")
-    proposed = looked_up.select("row", "w", "p", F.explode(places_of[F.col("w")]).alias("at")).select("row", "w", F.col("at.t").alias("t"), (F.col("p") - F.col("at.place")).alias("begin"))
-    agreed = proposed.groupBy("row", "t", "begin").agg(F.sum(idf_of[F.col("w")]).alias("found"))
-    # the share counts the looked-up words only: a file's further licence words are its RARE_WORDS rarest's company
-    share = F.col("found") / F.array(*[F.lit(w) for w in weight])[F.col("t")]
-    likely = agreed.withColumn("share", F.least(F.lit(1.0), share)).filter(F.col("share") >= LEAST_SHARE)
+    # where each template would begin by all of its key phrases; files without a proposal end here
+    has = F.array_distinct(F.transform("hits", lambda h: h.w))
+
+    def around(place: int):
+        return lambda s: F.sequence(s - F.lit(place + SLACK), s - F.lit(place - SLACK))
 
-    def key_places(t: int) -> list[tuple[str, int]]:
+    def begins(t: int) -> Column:
         text = TEMPLATES[t][1].split()
         out = []
         for key in TEMPLATES[t][2]:
             k = key.split()
-            out.append((key, next(i for i in range(len(text)) if text[i : i + len(k)] == k)))
-        return out
-
-    checked = likely.join(some.select("row", "hits"), "row")
-    near = lambda key, place: F.exists(_starts(F.col("hits"), key), lambda s: F.abs(s - F.col("begin") - place) <= SLACK)
-    proven = reduce(lambda a, b: a | b, [(F.col("t") == t) & reduce(lambda a, b: a & b, [near(k, p) for k, p in key_places(t)]) for t in range(len(TEMPLATES))])
+            place = next(i for i in range(len(text)) if text[i : i + len(k)] == k)
+            out.append(F.flatten(F.transform(_starts(F.col("hits"), key), around(place))))
+        words_of_keys = sorted({w for key in TEMPLATES[t][2] for w in key.split()})
+        there = reduce(lambda a, b: a & b, [F.array_contains("has", w) for w in words_of_keys])
+        return F.when(there, F.array_distinct(reduce(F.array_intersect, out))).otherwise(F.array().cast("array<int>"))
+
+    proposals = F.array(*[F.struct(F.lit(t).alias("t"), begins(t).alias("begins")) for t in range(len(TEMPLATES))])
+    keyed = files.filter(F.size("hits") > 0).select("row", "hits", has.alias("has")).select("row", "hits", F.filter(proposals, lambda c: F.size(c.begins) > 0).alias("proposals"))
+    keyed = stored(keyed.filter(F.size("proposals") > 0), "licence-keys")
+    wanted = keyed.select("row", F.explode("proposals").alias("c")).select("row", "c.t", F.explode("c.begins").alias("begin"))
+    # all words of the proposed templates, at all their places
+    looked_up = keyed.select("row", F.transform("proposals", lambda c: c.t).alias("ts"), F.explode("hits").alias("h")).select("row", "ts", "h.p", "h.w")
+    placed_at = looked_up.select("row", "ts", "w", "p", F.explode(places_of[F.col("w")]).alias("at")).filter(F.array_contains("ts", F.col("at.t")))
+    proposed = placed_at.select("row", "w", F.col("at.t").alias("t"), (F.col("p") - F.col("at.place")).alias("begin"))
+    agreed = proposed.join(wanted, ["row", "t", "begin"], "left_semi").groupBy("row", "t", "begin").agg(F.sum(idf_of[F.col("w")]).alias("found"))
+    share = F.col("found") / F.array(*[F.lit(w) for w in weight])[F.col("t")]
+    likely = agreed.withColumn("share", F.least(F.lit(1.0), share)).filter(F.col("share") >= LEAST_SHARE)
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
-    found = checked.filter(proven).groupBy("row").agg(F.collect_set(labels[F.col("t")]).alias("more"), F.max("share").alias("share"))
+    found = likely.groupBy("row").agg(F.collect_set(labels[F.col("t")]).alias("more"), F.max("share").alias("share"))
 
     base = files.select("row", "doc_id", "n_words", *[_starts(F.col("hits"), phrase).alias(label) for phrase, label in BASE.items()])
     named = [F.col(f"`{label}`") for label in BASE.values()]

@@ -39,3 +39,26 @@ def test_names_and_templates(spark, sf):
     assert by_id[8] == "apache,apache-2.0" and by_id[9] == "apache"
     assert by_id[None] == "mit,mit-notice"
     assert licenses.scan(df.limit(0)).count() == 0
+
+
+def test_all_licences_of_a_file(spark):
+    """Several licences in one file, and one licence among other licence words, keep all their labels."""
+    text = {label: t for label, t, _ in licenses.TEMPLATES}
+    gpl = text["gpl-notice"].replace("free software you", "free software: you")
+    header = (
+        "Licensed under the Apache License, Version 2.0 (the \"License\"); you may not use this file except in compliance with the License. "
+        "You may obtain a copy of the License at http://www.apache.org/licenses/LICENSE-2.0\n\nUnless required by applicable law or agreed to in writing, "
+        "software distributed under the License is distributed on an \"AS IS\" BASIS, WITHOUT WARRANTIES OR CONDITIONS OF ANY KIND, either express or implied."
+    )
+    rows = [
+        (1, text["mit-text"] + ".\n\n" + text["apache-2.0-text"], {"mit-text", "apache-2.0-text"}),
+        (2, text["mit-text"] + ".\n\n" + text["bsd"], {"mit-text", "bsd"}),
+        (3, text["mit-text"] + ".\n\n" + gpl + ".\n\n" + text["bsd"], {"mit-text", "gpl-notice", "bsd"}),
+        (4, header, {"apache-2.0", "apache-2.0-text"}),
+        (5, "\n".join(text[label] for label in text), set(text)),
+        (6, ("filler words " * 50 + text["isc"] + "\n" + text["mit-text"] + "\n") * 300, {"isc", "mit-text"}),
+    ]
+    notices = [(100 + i, "Licensed under the Apache License, Version 2.0.", {"apache-2.0"}) for i in range(20)]
+    got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows + notices], "doc_id long, text string")).collect()}
+    for i, _, labels in rows + notices:
+        assert labels <= got[i], i
