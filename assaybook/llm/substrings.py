@@ -1,18 +1,21 @@
 """Substring deduplication: passages that earlier documents hold already are cut out.
 
-A text is cut into sentences: after . ! or ? and white space, at line ends, and, in sentences of more than
-LONG words, after words of certain hashes, so that a passage without punctuation is cut alike wherever it
-stands. From every sentence a run of at least RUN sentences and MIN_WORDS words is hashed (over its lowered
-words of letters and digits, so case and punctuation don't count); a text too short for a run of RUN sentences
-is one run if it has MIN_WORDS words. All runs are joined globally by hash; a sentence is removed when some run
-that covers it isn't the first of its hash. First is the run in the smallest doc_id (null ids last, then by
-the hash of the text), and within a document the earliest.
+A text is cut into sentences: after . ! or ? and white space, and at line ends. Sentences are cut into pieces of at most WINDOW words by winnowing: of every WINDOW
+words in a row within a sentence, the one of the least hash begins a piece. So cuts depend on the next WINDOW - 1 words
+to either side only, and a passage is cut alike wherever it stands, with or without punctuation. From every piece the
+least run of at least RUN pieces and MIN_WORDS words is hashed (over its lowered words of letters and digits, so case
+and punctuation don't count), and so is the least one that ends with each sentence. All runs are joined globally
+by hash; a piece is removed when some run that covers it isn't the first of its hash; a sentence that a
+passage enters or leaves by under WINDOW words keeps them. First is the run in the
+smallest doc_id (null ids last, then by the hash of the text), and within a document the earliest. A repeated
+passage of 47 words, anywhere, holds at least one whole run (12 words to the first cut that all documents share, 22
+of the run, 13 after it).
 
 Only 16 bytes and the order of a run are shuffled. Runs of one hash are summed up before the shuffle, and only
 documents that a bitmap finds among those with repeats are shuffled whole; all others pass straight through.
 
 Defined cases: a null text stays null; rows equal in id and text count as one row (neither repeats the other);
-a text whose sentences all go becomes empty; ties cannot occur otherwise; an empty table gives an empty result.
+a text whose pieces all go becomes empty; ties cannot occur otherwise; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -27,46 +30,80 @@ from .bloom import possibly_in
 from .bytewords import ALNUM, Words, mix, text_bytes, words
 from .shared import batches, fresh, stored, wider
 
-RUN, MIN_WORDS, LONG = 3, 16, 24
+RUN, MIN_WORDS, WINDOW = 3, 16, 7
 _STOP, _WHITE, _LINE = (np.zeros(256, dtype=np.int64) for _ in range(3))
 _STOP[[33, 46, 63]] = 1
 _WHITE[[9, 10, 11, 12, 13, 32]] = 1
 _LINE[[10, 13]] = 1
 
 
-def sentences(w: Words) -> np.ndarray:
-    """The first word of every sentence, and the number of words at the end; rows begin new sentences."""
+def _begins(w: Words) -> np.ndarray:
+    """Flags of the words that begin a sentence; rows begin new sentences."""
     n = len(w.hashes)
-    if not n:
-        return np.zeros(1, dtype=np.int64)
     gap_a, gap_z = (w.starts + w.lens)[:-1], w.starts[1:]
-    within = lambda t: (lambda c: c[gap_z] - c[gap_a])(np.concatenate([[0], np.cumsum(t[w.data])]))
-    cut = np.zeros(n, dtype=bool)  # a sentence begins at this word
+    count = lambda at: (lambda c: c[gap_z] - c[gap_a])(np.concatenate([[0], np.cumsum(at)]))
+    within = lambda t: count(t[w.data])
+    cut = np.zeros(n, dtype=bool)
     cut[1:] = (within(_LINE) > 0) | ((within(_STOP) > 0) & (within(_WHITE) > 0))
     cut[w.first[:-1][np.diff(w.first) > 0]] = True
-    first = np.flatnonzero(cut)
-    sizes = np.diff(np.append(first, n))
-    soft = np.zeros(n, dtype=bool)
-    soft[1:] = (w.hashes[:-1] & np.uint64(7)) == 0
-    cut |= soft & np.repeat(sizes > LONG, sizes)
+    return cut
+
+
+def sentences(w: Words) -> np.ndarray:
+    """The first word of every piece of a sentence, and the number of words at the end."""
+    n = len(w.hashes)
+    if not n:
+        return np.zeros(1, dtype=np.int64)
+    cut = _begins(w)
+    m = n - WINDOW + 1
+    if m > 0:
+        number = np.cumsum(cut)
+        least, at = w.hashes[:m].copy(), np.arange(m)
+        for j in range(1, WINDOW):
+            less = w.hashes[j : m + j] <= least
+            least[less] = w.hashes[j : m + j][less]
+            at[less] = np.flatnonzero(less) + j
+        cut[at[number[:m] == number[WINDOW - 1 :]]] = True
     return np.append(np.flatnonzero(cut), n)
 
 
+def _sizes(w: Words, at: np.ndarray) -> np.ndarray:
+    """Quarters of words before each place."""
+    return 4 * at
+
+
 def runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Hash, first sentence and sentence after the last of each run; the first run of every row (n + 1 borders)."""
+    """Hash, first piece and piece after the last of the least run from each piece; the first run of every row (n + 1 borders)."""
     at = sentences(w)
     n = len(at) - 1
-    starts_of_rows = np.searchsorted(at[:-1], w.first)  # first sentence of each row
+    starts_of_rows = np.searchsorted(at[:-1], w.first)  # first piece of each row
     end_of_row = np.repeat(starts_of_rows[1:], np.diff(starts_of_rows))
     i = np.arange(n)
-    # the sentence after the last: RUN sentences on, or as many as MIN_WORDS words take
-    end = np.maximum(i + RUN, np.searchsorted(at, at[:-1] + MIN_WORDS))
-    is_first = np.zeros(n, dtype=bool)
-    is_first[starts_of_rows[:-1][np.diff(starts_of_rows) > 0]] = True
-    small = is_first & (end_of_row - i < RUN) & (at[end_of_row] - at[i] >= MIN_WORDS) if n else is_first
-    end = np.where(small, end_of_row, end)
+    # the piece after the last: RUN pieces on, or as many as MIN_WORDS words take
+    size = _sizes(w, at)
+    end = np.maximum(i + RUN, np.searchsorted(size, size[:-1] + 4 * MIN_WORDS))
     ok = end <= end_of_row
-    i, end = i[ok], end[ok]
+    return _hashed(w, at, i[ok], end[ok], starts_of_rows)
+
+
+def all_runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """As runs, with the least run that ends with each sentence, so that a passage goes up to its end."""
+    at = sentences(w)
+    n = len(at) - 1
+    h, i, end, first = runs(w)
+    if not n:
+        return h, i, end, first
+    starts_of_rows = np.searchsorted(at[:-1], w.first)
+    z = np.append(np.flatnonzero(_begins(w)[at[:-1]])[1:], n)  # pieces after the last of each sentence
+    size = _sizes(w, at)
+    a = np.minimum(z - RUN, np.searchsorted(size, size[z] - 4 * MIN_WORDS, side="right") - 1)
+    start_of_row = np.repeat(starts_of_rows[:-1], np.diff(starts_of_rows))
+    ok = a >= start_of_row[z - 1]
+    both = np.unique(np.concatenate([i * (n + 1) + end, a[ok] * (n + 1) + z[ok]]))
+    return _hashed(w, at, both // (n + 1), both % (n + 1), starts_of_rows)
+
+
+def _hashed(w: Words, at: np.ndarray, i: np.ndarray, end: np.ndarray, starts_of_rows: np.ndarray):
     # a run's hash: the polynomial of its word hashes, from sums over all words with wrapped arithmetic
     hashes = np.zeros(len(i), dtype=np.uint64)
     a, z = at[i], at[end]
@@ -86,12 +123,26 @@ def _own_repeats(h: np.ndarray) -> np.ndarray:
     return out
 
 
+def _keep_ends(drop: np.ndarray, sentence: np.ndarray, sizes: np.ndarray) -> None:
+    """Take from a stretch of dropped pieces the few words (under WINDOW) of a sentence that it enters or leaves, in place."""
+    edges = np.flatnonzero(np.diff(np.concatenate([[0], drop.astype(np.int8), [0]])))
+    for s, e in zip(edges[::2].tolist(), edges[1::2].tolist(), strict=True):
+        if s and sentence[s - 1] == sentence[s]:
+            t = int(np.searchsorted(sentence, sentence[s], side="right"))
+            if t < e and sizes[s:t].sum() < WINDOW:
+                drop[s:t] = False
+        if e < len(drop) and sentence[e] == sentence[e - 1]:
+            b = int(np.searchsorted(sentence, sentence[e - 1]))
+            if b > s and sizes[b:e].sum() < WINDOW:
+                drop[b:e] = False
+
+
 def _run_table(df: DataFrame) -> DataFrame:
     """Per row of (doc_id, tk, text): doc_id, tk, its distinct run hashes, and if it repeats one itself."""
 
     def work(batches_):
         for b in batches_:
-            h, _, _, first = runs(words(b.column("text"), ALNUM))
+            h, _, _, first = all_runs(words(b.column("text"), ALNUM))
             parts = [np.unique(h[a:z]).view(np.int64) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             borders = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
@@ -104,7 +155,7 @@ def _run_table(df: DataFrame) -> DataFrame:
 
 
 def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with its texts cut, and n_removed and words_removed: sentences and words that went."""
+    """df with its texts cut, and n_removed and words_removed: sentences that lost words, and words that went."""
     removed, gone, tk, r_id, r_tk, r_hits = fresh(df.columns, "n_removed", "words_removed", "tk", "r_id", "r_tk", "r_hits")
     keyed = df.withColumn(tk, F.xxhash64(text_col))
     table = _run_table(keyed.select(F.col(id_col).cast("long").alias("doc_id"), F.col(tk).alias("tk"), F.col(text_col).alias("text")))
@@ -121,8 +172,9 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
         for b in batches_:
             column = b.column(text_col)
             w = words(column, ALNUM)
-            h, i, end, first = runs(w)
+            h, i, end, first = all_runs(w)
             at = sentences(w)
+            sentence = np.cumsum(_begins(w)[at[:-1]])
             rows = np.searchsorted(at[:-1], w.first)
             raw, borders = text_bytes(column)
             texts, n_removed, n_words = [], [], []
@@ -134,15 +186,16 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
                 np.add.at(covered, i[part][bad] - a, 1)
                 np.add.at(covered, end[part][bad] - a, -1)
                 drop = np.cumsum(covered)[: z - a] > 0
+                _keep_ends(drop, sentence[a:z], np.diff(at[a : z + 1]))
                 if hits is None or not drop.any():
                     texts.append(column[r].as_py())
                     n_removed.append(0)
                     n_words.append(0)
                     continue
-                begin = np.append(w.starts[at[a:z]], borders[r + 1])  # a sentence reaches to the next one's first word
+                begin = np.append(w.starts[at[a:z]], borders[r + 1])  # a piece reaches to the next one's first word
                 begin[0] = borders[r]
                 texts.append(b"".join(raw[begin[k] : begin[k + 1]].tobytes() for k in np.flatnonzero(~drop).tolist()).decode())
-                n_removed.append(int(drop.sum()))
+                n_removed.append(len(np.unique(sentence[a:z][drop])))
                 n_words.append(int(np.diff(at[a : z + 1])[drop].sum()))
             out = dict(zip(b.schema.names, b.columns, strict=True)) | {text_col: pa.array(texts, pa.string()), removed: pa.array(n_removed, pa.int64()), gone: pa.array(n_words, pa.int64())}
             out.pop(r_hits)

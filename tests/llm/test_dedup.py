@@ -160,3 +160,31 @@ def test_passages_without_punctuation_and_runs_by_definition(spark):
     for a, z in zip(i, end, strict=True):
         assert z - a >= substrings.RUN and at[z] - at[a] >= substrings.MIN_WORDS
         assert z - a == substrings.RUN or at[z - 1] - at[a] < substrings.MIN_WORDS
+
+
+def _covered(column, apart):
+    """Of each row but the first: how many words are under a run that the first row has too."""
+    w = words(pa.array(column), ALNUM, **({"apart": True} if apart else {}))
+    at = substrings.sentences(w)
+    h, i, end, first = getattr(substrings, "all_runs", substrings.runs)(w)
+    out = []
+    for r in range(1, len(column)):
+        part = slice(first[r], first[r + 1])
+        hit = np.isin(h[part], h[: first[1]])
+        out.append(len({k for a, z in zip(i[part][hit], end[part][hit], strict=True) for k in range(at[a], at[z])}))
+    return out
+
+
+def test_no_repeated_passage_of_51_to_60_words_is_missed():
+    rng = np.random.default_rng(8)
+    around = lambda n: " ".join(f"q{x}" for x in rng.integers(0, 10**6, n))
+    missed = 0
+    for seed in range(300):
+        tokens = [f"p{x}" for x in np.random.default_rng(seed).integers(0, 3000, 51 + seed % 10)]
+        if seed % 3 == 1:  # three or four unfinished sentences
+            step = 17 if seed % 2 else 13
+            tokens = [t + "." if k % step == step - 1 and k < len(tokens) - 1 else t for k, t in enumerate(tokens)]
+        passage = " ".join(tokens)
+        texts = [f"{around(rng.integers(0, 40))} {passage} {around(rng.integers(0, 40))}" for _ in range(4)]
+        missed += sum(n < 16 for n in _covered(texts, False))
+    assert missed == 0
