@@ -75,27 +75,70 @@ class Words:
     lens: np.ndarray
     first: np.ndarray  # first word of each row, and the number of words: n + 1 entries
     data: np.ndarray  # lowered bytes
+    quarters: np.ndarray  # what every word counts, in quarters of a word
+    stops: np.ndarray  # byte offsets of non-ASCII sentence ends (with `apart` only)
 
     def row_of(self) -> np.ndarray:
         return np.repeat(np.arange(len(self.first) - 1), np.diff(self.first))
 
 
-def words(column: pa.Array, kind: np.ndarray) -> Words:
-    """Words of every row: maximal runs of bytes of the class `kind`, A-Z lowered before."""
+#: What a character of two or more bytes is: nothing special, punctuation, a sentence's end, or a word of its own
+#: (of a script without spaces) that counts as a half or a quarter of a word.
+_PLAIN, _MARK, _END, _HALF, _QUARTER = range(5)
+_SIGNS = np.zeros(0x10000, dtype=np.uint8)
+for _a, _z in ((0x0E00, 0x0EFF), (0x0F00, 0x0FFF), (0x1000, 0x109F), (0x1780, 0x17FF), (0x1A20, 0x1AAF), (0xA9E0, 0xA9FF), (0xAA60, 0xAA7F)):
+    _SIGNS[_a : _z + 1] = _QUARTER
+for _a, _z in ((0x2E80, 0x2FDF), (0x3005, 0x3007), (0x3021, 0x3029), (0x3031, 0x3035), (0x3038, 0x303C), (0x3040, 0x312F), (0x31A0, 0x31BF), (0x31F0, 0x31FF), (0x3400, 0x4DBF), (0x4E00, 0x9FFF), (0xA000, 0xA48F), (0xF900, 0xFAFF), (0xFF66, 0xFF9F)):
+    _SIGNS[_a : _z + 1] = _HALF
+for _a, _z in ((0x3000, 0x3004), (0x3008, 0x3020), (0x302A, 0x3030), (0x3036, 0x3037), (0x303D, 0x303F), (0x30FB, 0x30FB), (0xFE30, 0xFE4F), (0xFF01, 0xFF0F), (0xFF1A, 0xFF20), (0xFF3B, 0xFF40), (0xFF5B, 0xFF65)):
+    _SIGNS[_a : _z + 1] = _MARK
+_SIGNS[[0x3002, 0xFF01, 0xFF0E, 0xFF1F, 0xFF61, 0x061F, 0x06D4, 0x0964, 0x0965, 0x0E5A, 0x0E5B, 0x0F0D, 0x0F0E, 0x104A, 0x104B, 0x1362, 0x1367, 0x17D4, 0x17D5, 0x203C, 0x2047, 0x2048, 0x2049]] = _END
+
+
+def _signs(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place, bytes and kind of the characters of two or more bytes that are something special."""
+    at = np.flatnonzero(data >= 0xC0)
+    lead = data[at]
+    size = 2 + (lead >= 0xE0).astype(np.int64) + (lead >= 0xF0)
+    code = lead.astype(np.int64) & (0xFF >> (size + 1))
+    for j in (1, 2, 3):
+        more = size > j
+        code[more] = code[more] << 6 | (data[at[more] + j].astype(np.int64) & 63)
+    kind = np.where(code < 0x10000, _SIGNS[np.minimum(code, 0xFFFF)], np.where((code >= 0x20000) & (code < 0x40000), _HALF, _PLAIN))
+    some = kind > 0
+    return at[some], size[some], kind[some]
+
+
+def words(column: pa.Array, kind: np.ndarray, apart: bool = False) -> Words:
+    """Words of every row: maximal runs of bytes of the class `kind`, A-Z lowered before.
+
+    With `apart` (for ALNUM), characters of scripts without spaces are words of their own, and the punctuation of these scripts and
+    non-ASCII sentence ends separate words.
+    """
     raw, borders = text_bytes(column)
     data = LOWER[raw]
     inside = kind[data]
+    at, size, sign = _signs(data) if apart else (np.zeros(0, dtype=np.int64),) * 3
+    mark, lone = (sign == _MARK) | (sign == _END), sign >= _HALF
+    for j in range(4):
+        inside[at[mark & (size > j)] + j] = False
     begins = inside.copy()
     begins[1:] &= ~inside[:-1]
-    at = borders[:-1][np.diff(borders) > 0]
-    begins[at] = inside[at]
+    begins[at[lone]] = True
+    after = (at + size)[lone]
+    after = after[after < len(data)]
+    begins[after] = inside[after]
+    rows = borders[:-1][np.diff(borders) > 0]
+    begins[rows] = inside[rows]
     starts = np.flatnonzero(begins)
     kept = data[inside]
     before = np.cumsum(inside) - inside  # word bytes before a place
     first_byte = before[starts]
     lens = np.diff(np.append(first_byte, len(kept)))
     first = np.searchsorted(starts, borders)
-    return Words(hash_runs(kept, first_byte, lens), starts, lens, first, data)
+    quarters = np.full(len(starts), 4, dtype=np.int64)
+    quarters[np.searchsorted(starts, at[lone])] = np.where(sign[lone] == _HALF, 2, 1)
+    return Words(hash_runs(kept, first_byte, lens), starts, lens, first, data, quarters, at[sign == _END])
 
 
 def shingles(w: Words, width: int) -> tuple[np.ndarray, np.ndarray]:

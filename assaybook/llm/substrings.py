@@ -1,6 +1,7 @@
 """Substring deduplication: passages that earlier documents hold already are cut out.
 
-A text is cut into sentences: after . ! or ? and white space, and at line ends. Sentences are cut into pieces of at most WINDOW words by winnowing: of every WINDOW
+A text is cut into sentences: after . ! or ? and white space, after the full stops, exclamation and question marks
+of other scripts, and at line ends. Sentences are cut into pieces of at most WINDOW words by winnowing: of every WINDOW
 words in a row within a sentence, the one of the least hash begins a piece. So cuts depend on the next WINDOW - 1 words
 to either side only, and a passage is cut alike wherever it stands, with or without punctuation. From every piece the
 least run of at least RUN pieces and MIN_WORDS words is hashed (over its lowered words of letters and digits, so case
@@ -11,6 +12,9 @@ smallest doc_id (null ids last, then by the hash of the text), and within a docu
 passage of 47 words, anywhere, holds at least one whole run (12 words to the first cut that all documents share, 22
 of the run, 13 after it).
 
+In scripts without spaces every character is a word of its own for cutting and hashing, and counts as a half (Chinese,
+Japanese) or a quarter (Thai and the like) of a word towards MIN_WORDS.
+
 Only 16 bytes and the order of a run are shuffled. Runs of one hash are summed up before the shuffle, and only
 documents that a bitmap finds among those with repeats are shuffled whole; all others pass straight through.
 
@@ -45,6 +49,10 @@ def _begins(w: Words) -> np.ndarray:
     within = lambda t: count(t[w.data])
     cut = np.zeros(n, dtype=bool)
     cut[1:] = (within(_LINE) > 0) | ((within(_STOP) > 0) & (within(_WHITE) > 0))
+    if len(w.stops):
+        there = np.zeros(len(w.data), dtype=np.int64)
+        there[w.stops] = 1
+        cut[1:] |= count(there) > 0
     cut[w.first[:-1][np.diff(w.first) > 0]] = True
     return cut
 
@@ -69,7 +77,7 @@ def sentences(w: Words) -> np.ndarray:
 
 def _sizes(w: Words, at: np.ndarray) -> np.ndarray:
     """Quarters of words before each place."""
-    return 4 * at
+    return np.concatenate([[0], np.cumsum(w.quarters)])[at]
 
 
 def runs(w: Words) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -142,7 +150,7 @@ def _run_table(df: DataFrame) -> DataFrame:
 
     def work(batches_):
         for b in batches_:
-            h, _, _, first = all_runs(words(b.column("text"), ALNUM))
+            h, _, _, first = all_runs(words(b.column("text"), ALNUM, apart=True))
             parts = [np.unique(h[a:z]).view(np.int64) for a, z in zip(first[:-1].tolist(), first[1:].tolist(), strict=True)]
             borders = np.concatenate([[0], np.cumsum([len(p) for p in parts])]).astype(np.int32)
             flat = np.concatenate(parts) if parts else np.zeros(0, dtype=np.int64)
@@ -171,7 +179,7 @@ def remove_repeats(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     def cut(batches_):
         for b in batches_:
             column = b.column(text_col)
-            w = words(column, ALNUM)
+            w = words(column, ALNUM, apart=True)
             h, i, end, first = all_runs(w)
             at = sentences(w)
             sentence = np.cumsum(_begins(w)[at[:-1]])

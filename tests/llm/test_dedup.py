@@ -188,3 +188,21 @@ def test_no_repeated_passage_of_51_to_60_words_is_missed():
         texts = [f"{around(rng.integers(0, 40))} {passage} {around(rng.integers(0, 40))}" for _ in range(4)]
         missed += sum(n < 16 for n in _covered(texts, False))
     assert missed == 0
+
+
+CHINESE = "\u6cb3\u6c34\u4e00\u591c\u4e4b\u95f4\u6f32\u4e86\u8d77\u6765\uff0c\u51b2\u8d70\u4e86\u90a3\u5ea7\u8001\u6865\u3002\u6ca1\u6709\u4eba\u60f3\u5230\u4f1a\u53d1\u751f\u8fd9\u6837\u7684\u4e8b\u60c5\uff01\u4eba\u4eec\u5728\u5cb8\u8fb9\u7ad9\u4e86\u51e0\u4e2a\u5c0f\u65f6\u3002\u7136\u540e\u96e8\u53c8\u4e0b\u4e86\u8d77\u6765\uff0c\u6bd4\u4ee5\u524d\u66f4\u5927\u3002"
+
+
+def test_passages_in_scripts_without_spaces(spark):
+    rng = np.random.default_rng(4)
+    other = lambda lo, hi: "".join(map(chr, rng.integers(lo, hi, 30)))
+    thai = other(0x0E01, 0x0E2E) + other(0x0E01, 0x0E2E) + other(0x0E01, 0x0E2E) + other(0x0E01, 0x0E2E)
+    rows = [(i, other(0x5000, 0x9000) + "\u3002" + CHINESE + other(0x5000, 0x9000)) for i in range(3)]
+    rows += [(10 + i, other(0x0E01, 0x0E2E) + thai + other(0x0E01, 0x0E2E)) for i in range(2)] + [(20, "ab\u6cb3cd\uff0cef")]
+    got = {r.doc_id: r for r in substrings.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[0].text == rows[0][1] and got[10].text == rows[3][1] and got[20].text == rows[5][1]
+    for i in (1, 2):
+        assert got[i].text == rows[i][1].replace(CHINESE, "") and got[i].n_removed == 4
+    assert got[11].words_removed >= 80 and len(got[11].text) >= 60
+    w = words(pa.array([rows[5][1]]), ALNUM, apart=True)
+    assert [w.data[a : a + n].tobytes().decode() for a, n in zip(w.starts, w.lens, strict=True)] == ["ab", "\u6cb3", "cd", "ef"] and w.quarters.tolist() == [4, 2, 4, 4]
