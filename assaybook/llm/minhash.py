@@ -222,12 +222,13 @@ def _centres(members: DataFrame) -> DataFrame:
 def _pairs_left(members: DataFrame, percent: int, share: float) -> DataFrame:
     """Likely pairs of different components within each bucket; large buckets in pairs of blocks.
 
-    A pair that shares several bands is reported in the first of them only.
+    A pair that shares several bands is found in each of them and made distinct afterwards: the low bytes that members
+    carry don't tell which other buckets a pair shares.
     """
     least = round(share * COORDINATES)
 
     def work(key, t):
-        i, j, band = key[1].as_py(), key[2].as_py(), t.column("band")[0].as_py()
+        i, j = key[1].as_py(), key[2].as_py()
         node, comp, size, block = (t.column(c).to_numpy() for c in ("node", "comp", "n_shingles", "block"))
         sig, cell = _sketches(t.column("sig"))
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
@@ -235,8 +236,7 @@ def _pairs_left(members: DataFrame, percent: int, share: float) -> DataFrame:
         for p in left.tolist():
             q = right[(comp[right] != comp[p]) & (100 * np.minimum(size[right], size[p]) >= percent * np.maximum(size[right], size[p]))]
             same = sig[q] == sig[p]
-            earlier = same[:, : band * BAND].reshape(len(q), band, BAND).all(axis=2).any(axis=1)
-            q = q[(same.sum(axis=1) >= least) & ~earlier]
+            q = q[same.sum(axis=1) >= least]
             q = q[_possible(cell[q], cell[p : p + 1], size[q], size[p], percent)]
             out.append(np.stack([np.minimum(node[q], node[p]), np.maximum(node[q], node[p])], axis=1))
         got = np.unique(np.concatenate(out), axis=0) if out else np.zeros((0, 2), dtype=np.int64)
@@ -245,7 +245,7 @@ def _pairs_left(members: DataFrame, percent: int, share: float) -> DataFrame:
     # block i meets block j >= i once: a member goes with its block to the pairs that hold it
     dealt = _blocks(members).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
-    return dealt.select("key", "i", "j", "block", "band", "node", "comp", "n_shingles", "sig").groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
+    return dealt.select("key", "i", "j", "block", "node", "comp", "n_shingles", "sig").groupBy("key", "i", "j").applyInArrow(work, "a long, b long").distinct()
 
 
 def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = 5, percent: int = 80, share: float = 0.7) -> DataFrame:

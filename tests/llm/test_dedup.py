@@ -206,3 +206,22 @@ def test_passages_in_scripts_without_spaces(spark):
     assert got[11].words_removed >= 80 and len(got[11].text) >= 60
     w = words(pa.array([rows[5][1]]), ALNUM, apart=True)
     assert [w.data[a : a + n].tobytes().decode() for a, n in zip(w.starts, w.lens, strict=True)] == ["ab", "\u6cb3", "cd", "ef"] and w.quarters.tolist() == [4, 2, 4, 4]
+
+
+def test_pairs_meet_whatever_other_bands_low_bytes_say(spark):
+    """The pairs of all bands are those that share a real bucket, also where low bytes agree in an earlier band."""
+    rng = np.random.default_rng(3)
+    members, want = [], set()
+    for p in range(60):
+        one = rng.integers(0, 2**32, minhash.COORDINATES, dtype=np.uint32)
+        two = np.where(rng.random(minhash.COORDINATES) < 0.8, one, rng.integers(0, 2**32, minhash.COORDINATES, dtype=np.uint32)).astype(np.uint32)
+        if p % 2:  # the first band agrees in low bytes only
+            two[: minhash.BAND] = one[: minhash.BAND] ^ np.uint32(0xABCD00)
+        keys = minhash.bands(np.stack([one, two]))
+        for band in np.flatnonzero(keys[0] == keys[1]).tolist():
+            want.add((2 * p, 2 * p + 1))
+            for node, sig in ((2 * p, one), (2 * p + 1, two)):
+                members.append((int(keys[0][band]), band, node, node, 100, bytearray(sig.astype(np.uint8).tobytes() + b"\xff" * minhash.CELLS), 2))
+    df = spark.createDataFrame(members, "key long, band int, node long, comp long, n_shingles long, sig binary, n long")
+    got = [(r.a, r.b) for r in minhash._pairs_left(df, 80, 0.7).collect()]
+    assert len(want) > 50 and sorted(got) == sorted(want)
