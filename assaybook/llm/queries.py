@@ -151,3 +151,57 @@ def op4_licenses(spark, sf_dir):
     from .licenses import scan
 
     return scan(table(spark, sf_dir, "documents"))
+
+
+@query
+def op11_token_files(spark, sf_dir):
+    import public_tokenizers
+
+    from .tokenfiles import read_token_files, token_digests, write_token_files
+
+    files = write_token_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+    return token_digests(read_token_files(spark, files))
+
+
+@query
+def op12_centroids(spark, sf_dir):
+    from .centroids import cluster
+
+    return cluster(table(spark, sf_dir, "embeddings"))
+
+
+_ROUND = """d{n} AS (SELECT v.row, v.q, c.c, list_sum(list_transform(range(1, 65), lambda i: (v.q[i] - c.q[i]) * (v.q[i] - c.q[i]))) AS d FROM v, c{n} c),
+a{n} AS (SELECT row, any_value(q) AS q, arg_min(c, (d, c)) AS c, min(d) AS d FROM d{n} GROUP BY row)"""
+_MOVE = """s{n} AS (SELECT c, i, cast(floor(sum(q[i]) / count(*)) AS BIGINT) AS x FROM a{n}, (SELECT unnest(range(1, 65)) AS i) GROUP BY c, i),
+c{m} AS (SELECT c.c, coalesce(n.q, c.q) AS q FROM c{n} c LEFT JOIN (SELECT c, list(x ORDER BY i) AS q FROM s{n} GROUP BY c) n ON n.c = c.c)"""
+ORACLE["op12_centroids"] = f"""
+WITH v AS (
+    SELECT vec_id, row_number() OVER () AS row, list_transform(embedding, lambda x: cast(floor(64 * cast(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+    WHERE len(embedding) = 64 AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+c0 AS (SELECT row_number() OVER (ORDER BY h NULLS LAST, q) - 1 AS c, q FROM (SELECT sha256('1:' || cast(vec_id AS VARCHAR)) AS h, q FROM v ORDER BY h NULLS LAST, q LIMIT 16)),
+{_ROUND.format(n=0)}, {_MOVE.format(n=0, m=1)}, {_ROUND.format(n=1)}, {_MOVE.format(n=1, m=2)}, {_ROUND.format(n=2)}, {_MOVE.format(n=2, m=3)}, {_ROUND.format(n=3)}
+SELECT v.vec_id, cast(a.c AS INT) AS cluster, cast(a.d AS BIGINT) AS distance, cast(sum(a.d) OVER (PARTITION BY a.c) AS BIGINT) AS cluster_inertia,
+       cast(sum(a.d) OVER () AS BIGINT) AS inertia, sha256(array_to_string(c.q, ',')) AS centroid_sha256
+FROM v JOIN a3 a ON a.row = v.row JOIN c3 c ON c.c = a.c
+"""
+
+
+@query
+def op13_infill(spark, sf_dir):
+    from .infill import fill_in_middle, infill_digests
+
+    return infill_digests(fill_in_middle(table(spark, sf_dir, "documents")))
+
+
+ORACLE["op13_infill"] = """
+WITH t AS (SELECT doc_id, coalesce(text, '') AS x, length(coalesce(text, '')) AS n, sha256('1:' || cast(doc_id AS VARCHAR)) AS h FROM documents),
+u AS (SELECT *, cast('0x' || substr(h, 1, 8) AS BIGINT) % (n + 1) AS a, cast('0x' || substr(h, 9, 8) AS BIGINT) % (n + 1) AS b,
+        CASE WHEN x = '' OR contains(x, '<P>') OR contains(x, '<S>') OR contains(x, '<M>') OR cast('0x' || substr(h, 17, 8) AS BIGINT) % 100 >= 90 THEN 'plain'
+             WHEN cast('0x' || substr(h, 25, 8) AS BIGINT) % 100 < 20 THEN 'spm' ELSE 'psm' END AS form FROM t),
+p AS (SELECT *, least(a, b) AS i, greatest(a, b) AS j FROM u),
+s AS (SELECT *, substr(x, 1, i) AS pre, substr(x, i + 1, j - i) AS mid, substr(x, j + 1) AS suf FROM p)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN i END AS prefix_chars, CASE WHEN form <> 'plain' THEN j - i END AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN x WHEN 'psm' THEN '<P>' || pre || '<S>' || suf || '<M>' || mid ELSE '<S>' || suf || '<P>' || pre || '<M>' || mid END) AS output_sha256,
+       sha256(x) AS restored_sha256
+FROM s
+"""
