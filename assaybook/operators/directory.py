@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import list_limit
 from ..functions.text import digits_only, like_any, or_null, owner_key, pet_key
+from .newest import newest_rows
 
 PET_FIELDS = ("pet_name", "species", "breed", "age", "sex")
 
@@ -110,7 +111,7 @@ def search_owners(reports: DataFrame, q: str, owners: str | int | None = None) -
         F.max("id").alias("owner_last_report_id"),
     ).join(counts, "owner_key")
     n = list_limit(owners)
-    return found if n is None else found.orderBy(F.desc("owner_last_report_id")).limit(n)
+    return found if n is None else newest_rows(found, ["owner_last_report_id"], n)
 
 
 def patient_search(
@@ -132,5 +133,4 @@ def patient_search(
         "last_report_id", F.col("_p.report_date").alias("last_report_date"),
     )
     n = list_limit(limit)
-    order = (F.desc("owner_last_report_id"), F.desc("last_report_id"))
-    return out if n is None else out.orderBy(*order).limit(n)
+    return out if n is None else newest_rows(out, ["owner_last_report_id", "last_report_id"], n)

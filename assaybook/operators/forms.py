@@ -240,10 +240,13 @@ def _new_form_rows(rows: DataFrame, forms: DataFrame) -> DataFrame:
 
 
 def replace_forms(
-    forms: DataFrame, writes: DataFrame, touched: DataFrame | None = None
+    forms: DataFrame, writes: DataFrame, touched: DataFrame | None = None,
+    numbered: DataFrame | None = None,
 ) -> DataFrame:
     """All forms of the touched reports are removed, then the writes are added. `touched`
-    (report_id) defaults to the reports written to; naming more of them clears those."""
+    (report_id) defaults to the reports written to; naming more of them clears those. New ids go
+    on from the largest in `numbered`, by default the forms themselves."""
     touched = writes.select("report_id") if touched is None else touched.select("report_id")
     kept = forms.join(touched.distinct(), "report_id", "left_anti").select(*forms.columns)
-    return kept.unionByName(_new_form_rows(last_writes(writes), forms))
+    added = _new_form_rows(last_writes(writes), forms if numbered is None else numbered)
+    return kept.unionByName(added)

@@ -326,30 +326,37 @@ def _form_writes(bodies: DataFrame) -> DataFrame:
 # -- update --------------------------------------------------------------------------------
 
 
-def apply_updates(
-    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str
-) -> tuple[Tables, DataFrame]:
-    """Bodies with report_id replace the header, and each child list that is present: a missing
-    list keeps the stored rows, an empty one clears them. Of several bodies for a report the
-    last one counts, separately for the header and for each child list.
+HEADER_COLUMNS = (
+    "patient_name", "owner_phone", "pet_name", "species", "breed", "age", "sex", "referring_vet",
+    "sample_date", "report_date", "clinical_notes", "remarks", "status",
+)
 
-    Every output derives from the accepted bodies; a job that writes them all reads the bodies
-    from a stored table."""
+
+def accept_updates(
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str
+) -> tuple[DataFrame, DataFrame]:
+    """(accepted bodies, refused (seq, reject_reason)). All outputs of an update derive from the
+    accepted bodies, so a job that writes them stores this frame once and goes on from the copy."""
     good, rejects = _checked(
         payloads, validate_update(payloads, tables["lab_reports"]), tables, "update", as_of
     )
-    good = good.withColumn("report_id", to_id(F.col("report_id").cast("string")))
+    return good.withColumn("report_id", to_id(F.col("report_id").cast("string"))), rejects
+
+
+def updated_tables(
+    tables: Mapping[str, DataFrame], good: DataFrame, as_of: str,
+    numbered: Mapping[str, DataFrame] | None = None,
+) -> Tables:
+    """The tables after accepted updates. New ids go on from the largest in `numbered` (frames with
+    an id column), by default the tables themselves."""
+    last_ids = tables if numbered is None else numbered
 
-    header_columns = [
-        "patient_name", "owner_phone", "pet_name", "species", "breed", "age", "sex",
-        "referring_vet", "sample_date", "report_date", "clinical_notes", "remarks", "status",
-    ]
     def headers() -> DataFrame:
         last = good.groupBy(F.col("report_id").alias("id")).agg(
-            F.max_by(F.struct(*header_columns), "seq").alias("_h")
+            F.max_by(F.struct(*HEADER_COLUMNS), "seq").alias("_h")
         )
         hit = F.col("_h").isNotNull()
-        new = {c: F.when(hit, F.col(f"_h.{c}")).otherwise(F.col(c)) for c in header_columns}
+        new = {c: F.when(hit, F.col(f"_h.{c}")).otherwise(F.col(c)) for c in HEADER_COLUMNS}
         new["updated_at"] = F.when(hit, F.lit(as_of).cast("timestamp_ntz")).otherwise(
             F.col("updated_at")
         )
@@ -366,14 +373,17 @@ def apply_updates(
         lists = latest(column)
         kept = tables[name].join(lists.select("report_id"), "report_id", "left_anti")
         start = running_totals(lists, ["seq"], {"_n": F.size(column)}).withColumn(
-            "_n", next_id(tables[name]) + F.col("_n")
+            "_n", next_id(last_ids[name]) + F.col("_n")
         )
-        return kept.select(*tables[name].columns).unionByName(_child_rows(start, column, "_n"))
+        added = conform(_child_rows(start, column, "_n"), name)
+        return kept.select(*tables[name].columns).unionByName(added)
 
     def forms() -> DataFrame:
         lists = latest("_forms")
         writes = _form_writes(lists).withColumn("ts", F.lit(as_of).cast("timestamp_ntz"))
-        return replace_forms(tables["lab_report_forms"], writes, lists)
+        return replace_forms(
+            tables["lab_report_forms"], writes, lists, last_ids["lab_report_forms"]
+        )
 
     return changed(tables, {
         "lab_reports": headers,
@@ -383,7 +393,20 @@ def apply_updates(
             tables["lab_report_images"], attachments(good), "update"
         ),
         "lab_report_forms": forms,
-    }), rejects
+    })
+
+
+def apply_updates(
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str
+) -> tuple[Tables, DataFrame]:
+    """Bodies with report_id replace the header, and each child list that is present: a missing
+    list keeps the stored rows, an empty one clears them. Of several bodies for a report the
+    last one counts, separately for the header and for each child list.
+
+    Every output derives from the accepted bodies; a job that writes them all stores these first
+    (see sources.partitioned)."""
+    good, rejects = accept_updates(tables, payloads, as_of)
+    return updated_tables(tables, good, as_of), rejects
 
 
 # -- delete --------------------------------------------------------------------------------

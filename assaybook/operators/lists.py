@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from ..functions.numbers import list_limit
 from ..functions.text import like_any, trim
 from ..functions.text import rebook_key as _rebook_key
+from .newest import newest_rows
 
 LIST_COLUMNS = (
     "id", "report_no", "patient_name", "pet_name", "species", "sample_date", "report_date",
@@ -25,8 +26,8 @@ def report_list(
     q = (q or "").strip()
     rows = reports.filter(like_any(q, map(F.col, SEARCHED), accent_blind)) if q else reports
     n = list_limit(limit)
-    rows = rows.select(*LIST_COLUMNS).orderBy(F.desc("id"))
-    return rows if n is None else rows.limit(n)
+    rows = rows.select(*LIST_COLUMNS)
+    return rows.orderBy(F.desc("id")) if n is None else newest_rows(rows, ["id"], n)
 
 
 def report_list_batch(

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import SparkSession
 
 SETTINGS = {
@@ -44,3 +46,11 @@ def tune(spark: SparkSession) -> SparkSession:
     for key, value in SETTINGS.items():
         spark.conf.set(key, value)
     return spark
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below spark.checkpoint.dir, which driver and executors share."""
+    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+    if not place:
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"

@@ -4,14 +4,14 @@ from __future__ import annotations
 
 
 def all_queries():
-    from . import forms, reads, writes  # noqa: F401
+    from . import forms, partitions, reads, writes  # noqa: F401
     from .registry import QUERIES
 
     return dict(QUERIES)
 
 
 def all_oracles():
-    from . import forms, reads, writes  # noqa: F401
+    from . import forms, partitions, reads, writes  # noqa: F401
     from .registry import ORACLE
 
     return dict(ORACLE)

@@ -12,7 +12,7 @@ from assaybook.functions import (
     outside, is_phone_query, normalize_species, owner_key, parse_range, parse_result,
     pet_key, pet_label, reference_for, report_date_parts, to_active, to_order,
 )
-from assaybook.operators import bundles, catalog, checks, details, directory, lists, numbering
+from assaybook.operators import bundles, catalog, checks, details, directory, lists, numbering, searches
 from assaybook.plans import print as printed
 from assaybook.schemas import MAX_UPLOAD_BYTES
 from assaybook.sources import images
@@ -21,7 +21,7 @@ from .duck import (
     DOC_CODES, FORM_CODES, first_text, high, low, nz, number, out_of_range, owner_key as duck_owner_key,
     pet_key as duck_pet_key, reference, species, sql,
 )
-from .labviews import AS_OF, Lab, text
+from .labviews import AS_OF, Lab, pick, text
 from .registry import register
 
 # -- flagship ------------------------------------------------------------------------------
@@ -206,6 +206,57 @@ def _(lab: Lab):
     return lists.report_list_batch(lab.reports, BATCH, 20)
 
 
+#: A search text of every customer, and some odd ones: whole and cut names, numbers, wildcards, escapes, short and blank ones.
+SEARCH_TEXTS = """
+      SELECT c_custkey AS query_no, CASE c_custkey % 8 WHEN 0 THEN c_name WHEN 1 THEN ' ' || substr(c_name, 11) || ' '
+             WHEN 2 THEN substr(c_name, 14) WHEN 3 THEN '92300' || (c_custkey + 1000000) WHEN 4 THEN 'PZ-199_-' || c_custkey
+             WHEN 5 THEN '#0%' || c_custkey WHEN 6 THEN 'r\\' || (c_custkey % 100) WHEN 7 THEN '199' || (c_custkey % 10) || '-' || c_custkey END AS q
+      FROM customer
+      UNION ALL SELECT * FROM (VALUES (1000000001, ''), (1000000002, ' % '), (1000000003, '_________________'), (1000000004, 'M'), (1000000005, 'ex'),
+             (1000000006, '\\_'), (1000000007, NULL), (1000000008, 'E_'), (1000000009, '12\\'), (1000000010, 'no such text'))"""
+
+
+def search_texts(lab: Lab):
+    k, name = F.col("c_custkey"), F.col("c_name")
+    people = lab.raw("customer").select(k.alias("query_no"), pick(k % 8, {
+        0: name, 1: F.concat(F.lit(" "), F.substring(name, 11, 100), F.lit(" ")), 2: F.substring(name, 14, 100),
+        3: F.concat(F.lit("92300"), text(k + 1000000)), 4: F.concat(F.lit("PZ-199_-"), text(k)),
+        5: F.concat(F.lit("#0%"), text(k)), 6: F.concat(F.lit("r\\"), text(k % 100)),
+    }, F.concat(F.lit("199"), text(k % 10), F.lit("-"), text(k))).alias("q"))
+    few = lab.spark.createDataFrame([(1000000001 + i, q) for i, q in enumerate(
+        ["", " % ", "_" * 17, "M", "ex", "\\_", None, "E_", "12\\", "no such text"])], "query_no BIGINT, q STRING")
+    return people.unionByName(few)
+
+
+#: What the source's LIKE makes of a search: backslashes escape %, _ and each other, others are dropped.
+ANY_TEXT = """SELECT query_no, '%' || lower(trim(coalesce(q, ''))) || '%' AS raw,
+      regexp_replace('%' || lower(trim(coalesce(q, ''))) || '%', '\\\\([^%_\\\\])', '\\1', 'g') AS pattern FROM texts"""
+
+
+@register("report_list_searches", sql("""
+    SELECT query_no, r.id FROM any_text t JOIN lab_reports r ON t.raw = '%%'
+      OR lower(report_no) LIKE t.pattern ESCAPE '\' OR lower(patient_name) LIKE t.pattern ESCAPE '\'
+      OR lower(pet_name) LIKE t.pattern ESCAPE '\' OR lower(owner_phone) LIKE t.pattern ESCAPE '\'""",
+    texts=SEARCH_TEXTS, any_text=ANY_TEXT))
+def _(lab: Lab):
+    return searches.report_list_searches(lab.reports, search_texts(lab)).select("query_no", "id")
+
+
+@register("report_list_searches_newest", sql("""
+    SELECT query_no, id, CAST(row_number() OVER (PARTITION BY query_no ORDER BY id DESC) AS INTEGER) AS position FROM (
+      SELECT query_no, r.id FROM any_text t JOIN lab_reports r ON t.raw = '%%'
+        OR lower(report_no) LIKE t.pattern ESCAPE '\' OR lower(patient_name) LIKE t.pattern ESCAPE '\'
+        OR lower(pet_name) LIKE t.pattern ESCAPE '\' OR lower(owner_phone) LIKE t.pattern ESCAPE '\')
+    QUALIFY position <= 3""", texts=SEARCH_TEXTS, any_text=ANY_TEXT))
+def _(lab: Lab):
+    return searches.report_list_searches(lab.reports, search_texts(lab), 3).select("query_no", "id", "position")
+
+
+@register("report_list_half", sql(f"SELECT {LISTED} FROM lab_reports ORDER BY id DESC LIMIT (SELECT count(*) // 2 FROM lab_reports)"))
+def _(lab: Lab):
+    return lists.report_list(lab.reports, limit=lab.reports.count() // 2)
+
+
 @register("reports_by_no", sql("""
     SELECT id, report_no FROM lab_reports WHERE report_no IN (
       SELECT 'PZ-' || year(l_shipdate) || '-' || (l_orderkey + 1) FROM lineitem)"""))
@@ -562,6 +613,36 @@ def _(lab: Lab):
     return directory.patient_search(lab.reports, "ustomer#00%1_", limit=200)
 
 
+@register("patient_search_half", search_sql("%e%", end="""ORDER BY owner_last_report_id DESC, last_report_id DESC
+    LIMIT (SELECT count(*) // 4 FROM lab_reports)"""))
+def _(lab: Lab):
+    return directory.patient_search(lab.reports, "e", limit=lab.reports.count() // 4)
+
+
+PATIENT_HITS = {
+    "texts": SEARCH_TEXTS,
+    "asked": """SELECT query_no, x, CASE WHEN length(regexp_replace(x, '[^0-9]', '', 'g')) >= 7 THEN regexp_replace(x, '[^0-9]', '', 'g') END AS phone
+      FROM (SELECT query_no, trim(coalesce(q, '')) AS x FROM texts) WHERE x <> ''""",
+    "likes": "SELECT query_no, phone, regexp_replace('%' || lower(coalesce(phone, x)) || '%', '\\\\([^%_\\\\])', '\\1', 'g') AS pattern FROM asked",
+    "hits": f"""SELECT query_no, r.* FROM {KEYED} r JOIN likes ON (lower(owner_phone) LIKE pattern ESCAPE '\\'
+        OR lower(patient_name) LIKE pattern ESCAPE '\\' OR lower(pet_name) LIKE pattern ESCAPE '\\')
+      AND (phone IS NULL OR contains(regexp_replace(coalesce(owner_phone, ''), '[^0-9]', '', 'g'), phone))""",
+}
+
+
+@register("patient_searches", sql(f"""
+    SELECT o.query_no, o.owner_key, o.patient_name, o.owner_phone, o.referring_vet, o.seen AS owner_last_report_id, p.pet_key,
+           p.pet_name, p.species, p.breed, p.age, p.sex, p.last_report_id, p.last_report_date
+    FROM (SELECT query_no, owner_key, {newest('patient_name')}, {newest('owner_phone')},
+                 {newest('referring_vet')}, max(id) AS seen FROM hits GROUP BY query_no, owner_key) o
+    JOIN (SELECT query_no, owner_key, pet_key, coalesce(pet_name, '') AS pet_name, coalesce(species, '') AS species, coalesce(breed, '') AS breed,
+                 coalesce(age, '') AS age, coalesce(sex, '') AS sex, id AS last_report_id, CAST(report_date AS VARCHAR) AS last_report_date
+          FROM hits QUALIFY row_number() OVER (PARTITION BY query_no, owner_key, pet_key ORDER BY id DESC) = 1) p
+      ON p.query_no = o.query_no AND p.owner_key = o.owner_key""", **PATIENT_HITS))
+def _(lab: Lab):
+    return searches.patient_searches(lab.reports, search_texts(lab))
+
+
 @register("patient_search_phone", search_sql(
     "%9230010%", "regexp_replace(coalesce(owner_phone, ''), '[^0-9]', '', 'g') LIKE '%9230010%'"))
 def _(lab: Lab):

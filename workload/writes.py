@@ -538,16 +538,34 @@ def _(lab: Lab):
 # -- request limits ------------------------------------------------------------------------
 
 
+def _calls(lab: Lab) -> DataFrame:
+    return lab.raw("events").select(
+        F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("id")
+    )
+
+
 @register("rate_limit_audit", """
     SELECT user_id AS client, CAST(ts AS VARCHAR) AS at, event_id AS id,
            CAST(date_trunc('minute', ts) AS VARCHAR) AS window_start
     FROM events
     QUALIFY row_number() OVER (PARTITION BY user_id, date_trunc('minute', ts) ORDER BY ts, event_id) > 1""")
 def _(lab: Lab):
-    calls = lab.raw("events").select(
-        F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("id")
-    )
-    return rate_limit_audit(calls, limit=1)
+    return rate_limit_audit(_calls(lab), limit=1)
+
+
+@register("rate_limit_audit_first_call", """
+    WITH RECURSIVE c AS (
+      SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
+    w AS (
+      SELECT user_id, ts, event_id, n, ts AS start, 1 AS k FROM c WHERE n = 1
+      UNION ALL
+      SELECT c.user_id, c.ts, c.event_id, c.n, CASE WHEN c.ts >= w.start + to_hours(12) THEN c.ts ELSE w.start END,
+             CASE WHEN c.ts >= w.start + to_hours(12) THEN 1 ELSE w.k + 1 END
+      FROM w JOIN c ON c.user_id = w.user_id AND c.n = w.n + 1)
+    SELECT user_id AS client, CAST(ts AS VARCHAR) AS at, event_id AS id, CAST(start AS VARCHAR) AS window_start FROM w WHERE k > 1""")
+def _(lab: Lab):
+    """Windows of half a day, so that the clients' calls make long runs of them."""
+    return rate_limit_audit(_calls(lab), limit=1, window="12 hours", windows="first_call")
 
 
 # -- operators on bodies and drafts ----------------------------------------------------------
