@@ -5,9 +5,10 @@ of several widths slide over the window, the largest answer of each filter is ke
 turns these into language probabilities. A text's probabilities are the mean over all of its windows, weighted
 by their bytes, so the whole text counts.
 
-Training: windows of a bounded sample of labelled rows (SAMPLE_ROWS rows of each language, chosen by the
-hash of the text; WINDOWS_OF_ROW windows of each, spread over the whole text) go to the driver, at most
-SAMPLE_ROWS * WINDOWS_OF_ROW * WINDOW bytes a language. At most MAX_LANGUAGES languages are learned, in order of name.
+Training: windows of a bounded sample of labelled rows (SAMPLE_ROWS texts of each language, chosen by the
+hash of the text; WINDOWS_OF_ROW windows of each, spread over the whole text) go to the driver. Every language is
+learned: TOTAL_ROWS texts of all languages are shared out evenly where SAMPLE_ROWS of each would be more, so at most
+TOTAL_ROWS * WINDOWS_OF_ROW * WINDOW bytes go to the driver (and one text of each language at least).
 The result depends on the rows alone: weights start from a fixed seed.
 
 Defined cases: a null text, or one without any letter, is `und` with score 0, as is every text when nothing
@@ -30,7 +31,7 @@ from .shared import batches, fresh, wider
 
 WINDOW = 128
 WIDTHS, FILTERS, DIM = (2, 3, 4), 16, 8
-SAMPLE_ROWS, WINDOWS_OF_ROW, MAX_LANGUAGES = 1200, 6, 200
+SAMPLE_ROWS, WINDOWS_OF_ROW, TOTAL_ROWS = 1200, 6, 240_000
 UND = "und"
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
@@ -147,14 +148,17 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", only: C
     """A model of the languages of docs, or of the rows for which `only` holds; None if no row can be learned from."""
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.lit(True) if only is None else only).alias("use"))
     rows = rows.filter("use and lang is not null and length(text) > 0").drop("use")
-    counts = {r.lang: r.n for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy("lang").limit(MAX_LANGUAGES).collect()}
+    keyed = rows.withColumn("h", F.xxhash64("text"))
+    # texts, not rows: copies of a text count once
+    counts = {r.lang: r.n for r in keyed.groupBy("lang").agg(F.approx_count_distinct("h").alias("n")).collect()}
     names = sorted(counts)
     if not names:
         return None
-    # texts of the least hashes: about 1.5 times as many as wanted of each language, then exactly as many
-    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, 1.5 * SAMPLE_ROWS / n))])
-    keyed = rows.withColumn("h", F.xxhash64("text")).filter(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < share[F.col("lang")])
-    ranked = keyed.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= SAMPLE_ROWS)
+    most = max(1, min(SAMPLE_ROWS, TOTAL_ROWS // len(names)))
+    # texts of the least hashes: some more than wanted of each language, then exactly as many
+    share = F.create_map(*[F.lit(v) for name, n in counts.items() for v in (name, min(1.0, (1.5 * most + 20) / max(n, 1)))])
+    few = keyed.filter(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < share[F.col("lang")])
+    ranked = few.dropDuplicates(["lang", "h"]).withColumn("r", F.row_number().over(Window.partitionBy("lang").orderBy("h"))).filter(F.col("r") <= most)
 
     def cut(batches_):
         for b in batches_:
@@ -210,8 +214,10 @@ def fold(id_col: str = "doc_id") -> Column:
     return F.coalesce(F.pmod(F.crc32(F.col(id_col).cast("string")), F.lit(4)), F.lit(0))
 
 
-def identify(df: DataFrame, model: Model | None, text_col: str = "text", min_score: float = 0.3) -> DataFrame:
-    """df without the rows that have no language: `und`, or a score below min_score (near a blind guess).
+def identify(df: DataFrame, model: Model | None, text_col: str = "text", margin: float = 0.001) -> DataFrame:
+    """df without the rows that have no language: `und`, or a score that is no better than a blind guess.
+
+    A blind guess among L languages scores 1/L; a text must exceed it by `margin` of what is left up to 1.
 
     Without a model only texts without a letter go: that nothing could be learned says nothing about a text.
     """
@@ -219,4 +225,6 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", min_sco
         return df.filter(F.coalesce(F.col(text_col).rlike(r"\p{L}"), F.lit(False)))
     told = predict(df, model, text_col)
     pred, score = told.columns[-2:]
+    blind = 1 / len(model.languages)
+    min_score = blind + margin * (1 - blind)
     return told.filter((F.col(pred) != UND) & (F.col(score) >= min_score)).select(*df.columns)

@@ -56,3 +56,33 @@ def test_defined_cases(spark):
     assert {r.lang_pred for r in langid.predict(df.drop("score"), None).collect()} == {"und"}
     assert {r.doc_id for r in langid.identify(df, None).collect()} == {4, 5, 7, None}
     assert langid.predict(df.limit(0), model).count() == 0
+
+
+def test_every_language_is_learned(spark):
+    """Many labels, the last by name the largest; copies of a few texts; one text alone."""
+    rng = np.random.default_rng(2)
+    letters = [chr(0x4E00 + i) for i in range(40)]
+    rows = [(f"a{i:03d}", f"{i} some words {rng.integers(10**9)}") for i in range(300)]
+    rows += [("zh", "".join(rng.choice(letters, 60))) for _ in range(500)] + [("few", f"ein text {i % 3}") for i in range(3000)]
+    df = spark.createDataFrame([(i, t, x) for i, (x, t) in enumerate(rows)], "doc_id long, text string, lang string")
+    saved = langid.SAMPLE_ROWS, langid.TOTAL_ROWS, langid.train
+    seen = {}
+    try:
+        langid.SAMPLE_ROWS, langid.TOTAL_ROWS = 200, 9000
+        langid.train = lambda x, y, names: seen.update(zip(*[v.tolist() for v in np.unique(np.array(names)[y], return_counts=True)], strict=True)) or names
+        assert langid.fit(df) == sorted({x for x, _ in rows})
+    finally:
+        langid.SAMPLE_ROWS, langid.TOTAL_ROWS, langid.train = saved
+    assert len(seen) == 302 and seen["zh"] >= 29 and seen["few"] == 3
+
+
+def test_threshold_follows_the_number_of_languages(spark):
+    df = spark.createDataFrame([(1, "the cat and the dog"), (2, "123")], "doc_id long, text string")
+    for count in (2, 60):
+        names = [f"l{i:02d}" for i in range(count)]
+        x = np.zeros((count, langid.WINDOW), dtype=np.uint8)
+        model = langid.train(x, np.arange(count), names, epochs=0)
+        for weight, kept in ((0.0, []), (9.0, [1])):  # all languages alike, or one that is sure
+            model.out[:], model.out_bias[:] = 0, 0
+            model.out_bias[0] = weight
+            assert [r.doc_id for r in langid.identify(df, model).collect()] == kept
