@@ -117,11 +117,11 @@ def _first_sequence() -> int:
 
 
 def pack_documents(
-    df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(), end_id: int = 1, keep_ids: bool = False,
+    df: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", limits: Limits = Limits(segments=2048), end_id: int = 1, keep_ids: bool = False,
 ) -> DataFrame:
     """One row per piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset, and its ids if asked for.
 
-    A document is its text's ids and end_id; all of them bear loss. tokenizer: path of the vocabulary file.
+    The limit on segments is by default that on tokens, so that it never leaves a gap behind short documents. A document is its text's ids and end_id; all of them bear loss. tokenizer: path of the vocabulary file.
     """
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
     kind = df.select(id_col).dtypes[0][1]

@@ -53,14 +53,16 @@ class Tokens:
 
     def _learn(self, hashes: list[int], pieces: list[bytes]) -> None:
         texts = [p.decode() for p in pieces]
-        plain = [i for i, t in enumerate(texts) if not t[-1].isspace()]
+        # white space of any kind, but for the blank before a word, would run together with the newlines between pieces
+        alone = [t.split() != [t.removeprefix(" ")] for t in texts]
+        plain = [i for i, x in enumerate(alone) if not x]
         ids: list[list[int]] = [[]] * len(texts)
         if plain:  # one call for all words: newlines between them come back as one id each
             row = np.array(self._ids([_SEPARATOR.join(texts[i] for i in plain)])[0], dtype=np.uint32)
             cuts = np.flatnonzero(row == self.newline[0])
             for i, a, z in zip(plain, [0, *(cuts + 1).tolist()], [*cuts.tolist(), len(row)], strict=True):
                 ids[i] = row[a:z]
-        rest = [i for i, t in enumerate(texts) if t[-1].isspace()]
+        rest = [i for i, x in enumerate(alone) if x]
         for i, got in zip(rest, self._ids([texts[i] for i in rest]), strict=True):
             ids[i] = np.array(got, dtype=np.uint32)
         n = self.count

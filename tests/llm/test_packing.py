@@ -19,7 +19,7 @@ PLAIN = Tokenizer.from_file(PATH)
 PLAIN.encode_special_tokens = True
 CODER = Tokens(PATH, max_pieces=500)
 
-ODD = ["", " ", "\n", "\n\n x", "a  b", "a \n b\n", "it's 'twas don't", " \t\tx ", "été nu", "a b", "x\x1cy z", "日本 語　x", "<|endoftext|> a", "12 345a!?", "a\u0085b", "🙂 ok"]
+ODD = ["", " ", "\n", "\n\n x", "a  b", "a \n b\n", "it's 'twas don't", " \t\tx ", "été nu", "a b", "x\x1cy z", "日本 語　x", "<|endoftext|> a", "a\n\xa0\xa099 9", " \xa0b c\n\u3000d", "x \x1cy", "12 345a!?", "a\u0085b", "🙂 ok"]
 
 
 def same(texts):
@@ -38,7 +38,7 @@ def test_ids_of_any_texts(texts):
     same(texts)
 
 
-def whole(rows, docs, end_id=1, limits=Limits()):
+def whole(rows, docs, end_id=1, limits=Limits(segments=2048)):
     """Every id in exactly one piece, digests right, sequences gapless and within limits."""
     by_doc, by_seq = defaultdict(list), defaultdict(list)
     for r in rows:
@@ -77,6 +77,15 @@ def test_documents(spark, sf):
     assert all(zlib.crc32(np.array(r.ids, dtype="<u4").tobytes()) == r.ids_crc32 for r in kept)
 
 
+@pytest.mark.parametrize("kind", ["tiny", "short", "mixed"])
+def test_short_texts_leave_no_padding(spark, kind):
+    rng = np.random.default_rng(7)
+    texts = {"tiny": lambda: None, "short": lambda: "a b c d", "mixed": lambda: "a b " * int(rng.choice([0, 1, 2, 3, 400, 3000], p=[0.4, 0.3, 0.2, 0.08, 0.01, 0.01]))}[kind]
+    docs = [(i, texts()) for i in range(6000)]
+    rows = pack_documents(spark.createDataFrame(docs, "doc_id long, text string").coalesce(2), PATH).collect()
+    assert whole(rows, docs) < 0.01
+
+
 def test_odd_rows(spark):
     df = spark.createDataFrame([(None, "a b", 1), (None, "a b", 2), (3, None, 3)], "doc_id long, text string, length long")
     rows = pack_documents(df, PATH).collect()
