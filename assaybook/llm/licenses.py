@@ -1,17 +1,21 @@
-"""Licence scan with key phrases and a positional index of licence words, in DataFrame functions only.
+"""Licence scan with a positional index of rare licence words, in DataFrame functions only.
 
-Every key phrase of a template must stand within SLACK words of its place, so the places of a file's key phrases
-propose all the places where a template can begin, of any number of licences in one file. The index holds, for every
-licence word, the templates and places it stands in. Of each proposal all words of the template that stand at their
-relative places are added up, weighted by inverse document frequency (counted over all files); a template is found
-where they make up LEAST_SHARE of its weight (the sum of its words' frequencies). Words between the licence words
-hold their positions but aren't looked up.
+The index holds, for every licence word, the templates and places it stands in. For each template, the RARE licence
+words of highest inverse document frequency (counted over all files) that a file has are looked up: every place of
+such a word says where the template would begin, and beginnings that AGREE different rare words share are proposals.
+Ranking is per template, so that one licence's words don't crowd out another's in the same file. Then all words of
+the template that stand at their relative places to a proposal are added up, weighted by their frequencies; it is
+likely where they make up LEAST_SHARE of the template's weight. At last the template's key phrases are verified: each
+must stand, whole, within SLACK words of its own place, so words put in between two phrases do no harm.
 
+Files that lack a word of a template's key phrases are not looked up for it: they could not be verified.
 Besides, the plain names of licences (BASE) are looked for as consecutive words, at all places.
 
 Score: the largest share of a found template; a plain name alone counts LEAST_SHARE.
 
-What is shuffled are the proposals, and the licence words of files that hold all key phrases of a template. Defined cases: a null text is empty and finds nothing (n_words 0, null places, empty labels,
+What is shuffled are the licence words, with places and templates, of files that hold all words of a template's key
+phrases; the joins of proposals are Spark's, broadcast only below its threshold and else shuffled by file, template
+and place. Defined cases: a null text is empty and finds nothing (n_words 0, null places, empty labels,
 score 0); repeated rows give repeated results; an empty table gives an empty result.
 """
 
@@ -26,7 +30,8 @@ from pyspark.sql import functions as F
 from .shared import lower_ascii, stored
 
 WORD = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
-LEAST_SHARE, SLACK = 0.5, 3
+LEAST_SHARE, SLACK = 0.5, 8
+RARE, AGREE = 8, 2
 
 # Names of licences and the labels they give.
 BASE = {
@@ -98,34 +103,44 @@ def scan(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataF
     places_of = F.create_map(*[x for w, ps in postings.items() for x in (F.lit(w), F.array(*[F.struct(F.lit(t).alias("t"), F.lit(p).alias("place")) for t, p in ps]))])
     weight = [sum(idf[w] for w in text.split() if w not in COMMON) for _, text, _ in TEMPLATES]
 
-    # where each template would begin by all of its key phrases; files without a proposal end here
     has = F.array_distinct(F.transform("hits", lambda h: h.w))
+    by_rarity = [sorted({w for w in text.split() if w not in COMMON}, key=lambda w: (-idf[w], w)) for _, text, _ in TEMPLATES]
+
+    def rare(t: int) -> Column:
+        """The template's rarest words in the file, if it has all words of its key phrases."""
+        there = reduce(lambda a, b: a & b, [F.array_contains("has", w) for w in sorted({w for key in TEMPLATES[t][2] for w in key.split()})])
+        words_of = F.filter(F.array(*[F.lit(w) for w in by_rarity[t]]), lambda w: F.array_contains("has", w))
+        return F.when(there, F.slice(words_of, 1, RARE)).otherwise(F.array().cast("array<string>"))
+
+    looked_for = F.array(*[F.struct(F.lit(t).alias("t"), rare(t).alias("rare")) for t in range(len(TEMPLATES))])
+    keyed = files.filter(F.size("hits") > 0).select("row", "hits", has.alias("has")).select("row", "hits", F.filter(looked_for, lambda c: F.size(c.rare) > 0).alias("looked_for"))
+    keyed = stored(keyed.filter(F.size("looked_for") > 0), "licence-files")
+    # every licence word of these files at every place that it has in a template looked for
+    at_places = keyed.select("row", "looked_for", F.explode("hits").alias("h")).select("row", "looked_for", "h.p", "h.w", F.explode(places_of[F.col("h.w")]).alias("at"))
+    rare_of = F.get(F.filter("looked_for", lambda c: c.t == F.col("at.t")), F.lit(0))["rare"]
+    begins = at_places.select("row", F.col("at.t").alias("t"), (F.col("p") - F.col("at.place")).alias("begin"), "w", rare_of.alias("rare")).filter(F.col("rare").isNotNull())
+    proposed = begins.filter(F.array_contains("rare", F.col("w"))).groupBy("row", "t", "begin").agg(F.count_distinct("w").alias("n")).filter(F.col("n") >= AGREE).select("row", "t", "begin")
+    agreed = begins.select("row", "t", "begin", "w").join(proposed, ["row", "t", "begin"], "left_semi").groupBy("row", "t", "begin").agg(F.sum(idf_of[F.col("w")]).alias("found"))
+    share = F.col("found") / F.array(*[F.lit(w) for w in weight])[F.col("t")]
+    likely = agreed.withColumn("share", F.least(F.lit(1.0), share)).filter(F.col("share") >= LEAST_SHARE)
 
-    def around(place: int):
-        return lambda s: F.sequence(s - F.lit(place + SLACK), s - F.lit(place - SLACK))
+    def near(phrase: str, place: int) -> Column:
+        """Beginnings from which a place of the phrase is no farther than SLACK from its own."""
+        return F.flatten(F.transform(_starts(F.col("hits"), phrase), lambda s: F.sequence(s - F.lit(place + SLACK), s - F.lit(place - SLACK))))
 
-    def begins(t: int) -> Column:
+    def verified(t: int) -> Column:
+        """The largest share of a likely place of the template with all of its key phrases near; null without one."""
         text = TEMPLATES[t][1].split()
-        out = []
-        for key in TEMPLATES[t][2]:
-            k = key.split()
-            place = next(i for i in range(len(text)) if text[i : i + len(k)] == k)
-            out.append(F.flatten(F.transform(_starts(F.col("hits"), key), around(place))))
-        words_of_keys = sorted({w for key in TEMPLATES[t][2] for w in key.split()})
-        there = reduce(lambda a, b: a & b, [F.array_contains("has", w) for w in words_of_keys])
-        return F.when(there, F.array_distinct(reduce(F.array_intersect, out))).otherwise(F.array().cast("array<int>"))
-
-    proposals = F.array(*[F.struct(F.lit(t).alias("t"), begins(t).alias("begins")) for t in range(len(TEMPLATES))])
-    keyed = files.filter(F.size("hits") > 0).select("row", "hits", has.alias("has")).select("row", "hits", F.filter(proposals, lambda c: F.size(c.begins) > 0).alias("proposals"))
-    keyed = stored(keyed.filter(F.size("proposals") > 0), "licence-keys")
-    wanted = keyed.select("row", F.explode("proposals").alias("c")).select("row", "c.t", F.explode("c.begins").alias("begin"))
-    # all words of the proposed templates, at all their places
-    looked_up = keyed.select("row", F.transform("proposals", lambda c: c.t).alias("ts"), F.explode("hits").alias("h")).select("row", "ts", "h.p", "h.w")
-    placed_at = looked_up.select("row", "ts", "w", "p", F.explode(places_of[F.col("w")]).alias("at")).filter(F.array_contains("ts", F.col("at.t")))
-    proposed = placed_at.select("row", "w", F.col("at.t").alias("t"), (F.col("p") - F.col("at.place")).alias("begin"))
-    agreed = proposed.join(wanted, ["row", "t", "begin"], "left_semi").groupBy("row", "t", "begin").agg(F.sum(idf_of[F.col("w")]).alias("found"))
-    share = F.col("found") / F.array(*[F.lit(w) for w in weight])[F.col("t")]
-    likely = agreed.withColumn("share", F.least(F.lit(1.0), share)).filter(F.col("share") >= LEAST_SHARE)
+        places = [next(i for i in range(len(text)) if text[i : i + len(k)] == k) for k in (key.split() for key in TEMPLATES[t][2])]
+        mine = F.filter("likely", lambda c: c.t == t)
+        whole = reduce(F.array_intersect, [near(key, place) for key, place in zip(TEMPLATES[t][2], places, strict=True)], F.transform(mine, lambda c: c.begin))
+        # shares of the places that were verified: (begin, share) pairs by begin, as a map
+        shares = F.map_from_entries(F.transform(mine, lambda c: F.struct(c.begin, c.share)))
+        return F.when(F.size(mine) > 0, F.array_max(F.transform(whole, lambda b: shares[b])))
+
+    by_file = likely.groupBy("row").agg(F.collect_list(F.struct("t", "begin", "share")).alias("likely"))
+    proven = keyed.select("row", "hits").join(by_file, "row").select("row", F.array(*[F.struct(F.lit(t).alias("t"), verified(t).alias("share")) for t in range(len(TEMPLATES))]).alias("v"))
+    likely = proven.select("row", F.inline(F.filter("v", lambda c: c.share.isNotNull())))
     labels = F.array(*[F.lit(label) for label, _, _ in TEMPLATES])
     found = likely.groupBy("row").agg(F.collect_set(labels[F.col("t")]).alias("more"), F.max("share").alias("share"))
 

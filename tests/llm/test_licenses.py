@@ -1,5 +1,7 @@
 """Licence scan: names against a plain search, templates with key phrases, plans without Python."""
 
+import math
+import random
 import re
 
 from assaybook.llm import licenses
@@ -62,3 +64,69 @@ def test_all_licences_of_a_file(spark):
     got = {r.doc_id: set(r.labels.split(",")) for r in licenses.scan(spark.createDataFrame([r[:2] for r in rows + notices], "doc_id long, text string")).collect()}
     for i, _, labels in rows + notices:
         assert labels <= got[i], i
+
+
+def test_words_put_between_key_phrases(spark):
+    """Most words stand at their places to each other, from two beginnings; both key phrases are near theirs."""
+    mit = "permission is hereby granted free of charge to any person as well as all companies obtaining a copy of this software and associated documentation files the software to deal in the software without restriction"
+    far = mit.replace("as well as all companies", "word " * 30)
+    cut = mit.replace("associated documentation", "associated fine documentation")
+    rows = [(1, mit), (2, far), (3, cut), (4, "filler " * 500 + mit + " filler")]
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert {i: got[i].labels for i in got} == {1: "mit-text", 2: "", 3: "", 4: "mit-text"}
+    assert 0.5 <= got[1].score < 1 and got[4].score == got[1].score
+
+
+def test_labels_and_score_against_plain_loops(spark):
+    """The rule written out: rarest words of each template in the file, beginnings they share, weights, key phrases."""
+    rng = random.Random(3)
+    texts = [t for _, t, _ in licenses.TEMPLATES]
+    docs = []
+    for i in range(120):
+        parts = []
+        for _ in range(rng.randrange(4)):
+            words = rng.choice(texts).split()
+            for _ in range(rng.randrange(6)):
+                at = rng.randrange(len(words))
+                if rng.random() < 0.5:
+                    words.insert(at, rng.choice(["filler", "license", "software", "the"]))
+                else:
+                    del words[at]
+            parts.append(" ".join(words))
+            parts.append("filler " * rng.randrange(5))
+        docs.append((i, " ".join(parts)))
+    words = {i: WORD.findall(t) for i, t in docs}
+    content = [[w for w in t.split() if w not in licenses.COMMON] for t in texts]
+    every = {w for c in content for w in c}
+    seen = {w: sum(w in set(x) for x in words.values()) for w in every}
+    idf = {w: math.log((len(docs) + 1) / (n + 1)) + 1e-6 for w, n in seen.items()}
+    want = {}
+    for i, ws in words.items():
+        have, best = set(ws), {}
+        for (label, text, keys), mine in zip(licenses.TEMPLATES, content, strict=True):
+            tw = text.split()
+            if not all(w in have for k in keys for w in k.split()):
+                continue
+            rare = sorted(set(mine) & have, key=lambda w: (-idf[w], w))[: licenses.RARE]
+            begins = {}
+            for p, w in enumerate(ws):
+                for place, x in enumerate(tw):
+                    if x == w and w not in licenses.COMMON:
+                        begins.setdefault(p - place, []).append(w)
+            for b, found in begins.items():
+                share = min(1.0, sum(idf[w] for w in found) / sum(idf[w] for w in mine))
+                if len(set(found) & set(rare)) < licenses.AGREE or share < licenses.LEAST_SHARE:
+                    continue
+                near = True
+                for k in keys:
+                    k = k.split()
+                    place = next(j for j in range(len(tw)) if tw[j : j + len(k)] == k)
+                    near &= any(ws[s : s + len(k)] == k and abs(s - place - b) <= licenses.SLACK for s in range(len(ws)))
+                if near:
+                    best[label] = max(best.get(label, 0), share)
+        base = set(plain(" ".join(ws))[4].split(",")) - {""}
+        want[i] = (",".join(sorted(base | set(best))), max([0.5 if base else 0.0, *best.values()]))
+    got = {r.doc_id: r for r in licenses.scan(spark.createDataFrame(docs, "doc_id long, text string")).collect()}
+    assert sum(len(x[0]) > 0 for x in want.values()) > 60
+    for i, (labels, score) in want.items():
+        assert got[i].labels == labels and abs(got[i].score - score) < 1e-9, (i, got[i], want[i])
