@@ -16,6 +16,8 @@ assign, access, hex, entropy; repeated rows give repeated results; an empty tabl
 
 from __future__ import annotations
 
+import bisect
+import itertools
 import math
 import re
 from collections import defaultdict
@@ -84,7 +86,9 @@ def _assigned(data: np.ndarray, borders: np.ndarray):
             row, done = r, 0
             base = int(borders[r])
             text = data[base : borders[r + 1]].tobytes()
-        e = len(text[: p - base].rstrip(b" ")) if text[p - base - 1 : p - base] == b" " else p - base
+        e = p - base
+        while e and text[e - 1] == 32:
+            e -= 1
         if text[e - 1 : e] in (b'"', b"'"):
             e -= 1
         tail = text[max(0, e - 8) : e].lower()
@@ -180,6 +184,18 @@ def _entropic(data: np.ndarray, borders: np.ndarray, thresholds, allowed: re.Pat
             yield r, s + x, s + y
 
 
+def _reach(spans: list[tuple[int, int, int]]) -> tuple[list[int], list[int]]:
+    """Starts of spans in order, and the farthest end of all spans up to each."""
+    ordered = sorted((a, z) for a, _, z in spans)
+    return [a for a, _ in ordered], list(itertools.accumulate((z for _, z in ordered), max))
+
+
+def _covered(starts: list[int], ends: list[int], a: int, z: int) -> bool:
+    """Does one of the spans hold all of a to z?"""
+    i = bisect.bisect_right(starts, a)
+    return i > 0 and ends[i - 1] >= z
+
+
 def find_spans(column: pa.Array, thresholds=THRESHOLDS, allowed=ALLOWED, size: int = WINDOW) -> list[list[tuple[int, str, int]]]:
     """Per row (start, kind, end) in code points, sorted by start, then kind."""
     data, borders = text_bytes(column)
@@ -191,8 +207,9 @@ def find_spans(column: pa.Array, thresholds=THRESHOLDS, allowed=ALLOWED, size: i
             for r, a, z in spans:
                 found[r].append((a, kind, z))
         pattern = re.compile("|".join(allowed) or r"(?!)")
+        known = {r: _reach(spans) for r, spans in found.items()}
         for r, a, z in _entropic(data, borders, thresholds, pattern, size):
-            if not any(x <= a and z <= y for x, _, y in found[r]):
+            if r not in known or not _covered(*known[r], a, z):
                 found[r].append((a, 3, z))
     out: list[list[tuple[int, str, int]]] = [[] for _ in range(len(borders) - 1)]
     for r, spans in found.items():

@@ -3,8 +3,10 @@
 import hashlib
 import math
 import re
+import time
 from collections import Counter
 
+import numpy as np
 import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -68,3 +70,14 @@ def test_frame(spark, sf):
     got = secrets.digest(secrets.scan(df)).collect()
     assert Counter((r.doc_id, r.base_sha256, r.n_assign, r.n_access, r.n_hex) for r in got) == want
     assert secrets.digest(secrets.scan(df.limit(0))).count() == 0
+
+
+def test_long_texts_take_time_in_proportion():
+    """Megabytes of keys and of spaces before delimiters in one text."""
+    rng = np.random.default_rng(1)
+    keys = "\n".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"), 40)) for _ in range(60_000))
+    texts = [keys, "token" + " " * 1_000_000 + "= abcdefgh1", " =" * 500_000, "token = x" * 100_000]
+    start = time.perf_counter()
+    spans = secrets.find_spans(pa.array(texts))
+    assert time.perf_counter() - start < 60
+    assert len(spans[0]) > 50_000 and spans[1] == [(0, "assign", 1_000_016)]
