@@ -59,7 +59,7 @@ class Automaton:
             n = min(window, len(item))
             if 0 < n < window:
                 self.short.add(n)
-            for state, length in self.walk(item):
+            for state, length in self.walk(item, window):
                 if length >= n > 0:
                     owner = self.owners[self.shrink(state, n), n]
                     if name is not None:
@@ -99,8 +99,12 @@ class Automaton:
             state = self.link[state]
         return state
 
-    def walk(self, tokens):
-        """(state, length of the longest match that ends here) after each word."""
+    def walk(self, tokens, most: int | None = None):
+        """(state, length of the longest match that ends here) after each word.
+
+        With `most`, lengths beyond it count as it and the state is that of the last `most` words. A step makes
+        the chain of links longer by one at most, so cutting back takes no more steps in all than there are words.
+        """
         state, length = 0, 0
         for c in tokens:
             while state and c not in self.next[state]:
@@ -108,12 +112,14 @@ class Automaton:
                 length = self.len[state]
             if c in self.next[state]:
                 state, length = self.next[state][c], length + 1
+                if most is not None and length >= most:
+                    state, length = self.shrink(state, most), most
             yield state, length
 
     def matches(self, tokens):
         """(first word, word after the last, items) of every window that occurs in tokens."""
         sizes = sorted({self.window, *self.short})
-        for i, (state, length) in enumerate(self.walk(tokens)):
+        for i, (state, length) in enumerate(self.walk(tokens, self.window)):
             for n in sizes:
                 if n > length:
                     break

@@ -2,12 +2,14 @@
 
 import hashlib
 import re
+import time
 from collections import Counter
 
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
 from assaybook.llm import decontaminate
+from assaybook.llm.decontaminate import Automaton
 
 LOWER = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 word_list = lambda t: re.findall("[^\x00-\x2f\x3a-\x60\x7b-\x7f]+", (t or "").translate(LOWER))
@@ -68,3 +70,11 @@ def test_documents(spark):
     none = decontaminate.contamination(docs, bench.limit(0))
     assert none.filter("contaminated or n_items > 0").count() == 0 and none.count() == len(DOCS)
     assert decontaminate.remove_contamination(docs.limit(0), bench).count() == 0
+
+
+def test_equal_words_take_time_in_proportion():
+    item = [1] * 100_000
+    start = time.perf_counter()
+    auto = Automaton([("x", item), ("y", [1, 2] * 50_000)], 10)
+    got = sum(1 for _ in auto.matches([1] * 100_000))
+    assert got == 99_991 and time.perf_counter() - start < 20
