@@ -12,6 +12,7 @@ from ..functions.dates import today_utc
 from ..functions.forms import form_defaults, form_map, ultrasound_heading
 from ..functions.text import ci, fill_text, image_url, or_null
 from ..schemas import MAX_FORM_CODE
+from ..session import shared_folder
 from .numbering import with_new_ids
 
 LABELS = "form_code STRING, field STRING, code STRING, label STRING, ord INT"
@@ -176,6 +177,55 @@ def ultrasound_sections(
     return written.unionByName(pictures)
 
 
+# -- any JSON ------------------------------------------------------------------------------
+
+
+def form_values(forms: DataFrame) -> DataFrame:
+    """(report_id, form_code, form): every form as the JSON value that it is, also an array, a number, a text or null, of
+    any depth, as a variant; unreadable text gives an empty object. Of several rows of one code the newest counts.
+
+    Single values are read by path with variant_get; the text maps of form_map are for printing.
+    """
+    newest = forms.groupBy("report_id", "form_code").agg(F.max_by("form_json", "id").alias("j"))
+    return newest.select(
+        "report_id", "form_code", F.coalesce(F.try_parse_json("j"), F.parse_json(F.lit("{}"))).alias("form")
+    )
+
+
+def _json_kind(v: str) -> Column:
+    kind = F.regexp_extract(F.schema_of_variant(v), "^[A-Z]+", 0)
+    names = {"VOID": "null", "OBJECT": "object", "ARRAY": "array", "STRING": "string", "BOOLEAN": "boolean"}
+    return F.coalesce(*[F.when(kind == k, n) for k, n in names.items()], F.lit("number"))
+
+
+def form_leaves(values: DataFrame) -> DataFrame:
+    """One row per text, number, truth value, null or empty container inside a form: report_id, form_code, path, kind
+    (string, number, boolean, null, object, array), value (JSON text). A path is a row of steps, '.name' or '[place]'; the root's is ''.
+
+    Containers are opened level by level, as deep as any form goes; a level is stored before the next.
+    """
+    spark = values.sparkSession
+    level = values.select("report_id", "form_code", F.lit("").alias("path"), F.col("form").alias("v"))
+    leaves, open_kind = None, F.schema_of_variant("v").rlike("^(OBJECT|ARRAY)<.+>$") & ~F.to_json("v").isin("{}", "[]")
+    while True:
+        place = shared_folder(spark, "form-level")
+        # variants are stored as they are
+        level.select("*", open_kind.alias("inner")).write.parquet(place)
+        level = spark.read.parquet(place)
+        done = level.filter("NOT inner").select(
+            "report_id", "form_code", "path", _json_kind("v").alias("kind"), F.to_json("v").alias("value")
+        )
+        leaves = done if leaves is None else leaves.unionByName(done)
+        inner = level.filter("inner")
+        if inner.isEmpty():
+            return leaves
+        inner.createOrReplaceTempView("_form_level")
+        level = spark.sql("""
+            SELECT report_id, form_code, concat(path, CASE WHEN e.key IS NULL THEN concat('[', e.pos, ']') ELSE concat('.', e.key) END) AS path, e.value AS v
+            FROM _form_level, LATERAL variant_explode(v) AS e""")
+        spark.catalog.dropTempView("_form_level")
+
+
 # -- saving --------------------------------------------------------------------------------
 
 

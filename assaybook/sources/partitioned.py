@@ -113,14 +113,19 @@ def touched(ids: DataFrame, column: str, buckets: int) -> list[int]:
 def replace_partitions(spark: SparkSession, path: str, stage: str, buckets: Mapping[str, Iterable[int]]) -> None:
     """Moves stored results (stage/<table>) over the partitions named for each table. Can be repeated."""
     for name, numbers in buckets.items():
-        if not numbers:
-            continue
-        rows = spark.read.schema(f"{TABLES[name]}, bucket INT").parquet(f"{stage}/{name}")
-        # overwriting leaves a partition alone that gets no row, so each gets one without an id
-        blank = spark.createDataFrame([(b,) for b in numbers], "bucket INT")
-        _rebalanced(rows.unionByName(blank, allowMissingColumns=True)).write.mode("overwrite").option(
-            "partitionOverwriteMode", "dynamic"
-        ).partitionBy("bucket").parquet(f"{path}/{name}")
+        rows = spark.read.schema(f"{TABLES[name]}, bucket INT").parquet(f"{stage}/{name}") if numbers else None
+        overwrite_buckets(rows, f"{path}/{name}", numbers)
+
+
+def overwrite_buckets(rows: DataFrame | None, target: str, numbers: Iterable[int]) -> None:
+    """Replaces the numbered partitions of a table by rows, which have a column bucket. A partition that gets none keeps one row
+    of nulls, which readers drop: overwriting leaves a partition alone that gets no row."""
+    if not numbers:
+        return
+    blank = rows.sparkSession.createDataFrame([(b,) for b in numbers], "bucket INT")
+    _rebalanced(rows.unionByName(blank, allowMissingColumns=True)).write.mode("overwrite").option(
+        "partitionOverwriteMode", "dynamic"
+    ).partitionBy("bucket").parquet(target)
 
 
 def change_partitions(

@@ -5,8 +5,11 @@ Windows start with the clock, or with the first call after the last window's end
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+import datetime as dt
+
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StreamingQuery
 
 from ..session import shared_folder
 
@@ -136,6 +139,76 @@ def _seconds(window: str) -> int:
     return int(number) * {"second": 1, "minute": 60, "hour": 3600}[unit.rstrip("s")]
 
 
+def refusal_stream(
+    calls: DataFrame, limit: int, out_path: str, window: str = "60 seconds", late: str = "60 seconds",
+    checkpoint: str | None = None,
+) -> StreamingQuery:
+    """The refused calls themselves, of a stream of calls(client, at, id), windows by the clock; runs until all that is
+    there is done.
+
+    A window is settled when the watermark (the latest time seen, less `late`) has passed its end; then its
+    calls are audited as a batch, so a busy client and window is spread as there. Until then its calls are kept in the
+    output folder. A call that comes when its window is settled changes nothing and is noted under late/.
+    Each micro-batch writes folders of its own, with overwrite, and reads only those of the batch before it: one that
+    is run again replaces what it wrote. refused_calls reads the result.
+    """
+    def save(batch: DataFrame, batch_id: int) -> None:
+        settle_batch(batch, batch_id, limit, out_path, window, late)
+
+    return (
+        calls.writeStream.foreachBatch(save)
+        .option("checkpointLocation", checkpoint or f"{out_path}/_checkpoint")
+        .trigger(availableNow=True)
+        .start()
+    )
+
+
+def settle_batch(batch: DataFrame, batch_id: int, limit: int, out_path: str, window: str, late: str) -> None:
+    """One micro-batch of refusal_stream."""
+    spark = batch.sparkSession
+
+    def stored(df: DataFrame, name: str) -> DataFrame:
+        place = f"{out_path}/{name}/batch={batch_id}"
+        df.write.mode("overwrite").parquet(place)
+        return spark.read.schema(df.schema).parquet(place)
+
+    named = batch.filter(F.col("client").isNotNull() & F.col("at").isNotNull()).select("client", F.col("at").cast("timestamp_ntz").alias("at"), "id")
+    new = stored(clock_windows(named, window), "calls")
+    before = _mark(spark, out_path, batch_id - 1)
+    seen = new.agg(F.max("at").alias("at")).first()["at"]
+    mark = before if seen is None else max(filter(None, (before, seen - dt.timedelta(seconds=_seconds(late)))))
+    length = F.make_dt_interval(secs=F.lit(_seconds(window)).cast("decimal(18,6)"))
+    end = F.col("window_start") + length
+    settled = F.lit(False) if before is None else end <= F.lit(before)
+    stored(new.filter(settled), "late")
+    waiting = new.filter(~settled)
+    if before is not None:
+        waiting = waiting.unionByName(spark.read.schema(new.schema).parquet(f"{out_path}/open/batch={batch_id - 1}"))
+    waiting = stored(waiting, "waiting")
+    closing = F.lit(False) if mark is None else end <= F.lit(mark)
+    stored(rate_limit_audit(waiting.filter(closing).drop("window_start"), limit, window), "refused")
+    stored(waiting.filter(~closing), "open")
+    stored(spark.createDataFrame([(mark,)], "mark TIMESTAMP_NTZ"), "marks")
+
+
+def _mark(spark: SparkSession, out_path: str, batch_id: int) -> dt.datetime | None:
+    """The watermark after a batch."""
+    if batch_id < 0:
+        return None
+    return spark.read.schema("mark TIMESTAMP_NTZ").parquet(f"{out_path}/marks/batch={batch_id}").first()["mark"]
+
+
+def refused_calls(spark: SparkSession, out_path: str, limit: int, window: str = "60 seconds", settle: bool = False) -> DataFrame:
+    """Refused calls of settled windows; with settle, the open windows are judged too, as if no call came any more."""
+    done = spark.read.parquet(f"{out_path}/marks")
+    last = done.agg(F.max("batch").alias("batch")).first()["batch"]
+    refused = spark.read.parquet(f"{out_path}/refused").filter(F.col("batch") <= last).drop("batch")
+    if not settle:
+        return refused
+    rest = spark.read.parquet(f"{out_path}/open/batch={last}")
+    return refused.unionByName(rate_limit_audit(rest.drop("window_start"), limit, window))
+
+
 def rate_limit_stream(
     calls: DataFrame, limit: int, window: str = "60 seconds", late: str = "60 seconds"
 ) -> DataFrame:

@@ -39,9 +39,13 @@ def stream_reports(
     clock: Callable[[], str] = _now,
     max_files: int = 1000,
     checkpoint: str | None = None,
+    once_within: str | None = None,
 ) -> StreamingQuery:
     """Validates and saves JSON bodies from files under in_path until all present are done.
 
+    once_within, for example '1 hour': a body that is sent again, letter for letter, in a file no more than that later
+    (by the files' times) is dropped. Spark keeps a hash of each body for that time.
+
     Progress is kept in `checkpoint`, by default beside the output, which all executors share.
     catalog holds lab_test_panels and lab_test_parameters; existing the tables that were there
     before the stream began, from which ids and report numbers go on.
@@ -52,9 +56,12 @@ def stream_reports(
     def save(batch: DataFrame, batch_id: int) -> None:
         save_batch(batch, batch_id, out_path, catalog, user_id, clock(), existing)
 
+    lines = spark.readStream.option("maxFilesPerTrigger", max_files).text(in_path)
+    if once_within is not None:
+        timed = lines.select("value", F.col("_metadata.file_modification_time").alias("sent"), F.sha2("value", 256).alias("hash"))
+        lines = timed.withWatermark("sent", once_within).dropDuplicatesWithinWatermark(["hash"]).select("value")
     return (
-        spark.readStream.option("maxFilesPerTrigger", max_files).text(in_path)
-        .writeStream.foreachBatch(save)
+        lines.writeStream.foreachBatch(save)
         .option("checkpointLocation", place)
         .trigger(availableNow=True)
         .start()

@@ -80,13 +80,13 @@ VIEWS = {
         WHERE (report_id + panel_id) % 5 <> 0""",
     "lab_report_images": """
         SELECT doc_id + 1 AS id,
-               CASE WHEN doc_id % 4 <> 0 THEN doc_id % 500 + 1 END AS report_id,
+               CASE WHEN doc_id % 4 <> 0 THEN doc_id // 2 + 1 END AS report_id,
                'us-' || doc_id || '.jpg' AS stored_name,
                CASE WHEN doc_id % 3 <> 0 THEN 'scan ' || doc_id END AS original_name,
                doc_id % 20 + 1 AS created_by, CAST(n_chars % 3 AS INTEGER) AS display_order
         FROM documents""",
     "form_writes": """
-        SELECT event_id AS seq, event_id % 700 + 1 AS report_id,
+        SELECT event_id AS seq, event_id // 14 + 1 AS report_id,
                CASE event_id % 3 WHEN 0 THEN 'SKIN_SCRAPING' WHEN 1 THEN 'ULTRASOUND'
                     ELSE 'BLOOD_PARASITE' END AS form_code,
                CASE WHEN event_id % 13 = 0 THEN '{bad'
@@ -131,7 +131,7 @@ VIEWS = {
                     ELSE o_custkey % 100 + o_orderkey % 30 + 1 END AS param_b,
                CAST(o_orderkey % 60 AS VARCHAR) AS value_a,
                CASE WHEN o_orderkey % 37 = 0 THEN 'r' END AS result_remarks,
-               o_orderkey % 200 + 1 AS image_a, o_orderkey % 150 + 1 AS image_b,
+               o_orderkey // 15 + 1 AS image_a, o_orderkey // 20 + 1 AS image_b,
                '{"findings":"n' || o_orderkey || '"}' AS us_json
         FROM lab_reports r JOIN orders ON o_orderkey = r.id - 1""",
 }

@@ -184,7 +184,7 @@ class Lab:
     def images(self) -> DataFrame:
         d = F.col("doc_id")
         return conform(self.raw("documents").select(
-            (d + 1).alias("id"), F.when(d % 4 != 0, d % 500 + 1).alias("report_id"),
+            (d + 1).alias("id"), F.when(d % 4 != 0, F.floor(d / 2) + 1).alias("report_id"),
             F.concat(F.lit("us-"), text(d), F.lit(".jpg")).alias("stored_name"),
             F.when(d % 3 != 0, F.concat(F.lit("scan "), text(d))).alias("original_name"),
             (d % 20 + 1).alias("created_by"), (F.col("n_chars") % 3).cast("int").alias("display_order"),
@@ -210,7 +210,7 @@ class Lab:
             F.lit(',"comments":" C'), u, F.lit(' "}'),
         )
         return self.raw("events").select(
-            e.alias("seq"), (e % 700 + 1).alias("report_id"),
+            e.alias("seq"), (F.floor(e / 14) + 1).alias("report_id"),
             pick(e % 3, {0: "SKIN_SCRAPING", 1: "ULTRASOUND"}, "BLOOD_PARASITE").alias("form_code"),
             F.when(e % 13 == 0, "{bad").otherwise(pick(e % 3, {0: skin, 1: us}, blood)).alias("form_json"),
             F.col("ts").cast("timestamp_ntz").alias("ts"), "user_id", "event_type",
@@ -262,7 +262,7 @@ class Lab:
             result(F.lit(""), F.lit("skipped")),
         ))
         image_ids = F.when((o % 4 == 0) & ~no_children, F.array(
-            text(o % 200 + 1), text(o % 150 + 1), F.lit("x")
+            text(F.floor(o / 15) + 1), text(F.floor(o / 20) + 1), F.lit("x")
         ))
         forms = F.when(no_children, None).when(
             clear, F.create_map().cast("map<string,string>")

@@ -5,12 +5,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assaybook.operators.directory_states import ReportDirectory
 from assaybook.session import shared_folder
 from assaybook.sources.partitioned import KEYS, delete_partitioned, load_partitioned, save_partitioned, update_partitioned
 from assaybook.sources.tables import Tables
 
 from .duck import VIEWS, nz, sql
 from .labviews import AS_OF, Lab
+from .reads import KEYED, PETS, newest
 from .registry import register
 from .writes import GOOD, KIND, LAST_LISTS, left, left_sql
 
@@ -73,3 +75,30 @@ def _(lab: Lab):
     gone = _recent(lab).select((F.col("seq") + 1).alias("report_id"))
     delete_partitioned(lab.spark, path, gone)
     return left(load_partitioned(lab.spark, path), list(KEYS))
+
+
+KEPT = KEYED.replace("FROM lab_reports", "FROM lab_reports WHERE status <> 'draft'")
+
+
+def _grown(lab: Lab) -> ReportDirectory:
+    """Reports arrive in three batches, by sex; then all drafts are deleted."""
+    out = ReportDirectory(lab.spark, shared_folder(lab.spark, "directory"), buckets=16)
+    sex = F.coalesce(F.col("sex"), F.lit(""))
+    for name in ("Male", "Female", ""):
+        out.add(lab.reports.filter(sex == name), f"add-{name or 'other'}")
+    draft = F.col("status") == "draft"
+    out.remove(lab.reports.filter(draft), lab.reports.filter(~draft), "drop-drafts")
+    return out
+
+
+@register("owner_directory_grown", sql(f"""
+    SELECT owner_key, {newest('patient_name')}, {newest('owner_phone')}, {newest('referring_vet')},
+           max(id) AS last_report_id, count(*) AS reports
+    FROM {KEPT} GROUP BY owner_key"""))
+def _(lab: Lab):
+    return _grown(lab).owners()
+
+
+@register("pet_directory_grown", sql(PETS.replace(KEYED, KEPT)))
+def _(lab: Lab):
+    return _grown(lab).pets()

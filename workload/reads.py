@@ -12,10 +12,13 @@ from assaybook.functions import (
     outside, is_phone_query, normalize_species, owner_key, parse_range, parse_result,
     pet_key, pet_label, reference_for, report_date_parts, to_active, to_order,
 )
-from assaybook.operators import bundles, catalog, checks, details, directory, lists, numbering, searches
+from assaybook.operators import bundles, catalog, checks, details, directory, forms, lists, numbering, searches
 from assaybook.plans import print as printed
 from assaybook.schemas import MAX_UPLOAD_BYTES
-from assaybook.sources import images
+from assaybook.session import shared_folder
+from assaybook.sources import image_files, images
+from assaybook.sources.tables import load_tables
+from assaybook.sources.writer import save_snapshot
 
 from .duck import (
     DOC_CODES, FORM_CODES, first_text, high, low, nz, number, out_of_range, owner_key as duck_owner_key,
@@ -101,9 +104,10 @@ TABLE_NAMES = (
     for t in TABLE_NAMES
 )))
 def _(lab: Lab):
-    # the views go through the same conform() step as load_tables
+    """The views saved as files, then loaded."""
+    tables = load_tables(lab.spark, save_snapshot(lab.tables, shared_folder(lab.spark, "lab"), "1"))
     parts = [
-        lab.tables[t].agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum")).select(
+        tables[t].agg(F.count(F.lit(1)).alias("n"), F.sum("id").alias("id_sum")).select(
             F.lit(t).alias("table_name"), "n", "id_sum"
         )
         for t in TABLE_NAMES
@@ -150,6 +154,49 @@ def _(lab: Lab):
     return images.missing_files(lab.images, listing).select("id", "stored_name")
 
 
+def upload_folder(lab: Lab) -> str:
+    """A file for every document, in a folder of its own: right and wrong endings, contents that fit them or don't."""
+    place = shared_folder(lab.spark, "uploads")
+    d = F.col("doc_id")
+    rows = lab.raw("documents").select(
+        F.concat(F.lit("us-"), text(d), pick(d % 5, {0: ".jpg", 1: ".PNG", 2: ".tiff", 3: ".gif"}, ".webp")).alias("name"),
+        pick(d % 7, {0: "FFD8FF", 1: "89504E470D0A1A0A", 2: "474946383961", 3: "524946460000000057454250", 4: "474946383761"}, "00").alias("head"),
+        (F.col("n_chars") % 3000).alias("more"),
+    )
+
+    def write(batches):
+        from pyarrow import RecordBatch
+        from pyarrow.fs import FileSystem
+
+        for b in batches:
+            fs, base = FileSystem.from_uri(place)
+            fs.create_dir(base, recursive=True)
+            for r in b.to_pylist():
+                with fs.open_output_stream(f"{base}/{r['name']}", compression=None) as out:
+                    out.write(bytes.fromhex(r["head"]) + b"x" * r["more"])
+            yield RecordBatch.from_pylist([{"n": b.num_rows}])
+
+    rows.mapInArrow(write, "n LONG").agg(F.sum("n")).collect()
+    return place
+
+
+@register("file_manifest", """
+    SELECT stored_name, bytes, reject_reason IS NULL AS accepted, reject_reason FROM (
+      SELECT 'us-' || doc_id || ['.jpg', '.PNG', '.tiff', '.gif', '.webp'][doc_id % 5 + 1] AS stored_name, bytes,
+             CASE WHEN doc_id % 5 = 2 THEN 'not_an_image' WHEN bytes > 2500 THEN 'too_large'
+                  WHEN NOT [doc_id % 7 = 0, doc_id % 7 = 1, false, doc_id % 7 IN (2, 4), doc_id % 7 = 3][doc_id % 5 + 1] THEN 'wrong_content' END AS reject_reason
+      FROM (SELECT doc_id, n_chars % 3000 + [3, 8, 6, 12, 6, 1, 1][doc_id % 7 + 1] AS bytes FROM documents))""")
+def _(lab: Lab):
+    return image_files.file_manifest(lab.spark, upload_folder(lab), 2500)
+
+
+@register("missing_files_listed", sql("""
+    SELECT id, stored_name FROM lab_report_images
+    WHERE stored_name NOT IN (SELECT 'us-' || doc_id || '.jpg' FROM documents WHERE doc_id % 5 = 0)"""))
+def _(lab: Lab):
+    return images.missing_files(lab.images, image_files.list_files(lab.spark, upload_folder(lab))).select("id", "stored_name")
+
+
 @register("unattached_images", sql(
     "SELECT id, stored_name FROM lab_report_images WHERE report_id IS NULL"
 ))
@@ -547,6 +594,29 @@ def _(lab: Lab):
     )
 
 
+#: Every form as some JSON: as it is, in an array, nested, a number, a text, null, or unreadable.
+ANY_JSON = """SELECT id, report_id, form_code, CASE id % 7 WHEN 0 THEN form_json WHEN 1 THEN '[' || form_json || ',' || id || ',[]]'
+      WHEN 2 THEN '{"deep":{"list":[' || form_json || ',{"n":' || id || ',"ok":true}],"none":null,"empty":{}}}' WHEN 3 THEN CAST(id AS VARCHAR)
+      WHEN 4 THEN '"text ' || id || '"' WHEN 5 THEN 'null' ELSE '{bad' END AS form_json
+    FROM lab_report_forms"""
+
+
+@register("form_leaves", sql("""
+    SELECT report_id, form_code, substr(fullkey, 2) AS path,
+           CASE WHEN type = 'NULL' THEN 'null' WHEN type = 'VARCHAR' THEN 'string' WHEN type IN ('OBJECT', 'ARRAY', 'BOOLEAN') THEN lower(type)
+                ELSE 'number' END AS kind, CAST(value AS VARCHAR) AS value
+    FROM (SELECT report_id, form_code, CASE WHEN json_valid(form_json) THEN form_json ELSE '{}' END AS j FROM any_json) f, json_tree(f.j) t
+    WHERE t.type NOT IN ('OBJECT', 'ARRAY') OR CAST(t.value AS VARCHAR) IN ('{}', '[]')""", any_json=ANY_JSON))
+def _(lab: Lab):
+    k = F.col("id")
+    json = lab.forms.withColumn("form_json", pick(k % 7, {
+        0: F.col("form_json"), 1: F.concat(F.lit("["), F.col("form_json"), F.lit(","), text(k), F.lit(",[]]")),
+        2: F.concat(F.lit('{"deep":{"list":['), F.col("form_json"), F.lit(',{"n":'), text(k), F.lit(',"ok":true}],"none":null,"empty":{}}}')),
+        3: text(k), 4: F.concat(F.lit('"text '), text(k), F.lit('"')), 5: "null",
+    }, "{bad"))
+    return forms.form_leaves(forms.form_values(json))
+
+
 # -- directory -----------------------------------------------------------------------------
 
 KEYED = f"(SELECT *, {duck_owner_key()} AS owner_key, {duck_pet_key()} AS pet_key FROM lab_reports)"

@@ -9,10 +9,12 @@ from pyspark.sql import functions as F
 
 from assaybook.operators import catalog, checks, drafts, intake
 from assaybook.sources import payloads
-from assaybook.streaming.rates import rate_limit_audit
+from assaybook.session import shared_folder
+from assaybook.streaming.rates import rate_limit_audit, refusal_stream, refused_calls
+from assaybook.streaming.reports import stream_reports, streamed_tables
 
 from .duck import nz, species, sql
-from .labviews import AS_OF, Lab, text
+from .labviews import AS_OF, RAW, Lab, text
 from .registry import register
 
 # -- bodies --------------------------------------------------------------------------------
@@ -553,6 +555,21 @@ def _(lab: Lab):
     return rate_limit_audit(_calls(lab), limit=1)
 
 
+@register("rate_limit_refusals", """
+    SELECT user_id AS client, CAST(ts AS VARCHAR) AS at, event_id AS id,
+           CAST(time_bucket(INTERVAL 6 HOURS, ts) AS VARCHAR) AS window_start
+    FROM events
+    QUALIFY row_number() OVER (PARTITION BY user_id, time_bucket(INTERVAL 6 HOURS, ts) ORDER BY ts, event_id) > 1""")
+def _(lab: Lab):
+    """The events as a stream, all windows settled at its end."""
+    place, window = shared_folder(lab.spark, "refusals"), "6 hours"
+    # a pattern: the file stream reads a table of one file or of many
+    events = lab.spark.readStream.schema(RAW["events"]).parquet(f"{lab.dir}/events.parque[t]")
+    calls = events.select(F.col("user_id").alias("client"), F.col("ts").alias("at"), F.col("event_id").alias("id"))
+    refusal_stream(calls, 1, place, window).awaitTermination()
+    return refused_calls(lab.spark, place, 1, window, settle=True)
+
+
 @register("rate_limit_audit_first_call", """
     WITH RECURSIVE c AS (
       SELECT user_id, ts, event_id, row_number() OVER (PARTITION BY user_id ORDER BY ts, event_id) AS n FROM events),
@@ -568,6 +585,36 @@ def _(lab: Lab):
     return rate_limit_audit(_calls(lab), limit=1, window="12 hours", windows="first_call")
 
 
+@register("stream_reports", """
+    SELECT 'Owner ' || o_orderkey AS patient_name, 'Dog' AS species, o_orderkey % 25 + 1 AS panel_id, o_orderkey % 100 + 1 AS parameter_id,
+           CAST(o_orderkey % 60 AS VARCHAR) AS value, '{"findings":"n' || o_orderkey || '"}' AS form_json
+    FROM orders WHERE o_orderkey % 9 <> 0""")
+def _(lab: Lab):
+    """A body of every order as files of lines, those of urgent ones sent twice; saved by the stream in several
+    batches."""
+    k = F.col("o_orderkey")
+    body = F.to_json(F.struct(
+        F.concat(F.lit("Owner "), text(k)).alias("patient_name"), F.lit("Rex").alias("pet_name"),
+        F.when(k % 9 == 0, "bird").otherwise("canine").alias("species"), F.array(k % 25 + 1).alias("panel_ids"),
+        F.array(F.struct((k % 100 + 1).alias("parameter_id"), (k % 60).alias("value"))).alias("results"),
+        F.struct(F.struct(F.concat(F.lit("n"), text(k)).alias("findings")).alias("ULTRASOUND")).alias("forms"),
+    ))
+    place = shared_folder(lab.spark, "stream")
+    orders = lab.raw("orders").select(body.alias("value"), "o_orderpriority")
+    orders.select("value").write.text(f"{place}/in")
+    orders.filter(F.col("o_orderpriority") == "1-URGENT").select("value").write.mode("append").text(f"{place}/in")
+    stream_reports(
+        lab.spark, f"{place}/in", f"{place}/out", {n: lab.tables[n] for n in ("lab_test_panels", "lab_test_parameters")}, 7,
+        clock=lambda: AS_OF, max_files=6, once_within="1 hour",
+    ).awaitTermination()
+    saved = streamed_tables(lab.spark, f"{place}/out")
+    children = {n: saved[n].drop("id", "batch") for n in ("lab_report_panels", "lab_report_results", "lab_report_forms")}
+    out = saved["lab_reports"].select(F.col("id").alias("report_id"), "patient_name", "species")
+    for df in children.values():
+        out = out.join(df.drop("remarks", "flag", "updated_at", "form_code"), "report_id")
+    return out.drop("report_id")
+
+
 # -- operators on bodies and drafts ----------------------------------------------------------
 
 
