@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import SparkSession
@@ -48,9 +49,19 @@ def tune(spark: SparkSession) -> SparkSession:
     return spark
 
 
-def shared_folder(spark: SparkSession, name: str) -> str:
-    """A new folder name below spark.checkpoint.dir, which driver and executors share."""
-    place = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
+def shared_place(spark: SparkSession) -> str:
+    """The folder that driver and executors share: spark.checkpoint.dir, or the context's own checkpoint folder. A session in
+    one process (local mode) may do without: it gets a temporary one."""
+    context = spark.sparkContext
+    place = context.getConf().get("spark.checkpoint.dir") or context.getCheckpointDir()
+    if not place and context.master.split("[")[0] == "local":
+        context.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
+        place = context.getCheckpointDir()
     if not place:
         raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
-    return f"{place.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return place.rstrip("/")
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder name below the shared one."""
+    return f"{shared_place(spark)}/{name}-{uuid.uuid4().hex}"
