@@ -2,34 +2,20 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
-from urllib.parse import urlparse
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DataType, StructField, StructType
 
+from assaybook.session import shared_folder
+
 #: Rows and bytes of an Arrow batch sent to Python: array work takes some 30 times its bytes.
 BATCH_ROWS, BATCH_BYTES = 256, 2 << 20
 
 _UPPER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one made for a local test."""
-    conf = spark.sparkContext.getConf().get("spark.checkpoint.dir")
-    if conf:
-        return conf.rstrip("/")
-    own = spark.sparkContext.getCheckpointDir()
-    if own is None:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="checkpoint-"))
-        own = spark.sparkContext.getCheckpointDir()
-    return own.rstrip("/")
-
-
 def new_folder(spark: SparkSession, name: str) -> str:
-    return f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    return shared_folder(spark, name)
 
 
 def stored(df: DataFrame, name: str) -> DataFrame:

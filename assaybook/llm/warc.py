@@ -74,7 +74,8 @@ def write_warc(pages: DataFrame, min_revisit_bytes: int = 0, date: str = "2024-0
     rows = pages.select("page_id", "url", "html", F.sha1(F.coalesce("html", F.lit("")).cast("binary")).alias("sha1")).withColumn("h", F.xxhash64("sha1"))
     maybe = possibly_repeated(rows, "h") & (F.coalesce(F.octet_length("html"), F.lit(0)) >= min_revisit_bytes)
     again = rows.filter(maybe)
-    latest = again.groupBy("sha1").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).filter("n > 1").select("sha1", "latest")
+    # stored, so that the join's own shuffle can split a payload that a third of all pages share
+    latest = stored(again.groupBy("sha1").agg(F.max("page_id").alias("latest"), F.count("*").alias("n")).filter("n > 1").select("sha1", "latest"), "latest-pages")
     refers = F.when(F.coalesce(F.col("page_id") != F.col("latest"), F.col("latest").isNotNull()), F.col("latest"))
     told = again.join(latest, "sha1", "left").select("page_id", "url", "html", "sha1", refers.alias("refers_to"))
     alone = rows.filter(~maybe).select("page_id", "url", "html", "sha1", F.lit(None).cast("long").alias("refers_to"))
