@@ -190,7 +190,7 @@ def connected(edges: DataFrame) -> DataFrame:
 def _open(members: DataFrame, labels: DataFrame) -> DataFrame:
     """Members of the buckets whose members are in more than one component, with their comp."""
     told = stored(members.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node")), "labelled")
-    keys = told.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n")
+    keys = stored(told.groupBy("key").agg(F.min("comp").alias("low"), F.max("comp").alias("high"), F.count("*").alias("n")).filter("low < high").select("key", "n"), "open-keys")
     return stored(told.join(keys, "key"), "open")
 
 
@@ -254,7 +254,8 @@ def near_duplicates(df: DataFrame, id_col: str = "doc_id", text_col: str = "text
     classes = stored(rows.filter("class is not null").groupBy("class").agg(F.min("row").alias("node"), F.min("doc_id").alias("low")), "classes")
     reps = rows.join(classes.select(F.col("node").alias("row")), "row", "left_semi").select(F.col("row").alias("node"), "tk", "tk2", "n_shingles", "sig", "bands")
     keys = reps.select("node", F.posexplode("bands").alias("band", "key"))
-    busy = keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("key", "pivot")
+    # stored, here and in _open, so that the join's own shuffle can split a bucket that a third of all documents share
+    busy = stored(keys.groupBy("key").agg(F.count("*").alias("n"), F.min("node").alias("pivot")).filter("n > 1").select("key", "pivot"), "busy")
     placed = stored(keys.join(busy, "key"), "placed")
     shared_nodes = placed.select("node").distinct()
     candidates = stored(reps.drop("bands").join(shared_nodes, "node", "left_semi"), "candidates")
