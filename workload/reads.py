@@ -55,6 +55,41 @@ def _(lab: Lab):
     return printed.report_lines(lab.tables)
 
 
+DRAFT_REF = "coalesce(nullif(CASE WHEN lower(trim(d.species)) IN ('cat', 'feline') THEN c.parameter_reference_range_cat ELSE c.parameter_reference_range_dog END, ''), ' - ')"
+
+
+def draft_rows(lab: Lab) -> DataFrame:
+    """An unsaved draft of every customer: two panels; no list of included parameters, one of them, or one with a snapshot."""
+    k = c = F.col("c_custkey")
+    return lab.raw("customer").select(
+        k.alias("draft_id"), F.when(c % 2 == 0, "Feline ").otherwise("dog").alias("species"),
+        F.array(text(k % 25 + 1), text(k * 7 % 25 + 1), F.lit("x")).alias("panel_ids"),
+        F.when(k % 3 != 0, F.array(text(c % 100 + 1))).alias("included_parameter_ids"),
+        F.when(k % 3 == 2, F.transform(F.sequence(F.lit(1), F.lit(60)), lambda i: i.cast("string"))).alias("parameter_ids_snapshot"),
+        F.create_map(text(c % 100 + 1), F.concat(text(k % 60), F.lit(" H"))).alias("results"),
+    )
+
+
+@register("preview_lines", sql(f"""
+    SELECT d.draft_id, c.panel_id, c.code AS panel_code, {first_text('c.name', 'c.code', default='')} AS panel_name, c.display_order AS panel_order,
+           c.parameter_id, c.parameter_name, c.parameter_display_order AS parameter_order,
+           CASE WHEN c.parameter_id = d.own THEN d.value ELSE ' - ' END AS display_value, {first_text('c.parameter_unit', default=' - ')} AS unit,
+           {DRAFT_REF} AS reference, CASE WHEN c.parameter_id = d.own THEN {out_of_range('d.value', DRAFT_REF)} ELSE false END AS result_out
+    FROM (SELECT DISTINCT draft_id, species, mode, own, value, unnest([a, b]) AS panel_id FROM drafted) d
+    JOIN active_rows c ON c.panel_id = d.panel_id AND c.parameter_id IS NOT NULL AND upper(c.code) NOT IN ({FORM_CODES})
+    WHERE d.mode <> 2 OR c.parameter_id = d.own OR c.parameter_id > 60""", drafted="""
+      SELECT c_custkey AS draft_id, CASE WHEN c_custkey % 2 = 0 THEN 'Feline ' ELSE 'dog' END AS species, c_custkey % 3 AS mode,
+             c_custkey % 25 + 1 AS a, c_custkey * 7 % 25 + 1 AS b, c_custkey % 100 + 1 AS own, (c_custkey % 60) || ' H' AS value FROM customer""",
+    active_rows="""
+    SELECT p.id AS panel_id, p.code, p.name, p.display_order, t.id AS parameter_id, t.name AS parameter_name, t.unit AS parameter_unit,
+           coalesce(nullif(t.reference_range_dog, ''), nullif(t.reference_range, ''), '') AS parameter_reference_range_dog,
+           coalesce(nullif(t.reference_range_cat, ''), nullif(t.reference_range, ''), '') AS parameter_reference_range_cat,
+           t.display_order AS parameter_display_order
+    FROM lab_test_panels p JOIN lab_test_parameters t ON t.panel_id = p.id WHERE p.is_active = 1 AND t.is_active = 1"""))
+def _(lab: Lab):
+    return printed.preview_lines(draft_rows(lab), lab.panels, lab.params)
+
+
 @register("page_plan", sql(f"""
     WITH pages AS (
       SELECT rp.report_id, p.id AS panel_id, upper(p.code) AS code, p.name AS panel_name,
@@ -525,7 +560,7 @@ def _(lab: Lab):
 # -- bundles -------------------------------------------------------------------------------
 
 
-@register("report_bundles", sql(f"""
+BUNDLES = f"""
     SELECT r.id AS report_id, {species('r.species')} AS species, u.name AS created_by_name,
            p.id AS panel_id, CASE WHEN p.id IS NOT NULL THEN CAST(dense_rank() OVER (
              PARTITION BY r.id ORDER BY p.display_order, p.id) - 1 AS INTEGER) END AS panel_pos,
@@ -536,9 +571,10 @@ def _(lab: Lab):
     FROM lab_reports r LEFT JOIN lab_users u ON u.id = r.created_by
     LEFT JOIN lab_report_panels rp ON rp.report_id = r.id
     LEFT JOIN lab_test_panels p ON p.id = rp.panel_id
-    LEFT JOIN ({RESULT_DETAILS}) d ON d.report_id = r.id AND d.panel_id = p.id"""))
-def _(lab: Lab):
-    b = bundles.report_bundles(lab.tables)
+    LEFT JOIN ({RESULT_DETAILS}) d ON d.report_id = r.id AND d.panel_id = p.id"""
+
+
+def _bundle_rows(b: dict[str, DataFrame]) -> DataFrame:
     panels = b["panels"].select("report_id", "panel_id", F.col("position").alias("panel_pos"))
     results = b["results"].select(
         "report_id", "panel_id", F.col("position").alias("result_pos"), F.col("id").alias("result_id"),
@@ -548,6 +584,21 @@ def _(lab: Lab):
         panels, "report_id", "left").join(results, ["report_id", "panel_id"], "left")
 
 
+@register("report_bundles", sql(BUNDLES))
+def _(lab: Lab):
+    return _bundle_rows(bundles.report_bundles(lab.tables))
+
+
+@register("report_bundles_by_no", sql(BUNDLES + """ WHERE r.report_no IN (
+    SELECT 'PZ-' || year(l_shipdate) || '-' || (l_orderkey + 1) FROM lineitem)"""))
+def _(lab: Lab):
+    """Whole reports, looked up by their numbers."""
+    nos = lab.raw("lineitem").select(F.concat(
+        F.lit("PZ-"), text(F.year("l_shipdate")), F.lit("-"), text(F.col("l_orderkey") + 1)
+    ).alias("report_no")).distinct()
+    return _bundle_rows(bundles.report_bundles(lab.tables, lists.reports_by_no(lab.reports, nos)))
+
+
 @register("report_bundle_images", sql("""
     SELECT report_id, id, stored_name, original_name, display_order,
            '/api/uploads/file/' || stored_name AS url,
@@ -777,9 +828,10 @@ def _(lab: Lab):
            lower(strftime(coalesce(created_at, CAST(report_date AS TIMESTAMP) + INTERVAL '14:07:09' HOUR TO SECOND), '%I:%M %p')) AS stamp_time,
            {first_text('pet_name', default='Unnamed')} || ' (' || {first_text('species', default='N/A')}
              || ')' || coalesce('  -  ' || {nz('breed')}, '') AS label,
-           replace(replace(coalesce(remarks, ''), '&', '&amp;'), '<', '&lt;') AS safe_remarks,
-           coalesce(regexp_matches(age, '^[0-9]+$'), false) AS numeric_age
-    FROM lab_reports""".replace("INTERVAL '14:07:09' HOUR TO SECOND", "to_seconds(50829)")))
+           replace(replace(replace(replace(replace(coalesce(x, ''), '&', '&amp;'), '<', '&lt;'), '>', '&gt;'), '"', '&quot;'), '''', '&#39;') AS safe_remarks,
+           coalesce(regexp_matches(y, '^[0-9]+$'), false) AS numeric_age
+    FROM (SELECT *, CASE WHEN id % 3 <> 0 THEN '<b title="' || coalesce(remarks, '&') || '">it''s &lt; ' || coalesce(patient_name, '') END AS x,
+                 CASE WHEN id % 2 = 0 THEN split_part(age, ' ', 1) WHEN id % 5 = 0 THEN '' ELSE age END AS y FROM lab_reports)""".replace("INTERVAL '14:07:09' HOUR TO SECOND", "to_seconds(50829)")))
 def _(lab: Lab):
     r = lab.reports
     stamp = report_date_parts(F.col("report_date"), F.col("created_at"), F.lit(AS_OF))
@@ -792,8 +844,11 @@ def _(lab: Lab):
         date_only(F.col("sample_date")).alias("sample_day"),
         stamp["date"].alias("stamp_date"), stamp["time"].alias("stamp_time"),
         pet_label(F.col("pet_name"), F.col("species"), F.col("breed")).alias("label"),
-        escape_html(F.col("remarks")).alias("safe_remarks"),
-        is_numeric_id(F.col("age")).alias("numeric_age"),
+        escape_html(F.when(F.col("id") % 3 != 0, F.concat(
+            F.lit('<b title="'), F.coalesce("remarks", F.lit("&")), F.lit("\">it's &lt; "), F.coalesce("patient_name", F.lit(""))
+        ))).alias("safe_remarks"),
+        is_numeric_id(F.when(F.col("id") % 2 == 0, F.substring_index("age", " ", 1)).when(F.col("id") % 5 == 0, "").otherwise(F.col("age")))
+        .alias("numeric_age"),
     )
 
 

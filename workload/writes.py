@@ -111,13 +111,11 @@ def _created(lab: Lab, name: str):
            trim(patient_name) AS patient_name, trim(pet_name) AS pet_name, kind AS species,
            {nz('owner_phone')} AS owner_phone, CAST(CAST(sample_date AS DATE) AS VARCHAR) AS sample_date,
            coalesce(report_date, '2026-03-05') AS report_date, status, CAST(7 AS BIGINT) AS created_by,
-           '{AS_OF}' AS created_at
+           {", ".join(f"{nz(c)} AS {c}" for c in ("breed", "age", "sex", "referring_vet", "clinical_notes", "remarks"))},
+           '{AS_OF}' AS created_at, '{AS_OF}' AS updated_at
     FROM accepted""", **CHECKED))
 def _(lab: Lab):
-    return _created(lab, "lab_reports").select(
-        "id", "report_no", "patient_name", "pet_name", "species", "owner_phone", "sample_date",
-        "report_date", "status", "created_by", "created_at",
-    )
+    return _created(lab, "lab_reports")
 
 
 @register("apply_creates_rejects", sql(
