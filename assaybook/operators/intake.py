@@ -6,7 +6,7 @@ bad child is refused whole. Bodies carry `seq`, their arrival number.
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Callable, Mapping
 from functools import reduce
 
 from pyspark.sql import Column, DataFrame
@@ -21,6 +21,8 @@ from ..sources.tables import Tables, changed
 from .forms import last_writes, replace_forms
 from .numbering import last_number, next_id, report_no, running_totals
 
+Store = Callable[[DataFrame, str], DataFrame]
+
 OPTIONAL_TEXT = ("owner_phone", "breed", "age", "sex", "referring_vet", "clinical_notes", "remarks")
 
 
@@ -304,10 +306,13 @@ def attachments(bodies: DataFrame) -> DataFrame:
 
 def apply_creates(
     tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str, user_id: int,
-    prefix: str = REPORT_PREFIX,
+    prefix: str = REPORT_PREFIX, store: Store | None = None,
 ) -> tuple[Tables, DataFrame]:
-    """Valid bodies become reports: (next tables, refused (seq, reject_reason))."""
+    """Valid bodies become reports: (next tables, refused (seq, reject_reason)). With `store` (session.stored) bodies are
+    accepted once, and all outputs derive from the stored frame."""
     accepted, rejects = accept_creates(tables, payloads, as_of, prefix)
+    if store is not None:
+        accepted = store(accepted, "accepted")
     new = created_rows(accepted, as_of, user_id)
     following = {n: (lambda n=n: tables[n].unionByName(new[n])) for n in new}
     following["lab_report_images"] = lambda: attach_images(
@@ -397,15 +402,16 @@ def updated_tables(
 
 
 def apply_updates(
-    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str
+    tables: Mapping[str, DataFrame], payloads: DataFrame, as_of: str, store: Store | None = None
 ) -> tuple[Tables, DataFrame]:
     """Bodies with report_id replace the header, and each child list that is present: a missing
     list keeps the stored rows, an empty one clears them. Of several bodies for a report the
     last one counts, separately for the header and for each child list.
 
-    Every output derives from the accepted bodies; a job that writes them all stores these first
-    (see sources.partitioned)."""
+    With `store` (session.stored) bodies are accepted once, and all outputs derive from the stored frame."""
     good, rejects = accept_updates(tables, payloads, as_of)
+    if store is not None:
+        good = store(good, "accepted")
     return updated_tables(tables, good, as_of), rejects
 
 

@@ -20,19 +20,13 @@ from pyspark.sql import functions as F
 
 from ..functions.numbers import list_limit
 from ..functions.text import digits_only, is_phone_query, owner_key, pet_key, trim
-from ..session import shared_folder
+from ..session import stored as _stored
 from .directory import PET_FIELDS
 from .lists import LIST_COLUMNS, SEARCHED
 
 GRAM = 3
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def pattern_column(q: Column) -> Column:
     """functions.text.like_pattern of a column: '%q%', lower case, backslashes before %, _ or another one kept,
     others dropped."""

@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 SETTINGS = {
     # re-plan with real shuffle sizes: broadcast only what was measured to be small,
@@ -65,3 +65,10 @@ def shared_place(spark: SparkSession) -> str:
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new folder name below the shared one."""
     return f"{shared_place(spark)}/{name}-{uuid.uuid4().hex}"
+
+
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df written once to the shared folder and read back, for frames that several outputs derive from."""
+    path = shared_folder(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)

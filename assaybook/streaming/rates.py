@@ -11,18 +11,12 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
-from ..session import shared_folder
+from ..session import stored as _stored
 
 # Calls per client and 60 seconds.
 LOGIN_LIMIT, UPLOAD_LIMIT = 20, 30
 
 
-def _stored(df: DataFrame, name: str) -> DataFrame:
-    path = shared_folder(df.sparkSession, name)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
 def first_call_windows(calls: DataFrame, seconds: int = 60) -> DataFrame:
     """Adds window_start to calls(client, at, ...): a client's first call opens a window of so many seconds, the first
     call after its end the next one.

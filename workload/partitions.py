@@ -30,7 +30,7 @@ def _recent(lab: Lab) -> DataFrame:
 
 def _updated(lab: Lab) -> Tables:
     path = shared_folder(lab.spark, "lab")
-    save_partitioned(lab.tables, path, buckets=16)
+    save_partitioned(lab.tables, path, buckets=8)
     update_partitioned(lab.spark, path, _recent(lab), AS_OF)
     return load_partitioned(lab.spark, path)
 
@@ -71,7 +71,7 @@ DELETED = f"(SELECT o_orderkey + 1 FROM orders WHERE o_orderkey IN {LAST_MONTH})
 }))
 def _(lab: Lab):
     path = shared_folder(lab.spark, "lab")
-    save_partitioned(lab.tables, path, buckets=16)
+    save_partitioned(lab.tables, path, buckets=8)
     gone = _recent(lab).select((F.col("seq") + 1).alias("report_id"))
     delete_partitioned(lab.spark, path, gone)
     return left(load_partitioned(lab.spark, path), list(KEYS))
@@ -82,7 +82,7 @@ KEPT = KEYED.replace("FROM lab_reports", "FROM lab_reports WHERE status <> 'draf
 
 def _grown(lab: Lab) -> ReportDirectory:
     """Reports arrive in three batches, by sex; then all drafts are deleted."""
-    out = ReportDirectory(lab.spark, shared_folder(lab.spark, "directory"), buckets=16)
+    out = ReportDirectory(lab.spark, shared_folder(lab.spark, "directory"), buckets=8)
     sex = F.coalesce(F.col("sex"), F.lit(""))
     for name in ("Male", "Female", ""):
         out.add(lab.reports.filter(sex == name), f"add-{name or 'other'}")

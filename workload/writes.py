@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from assaybook.operators import catalog, checks, drafts, intake
 from assaybook.sources import payloads
-from assaybook.session import shared_folder
+from assaybook.session import shared_folder, stored
 from assaybook.streaming.rates import rate_limit_audit, refusal_stream, refused_calls
 from assaybook.streaming.reports import stream_reports, streamed_tables
 
@@ -102,7 +102,7 @@ def _(lab: Lab):
 
 def _created(lab: Lab, name: str):
     accepted, _ = intake.accept_creates(lab.tables, lab.payloads, AS_OF)
-    return intake.created_rows(accepted, AS_OF, 7)[name]
+    return intake.created_rows(stored(accepted, "accepted"), AS_OF, 7)[name]
 
 
 @register("apply_creates_reports", sql(f"""
@@ -165,7 +165,7 @@ LISTED = """SELECT seq, {rid} AS rid, v.pos, v.image_id FROM {bodies},
     ) c ON c.image_id = i.id""", **CHECKED, listed=LISTED.format(rid="new_id", bodies="accepted")))
 def _(lab: Lab):
     accepted, _ = intake.accept_creates(lab.tables, lab.payloads, AS_OF)
-    return intake.attach_images(lab.images, intake.attachments(accepted), "create").select(
+    return intake.attach_images(lab.images, intake.attachments(stored(accepted, "accepted")), "create").select(
         "id", "report_id", "display_order"
     )
 
@@ -176,14 +176,14 @@ GOOD = {**CHECKED, "good": "SELECT * FROM update_checked WHERE reject_reason IS
 
 
 def _updated(lab: Lab):
-    return intake.apply_updates(lab.tables, lab.payloads, AS_OF)
+    return intake.apply_updates(lab.tables, lab.payloads, AS_OF, stored)
 
 
 @register("apply_updates_rejects", sql(
     "SELECT seq, reject_reason FROM update_checked WHERE reject_reason IS NOT NULL", **CHECKED
 ))
 def _(lab: Lab):
-    return _updated(lab)[1]
+    return intake.apply_updates(lab.tables, lab.payloads, AS_OF)[1]
 
 
 @register("apply_updates_reports", sql(f"""
