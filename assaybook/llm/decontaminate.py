@@ -10,10 +10,10 @@ Before the automaton walks a document, a vectorised test finds the stretches who
 all occur in some item and that are long enough for a window; no match can lie outside of them, and
 all else is passed over.
 
-The items are shared with all tasks up to a total of SHARD_WORDS words (the proven bound); a larger benchmark
-is cut into shards of whole items, each with an automaton of its own. A document meets the shards one by one
-in the same task, and their hits are merged. A task keeps the word and pair hashes of all shards (16 bytes a
-word of the benchmark) and at most HELD automata, built when a document has a stretch for them.
+The items are hashed where they are read and dealt into shards of about SHARD_WORDS words, each with an automaton of its
+own, which lie as files in the shared folder; the driver sees their number only. A task reads a shard when it comes to it and
+keeps HELD shards at most. With more shards than that it takes HOLD_BYTES of documents through them, one shard after
+the other, so an automaton is built once for so many bytes, and only where a document has a stretch for it; hits of all shards are merged.
 
 Defined cases: null texts have no words and are never contaminated; items without words match nothing; items
 with equal texts are all reported; a null item_id counts for hits and not for the lists of items. An empty
@@ -28,17 +28,19 @@ from collections import defaultdict
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow.fs import FileSystem, FileType
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, StringType
 
 from .bytewords import ALNUM, Words, mix, words
-from .shared import batches, fresh, wider
+from .shared import batches, fresh, new_folder, stored, wider
 
 WINDOW = 10
 #: Words of the items that one automaton holds: about 1 kB each while it is built, and 100 MB at most.
 SHARD_WORDS = 100_000
-HELD = 4
+HELD, HOLD_BYTES = 4, 32 << 20
 
 
 class Automaton:
@@ -138,7 +140,7 @@ class _Shard:
         self.least = min([min(window, len(h)) for _, h in items if len(h)], default=0)
         self.items, self.window = items, window
 
-    @functools.lru_cache(maxsize=HELD)  # of all shards together
+    @functools.cached_property
     def automaton(self) -> Automaton:
         return Automaton([(name, np.searchsorted(self.vocabulary, h).tolist()) for name, h in self.items], self.window)
 
@@ -171,7 +173,7 @@ class _Shard:
             ids = np.searchsorted(self.vocabulary, part)
             ids = np.where(self.vocabulary[np.minimum(ids, len(self.vocabulary) - 1)] == part, ids, -1).tolist()
             row = int(np.searchsorted(w.first, a, side="right")) - 1
-            for x, y, owners in self.automaton().matches(ids):
+            for x, y, owners in self.automaton.matches(ids):
                 hit[a + x : a + y] = True
                 found[row] |= owners
 
@@ -183,35 +185,54 @@ def _member(table: np.ndarray, x: np.ndarray) -> np.ndarray:
     return table[np.minimum(at, len(table) - 1)] == x
 
 
-def _shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, shard_words: int):
-    """Items as broadcast shards of at most shard_words words (or one item), gathered from an iterator one by one."""
-    spark = benchmark.sparkSession
-    out, held, size = [], [], 0
+def _shards(benchmark: DataFrame, id_col: str, text_col: str, window: int, shard_words: int) -> list[str]:
+    """Places of the item shards, each of about shard_words words (more only where one item has more)."""
+    def hashed(batches_):
+        for b in batches_:
+            w = words(b.column("text"), ALNUM)
+            parts = [w.hashes[x:y].tobytes() for x, y in zip(w.first[:-1].tolist(), w.first[1:].tolist(), strict=True)]
+            yield pa.record_batch({"id": b.column("id"), "n": pa.array(np.diff(w.first), pa.int64()), "hashes": pa.array(parts, pa.binary())})
+
     rows = benchmark.select(F.col(id_col).cast("string").alias("id"), F.col(text_col).alias("text"))
-    for row in rows.toLocalIterator():
-        h = words(pa.array([row.text], pa.string()), ALNUM).hashes
-        if held and size + len(h) > shard_words:
-            out.append(spark.sparkContext.broadcast(held))
+    items = stored(batches(rows, hashed, "id string, n long, hashes binary").withColumn("row", F.monotonically_increasing_id()), "items").filter("n > 0")
+    total = items.agg(F.sum("n").alias("n")).first()["n"] or 0
+    count = -(-total // shard_words)
+    if not count:
+        return []
+    folder = new_folder(benchmark.sparkSession, "item-shards")
+    dealt = items.select("id", "hashes", F.pmod("row", F.lit(count)).alias("shard"))
+    dealt.repartition(count, "shard").write.partitionBy("shard").parquet(folder)
+    return [f"{folder}/shard={k}" for k in range(count)]
+
+
+@functools.lru_cache(maxsize=HELD)
+def _load(place: str, window: int) -> _Shard:
+    fs, base = FileSystem.from_uri(place)
+    if fs.get_file_info(base).type == FileType.NotFound:
+        return _Shard([], window)
+    table = pq.read_table(base, columns=["id", "hashes"], filesystem=fs, partitioning=None)
+    return _Shard([(i, np.frombuffer(h, dtype=np.uint64)) for i, h in zip(table.column("id").to_pylist(), table.column("hashes").to_pylist(), strict=True)], window)
+
+
+def _scanned(batches_, column: str, shards: list[str], window: int):
+    """(batch, words, hit flags, items by row) of every batch, after all shards."""
+    held, size = [], 0
+
+    def met():
+        for place in shards:
+            shard = _load(place, window)
+            for _, w, hit, found in held:
+                shard.hits(w, hit, found)
+        return held
+
+    for b in batches_:
+        w = words(b.column(column), ALNUM)
+        held.append((b, w, np.zeros(len(w.hashes), dtype=bool), defaultdict(set)))
+        size += b.nbytes
+        if len(shards) <= HELD or size >= HOLD_BYTES:
+            yield from met()
             held, size = [], 0
-        held.append((row.id, h))
-        size += len(h)
-    if held:
-        out.append(spark.sparkContext.broadcast(held))
-    return out
-
-
-def _scan(shards, window: int):
-    """A function from a text column to (words, hit flags, items by row)."""
-    built = [_Shard(shard.value, window) for shard in shards]
-
-    def scan(column):
-        w = words(column, ALNUM)
-        hit, found = np.zeros(len(w.hashes), dtype=bool), defaultdict(set)
-        for shard in built:
-            shard.hits(w, hit, found)
-        return w, hit, found
-
-    return scan
+    yield from met()
 
 
 def _sums(flags: np.ndarray, first: np.ndarray) -> np.ndarray:
@@ -223,9 +244,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id",
     shards = _shards(benchmark, "item_id", "text", window, shard_words)
 
     def work(batches_):
-        scan = _scan(shards, window)
-        for b in batches_:
-            w, hit, found = scan(b.column("text"))
+        for b, w, hit, found in _scanned(batches_, "text", shards, window):
             n_hit = _sums(hit, w.first)
             items = [sorted(found[i]) if i in found else [] for i in range(b.num_rows)]
             yield pa.record_batch({
@@ -248,10 +267,8 @@ def remove_contamination(docs: DataFrame, benchmark: DataFrame, text_col: str =
     cleaned, coverage = fresh(docs.columns, "cleaned", "coverage")
 
     def work(batches_):
-        scan = _scan(shards, window)
-        for b in batches_:
+        for b, w, hit, _ in _scanned(batches_, text_col, shards, window):
             column = b.column(text_col)
-            w, hit, _ = scan(column)
             n_hit, n = _sums(hit, w.first), np.diff(w.first)
             texts = [None] * b.num_rows
             for i in np.flatnonzero(n_hit).tolist():

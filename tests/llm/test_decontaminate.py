@@ -5,6 +5,8 @@ import re
 import time
 from collections import Counter
 
+import numpy as np
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
@@ -78,3 +80,22 @@ def test_equal_words_take_time_in_proportion():
     auto = Automaton([("x", item), ("y", [1, 2] * 50_000)], 10)
     got = sum(1 for _ in auto.matches([1] * 100_000))
     assert got == 99_991 and time.perf_counter() - start < 20
+
+
+def test_an_automaton_is_built_once_for_many_batches(spark, monkeypatch):
+    """More shards than a task keeps: documents go through them together, not batch by batch."""
+    rng = np.random.default_rng(3)
+    word = lambda: f"w{rng.integers(3000)}"
+    items = [(i, " ".join(word() for _ in range(40))) for i in range(200)]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    shards = decontaminate._shards(bench, "item_id", "text", 10, 1000)
+    assert len(shards) == 8
+    built = []
+    monkeypatch.setattr(decontaminate, "Automaton", lambda *a: built.append(1) or Automaton(*a))
+    texts = [" ".join([word(), items[int(rng.integers(200))][1], word()]) for _ in range(600)]
+    batches = [pa.record_batch({"text": texts[i : i + 30]}) for i in range(0, 600, 30)]
+    got = list(decontaminate._scanned(iter(batches), "text", shards, 10))
+    assert len(got) == 20 and len(built) <= 8
+    assert all((np.diff(np.concatenate([[0], np.cumsum(hit)])[w.first]) >= 40).all() for _, w, hit, _ in got)
+    assert all(len(found) == 30 for *_, found in got)
+    decontaminate._load.cache_clear()
