@@ -101,6 +101,16 @@ def clock_windows(calls: DataFrame, window: str = "60 seconds") -> DataFrame:
     return calls.withColumn("window_start", F.window(F.col("at"), window)["start"].cast("timestamp_ntz"))
 
 
+KEY = ["client", "window_start"]
+
+
+def last_allowed(rows: DataFrame, limit: int) -> DataFrame:
+    """client, window_start and _edge, the (at, id) of the last call that is allowed, where there are so many calls."""
+    first = Window.partitionBy(*KEY).orderBy("at", "id")
+    edge = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit)
+    return edge.filter(F.col("_n") == limit).select(*KEY, F.struct("at", "id").alias("_edge"))
+
+
 def rate_limit_audit(
     calls: DataFrame, limit: int, window: str = "60 seconds", windows: str = "clock"
 ) -> DataFrame:
@@ -119,11 +129,8 @@ def rate_limit_audit(
         rows = _stored(first_call_windows(calls, _seconds(window)), "windowed-calls")
     else:
         raise ValueError(f"unknown windows {windows!r}")
-    key = ["client", "window_start"]
-    first = Window.partitionBy(*key).orderBy("at", "id")
-    edge = rows.withColumn("_n", F.row_number().over(first)).filter(F.col("_n") <= limit)
-    edge = _stored(edge.filter(F.col("_n") == limit).select(*key, F.struct("at", "id").alias("_edge")), "last-allowed")
-    return rows.join(edge, key).filter(
+    edge = _stored(last_allowed(rows, limit), "last-allowed")
+    return rows.join(edge, KEY).filter(
         F.struct("at", "id") > F.col("_edge")
     ).select("client", "at", "id", "window_start")
 
