@@ -107,7 +107,10 @@ def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: st
     near = told.filter(F.col("toxic").isin(0, 1)).withColumn("h", h).filter(F.shiftrightunsigned("h", 11) * F.lit(2.0**-53) < share)
     chosen = near.withColumn("r", F.row_number().over(Window.partitionBy("toxic").orderBy("h", "label_id"))).filter(F.col("r") <= SAMPLE_ROWS).drop("h", "r")
     # at most 2 * SAMPLE_ROWS ids: a size bound that allows a broadcast
-    sample = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id").dropDuplicates(["label_id"])
+    sample = docs.select(F.col(id_col).alias("label_id"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "label_id")
+    # of several texts of an id that of the largest hash, whatever the order of rows
+    of_id = F.max_by(F.struct("text", "toxic", "grade"), F.struct(F.xxhash64("text"), "text"))
+    sample = sample.groupBy("label_id").agg(of_id.alias("s")).select("label_id", "s.*")
 
     def seen(batches_):
         for b in batches_:

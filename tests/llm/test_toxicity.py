@@ -1,4 +1,4 @@
-"""Ordinal regression: gradient against differences, held-out labels, defined cases."""
+"""Ordinal regression: recovered weights, held-out labels, defined cases."""
 
 import numpy as np
 from pyspark.sql import functions as F
@@ -25,7 +25,7 @@ def test_held_out_labels(spark):
     assert len(model.thresholds) == 3 and (np.diff(model.thresholds) > 0).all()
     told = toxicity.score(docs, model).withColumnRenamed("toxic", "said").join(labels.filter(held), "doc_id")
     r = told.agg(F.sum(F.expr("int(said and toxic = 1)")).alias("tp"), F.sum(F.expr("int(said and toxic = 0)")).alias("fp"), F.sum(F.expr("int(not said and toxic = 1)")).alias("fn")).first()
-    assert r.tp / (r.tp + r.fp) > 0.9 and r.tp / (r.tp + r.fn) > 0.7, r
+    assert r.tp / (r.tp + r.fp) > 0.9 and r.tp / (r.tp + r.fn) > 0.85, r
     assert told.filter("severity < 0 or severity > 3 or said <> (p_toxic >= 0.5)").count() == 0
 
 
@@ -42,3 +42,11 @@ def test_defined_cases(spark):
     graded = many.select("doc_id", (F.col("doc_id") % 10 == 1).cast("int").alias("toxic"), F.lit(2).alias("g"))
     assert len(toxicity.fit(many, graded, grade_col="g").thresholds) == 1
     assert toxicity.score(docs.limit(0), model).count() == 0
+
+
+def test_repeated_ids_give_one_model(spark):
+    """Of several texts of an id one is taken by a rule, so that the order of rows doesn't matter."""
+    rows = [(i, text) for i in range(60) for text in ((f"you idiot fool {i}", f"fine words {i}") if i % 2 else (f"good day {i}", f"fine words here {i}"))]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)], "doc_id long, toxic int")
+    models = [toxicity.fit(spark.createDataFrame(x, "doc_id long, text string").repartition(k), labels) for x, k in ((rows, 1), (rows[::-1], 5))]
+    assert all((models[0].vocabulary == m.vocabulary).all() and np.array_equal(models[0].weights, m.weights) for m in models)
