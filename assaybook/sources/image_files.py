@@ -59,10 +59,10 @@ def file_manifest(spark: SparkSession, path: str, max_bytes: int | None = None)
     images = _read(spark, path, IMAGE_NAMES)
     fit = images if max_bytes is None else images.filter(F.col("length") <= max_bytes)
     opened = fit.select("path", looks_like(F.col("path"), F.col("content")).alias("fits"))
-    named = images.select("path", F.lit(True).alias("image"))
-    reason = F.when(F.col("image").isNull(), "not_an_image")
+    named = F.lower("stored_name").rlike(r"\.(" + "|".join(BEGINNINGS) + r")\z")
+    reason = F.when(~named, "not_an_image")
     if max_bytes is not None:
         reason = reason.when(F.col("bytes") > max_bytes, "too_large")
     reason = reason.when(~F.col("fits"), "wrong_content")
-    rows = list_files(spark, path).join(named, "path", "left").join(opened, "path", "left")
+    rows = list_files(spark, path).join(opened, "path", "left")
     return rows.select("stored_name", "bytes", reason.isNull().alias("accepted"), reason.alias("reject_reason"))
