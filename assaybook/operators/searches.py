@@ -1,12 +1,16 @@
-"""Many searches at once, as rows: n-gram postings propose, the exact pattern confirms.
+"""Many searches at once, as rows: one n-gram of each search proposes texts, the exact pattern confirms.
 
-A search is a text that any of some columns must hold, case-blind, with live % and _ (see functions.text). Its
-literal stretches give n-grams of up to three characters. The texts' n-grams that occur in any search are
-counted once; each search is then looked up by its rarest one, in an equi-join of postings and searches, and every
-candidate is confirmed with the whole pattern. Searches and texts meet nowhere else, so no pairs of all are built.
+A search is a text that any of some columns must hold, case-blind, with live % and _ (see functions.text). Work is done on
+distinct texts, not on rows: a name that many rows share is looked up once. Each literal stretch of a search gives n-grams
+as long as it allows (SIZES). The texts' n-grams that occur in any search are counted, each search keeps its
+rarest one, and only places of kept n-grams are joined with the searches and confirmed with the whole pattern. Searches and
+texts meet nowhere else, so no pairs of all are built, and a long literal is never looked up by a short, frequent n-gram.
 A search without any literal character (blank, or % and _ only) asks for a least length and is joined by length.
 
-Hot n-grams: postings are the left side of their joins and the other side is stored first, so Spark's run-time split
+Most n-grams of the texts are in no search. A table of bits of fixed size keeps them out of the shuffle; those that it lets
+through by chance are dropped by the joins, so results don't depend on it.
+
+Hot n-grams: places are the left side of their join and the other side is stored first, so Spark's run-time split
 cuts an n-gram that a large part of all texts hold.
 """
 
@@ -25,6 +29,10 @@ from .directory import PET_FIELDS
 from .lists import LIST_COLUMNS, SEARCHED
 
 GRAM = 3
+#: Lengths of the n-grams that texts are looked up by.
+SIZES = (1, 2, 3, 4, 5, 6, 8, 12)
+#: The table of bits: 2^ROW_BITS rows of 2^ROW_BITS words of 64 bits.
+ROW_BITS = 10
 
 
 def pattern_column(q: Column) -> Column:
@@ -40,63 +48,106 @@ def _literals(pattern: Column) -> Column:
     return F.transform(stretches, lambda x: F.regexp_replace(x, r"\\(.)", "$1"))
 
 
-def _grams(text: Column, n: int) -> Column:
+def _grams(text: Column, n: Column) -> Column:
     return F.when(
         F.length(text) >= n,
-        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, F.lit(n))),
+        F.transform(F.sequence(F.lit(1), F.length(text) - (n - 1)), lambda i: F.substring(text, i, n)),
     ).otherwise(F.array().cast("array<string>"))
 
 
-def prepare(searches: DataFrame, q: str = "q", key: str = "query_no") -> DataFrame:
-    """query_no, pattern, and its n-grams: those of three characters if any stretch is long enough, else of two or one;
-    least_length is what a pattern without a literal character asks for."""
+def prepare(searches: DataFrame, q: str = "q", key: str = "query_no", sizes: Sequence[int] | None = None) -> DataFrame:
+    """query_no, pattern, and its n-grams: of each stretch, of the largest of the sizes that it allows (without sizes: those of
+    three characters if any stretch is long enough, else of two or one); least_length is what a pattern without a literal
+    character asks for. Other columns of searches are kept."""
     parts = F.filter(_literals(F.col("pattern")), lambda x: F.length(x) > 0)
-    long = F.array_max(F.transform(parts, F.length))
+    kept = [c for c in searches.columns if c not in (q, key)]
     rows = searches.select(
-        F.col(key).alias("query_no"), pattern_column(trim(F.coalesce(F.col(q), F.lit("")))).alias("pattern")
+        F.col(key).alias("query_no"), pattern_column(trim(F.coalesce(F.col(q), F.lit("")))).alias("pattern"), *kept
     ).select("*", parts.alias("parts"))
-    n = F.least(F.coalesce(long, F.lit(0)), F.lit(GRAM))
-    grams = reduce(lambda other, k: F.when(n == k, F.flatten(F.transform("parts", lambda x: _grams(x, k)))).otherwise(other), range(1, GRAM + 1), F.array().cast("array<string>"))
+    rows = rows.withColumn("n", F.least(F.coalesce(F.array_max(F.transform("parts", F.length)), F.lit(0)), F.lit(GRAM)))
+
+    def size(part: Column) -> Column:
+        if sizes is None:
+            return F.col("n")
+        return reduce(lambda other, k: F.when(F.length(part) >= k, k).otherwise(other), sorted(sizes), F.lit(1))
+
+    grams = F.flatten(F.transform("parts", lambda x: _grams(x, size(x))))
     return rows.select(
-        "query_no", "pattern", F.array_distinct(grams).alias("grams"),
+        "query_no", "pattern", *kept, F.when(F.col("n") > 0, F.array_distinct(grams)).otherwise(F.array().cast("array<string>")).alias("grams"),
         (F.length("pattern") - F.length(F.replace(F.col("pattern"), F.lit("_"), F.lit("")))).alias("least_length"),
     )
 
 
-def text_postings(df: DataFrame, id_col: str, columns: Sequence[str], wanted: DataFrame) -> DataFrame:
-    """(gram, id) of the n-grams of the texts, each once an id, cut to the wanted ones (gram)."""
-    texts = [F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
-    every = F.array_distinct(F.flatten(F.array(*[_grams(t, n) for t in texts for n in range(1, GRAM + 1)])))
-    rows = df.select(F.col(id_col).alias("id"), F.explode(every).alias("gram"))
-    return rows.join(wanted, "gram", "left_semi")
+def _bit(gram: Column) -> tuple[Column, Column]:
+    """(word, place in it) of an n-gram in the table of bits."""
+    h = F.xxhash64(gram)
+    return F.pmod(F.shiftright(h, 6), F.lit(1 << 2 * ROW_BITS)).cast("int"), h.bitwiseAND(F.lit(63)).cast("int")
+
+
+def _bits(grams: DataFrame) -> Column:
+    """The bits of all n-grams (gram) as rows of words: a scalar of 8 MB, however many n-grams there are."""
+    word, place = _bit(F.col("gram"))
+    words = grams.select(word.alias("word"), F.call_function("shiftleft", F.lit(1).cast("bigint"), place).alias("bits"))
+    every = grams.sparkSession.range(1 << 2 * ROW_BITS).select(F.col("id").cast("int").alias("word"), F.lit(0).cast("bigint").alias("bits"))
+    words = words.unionByName(every).groupBy("word").agg(F.bit_or("bits").alias("bits"))
+
+    def listed(rows: DataFrame, place: str, value: str) -> Column:
+        return F.transform(F.array_sort(F.collect_list(F.struct(place, value))), lambda x: x[value])
+
+    rows = words.withColumn("row", F.shiftright("word", ROW_BITS)).groupBy("row").agg(listed(words, "word", "bits").alias("words"))
+    return rows.agg(listed(rows, "row", "words").alias("rows")).scalar()
+
+
+def text_places(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(text, gram) of the n-grams of distinct texts, each once a text: those wanted (gram), and a few others."""
+    size = F.length("text")
+    places = texts.select("text", F.explode(F.sequence(F.lit(1), size)).alias("at")).select(
+        "text", "at", F.explode(F.array(*map(F.lit, SIZES))).alias("n")
+    ).filter(F.col("at") + F.col("n") - 1 <= size)
+    rows = places.select("text", "at", F.substring("text", F.col("at"), F.col("n")).alias("gram"))
+    word, place = _bit(F.col("gram"))
+    held = F.get(F.get(_bits(wanted), F.shiftright(word, ROW_BITS)), word.bitwiseAND(F.lit((1 << ROW_BITS) - 1)))
+    asked = F.call_function("shiftright", held, place).bitwiseAND(F.lit(1).cast("bigint")) == 1
+    return rows.filter(asked).filter(F.instr("text", F.col("gram")) == F.col("at")).select("text", "gram")
 
 
 def matches(df: DataFrame, searches: DataFrame, columns: Sequence[str], id_col: str = "id") -> DataFrame:
-    """(query_no, id) of all rows of df with a column that a search matches. searches(query_no, q); ids are unique."""
-    asked = _stored(prepare(searches), "searches")
+    """(query_no, id) of all rows of df with a column that a search matches. searches(query_no, q); ids are unique. Other
+    columns of searches are kept. Rows come dealt by id."""
+    asked = _stored(prepare(searches, sizes=SIZES), "searches")
+    kept = [c for c in asked.columns if c not in ("query_no", "pattern", "grams", "least_length")]
     each = asked.select("query_no", F.explode("grams").alias("gram"))
-    wanted = _stored(each.select("gram").distinct(), "wanted-grams")
-    postings = _stored(text_postings(df, id_col, columns, wanted), "postings")
-    counts = postings.groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
+    cells = df.select(F.col(id_col).alias("id"), F.explode(F.array_distinct(F.array(
+        *[F.lower(F.coalesce(F.col(c), F.lit(""))) for c in columns]
+    ))).alias("text")).filter(F.col("text") != "")
+    texts = _stored(cells.select("text").distinct(), "texts")
+    counts = text_places(texts, each).groupBy("gram").agg(F.count(F.lit(1)).alias("n"))
     # a search with a gram that no text has finds nothing
     rarest = each.join(counts, "gram", "left").groupBy("query_no").agg(
         F.min(F.struct(F.coalesce("n", F.lit(0)).alias("n"), "gram")).alias("best")
     ).filter(F.col("best.n") > 0).select("query_no", F.col("best.gram").alias("gram"))
-    chosen = _stored(rarest.join(asked.select("query_no", "pattern"), "query_no"), "chosen-grams")
-    proposed = postings.join(chosen, "gram").select("id", "query_no", "pattern")
-    rows = df.select(F.col(id_col).alias("id"), *[F.lower(c).alias(f"_{i}") for i, c in enumerate(columns)])
-    hit = reduce(lambda a, b: a | b, [F.coalesce(F.like(F.col(f"_{i}"), F.col("pattern")), F.lit(False)) for i in range(len(columns))])
-    found = proposed.join(rows, "id").filter(hit).select("query_no", "id")
-    return found.unionByName(_by_length(df, asked.filter(F.size("grams") == 0), columns, id_col))
+    chosen = _stored(rarest.join(asked.select("query_no", "pattern", *kept), "query_no"), "chosen-grams")
+    proposed = text_places(texts, chosen).join(chosen, "gram")
+    found = _stored(proposed.filter(F.like("text", F.col("pattern"))).select("text", "query_no", *kept), "found-texts")
+    # a row may hold two texts that a search matches
+    rows = cells.join(found, "text").select("query_no", "id", *kept).unionByName(
+        _by_length(df, asked.filter(F.size("grams") == 0).select("query_no", "pattern", "least_length", *kept), columns, id_col)
+    )
+    return rows.repartition("id").distinct()
 
 
 def _by_length(df: DataFrame, open_searches: DataFrame, columns: Sequence[str], id_col: str) -> DataFrame:
     """Matches of searches that ask for a length only; a blank search finds every row."""
-    asked = open_searches.select("query_no", F.when(F.col("pattern") == "%%", -1).otherwise(F.col("least_length")).cast("int").alias("at_least"))
-    lengths = asked.select("at_least").distinct()
+    asked = open_searches.withColumn(
+        "at_least", F.when(F.col("pattern") == "%%", -1).otherwise(F.col("least_length")).cast("int")
+    ).drop("pattern", "least_length")
     longest = F.coalesce(F.greatest(*[F.length(c) for c in columns], F.lit(None).cast("int")), F.lit(-1))
-    rows = df.select(F.col(id_col).alias("id"), F.explode(F.sequence(F.lit(-1), longest)).alias("at_least"))
-    return rows.join(lengths, "at_least", "left_semi").join(asked, "at_least").select("query_no", "id")
+    rows = df.select(F.col(id_col).alias("id"), longest.alias("longest"))
+    # the lengths that occur are few: what each of them answers is worked out once
+    answers = rows.select("longest").distinct().select(
+        "longest", F.explode(F.sequence(F.lit(-1), F.col("longest"))).alias("at_least")
+    ).join(asked, "at_least").drop("at_least")
+    return rows.join(_stored(answers, "lengths"), "longest").drop("longest")
 
 
 def report_list_searches(
@@ -122,21 +173,28 @@ def patient_searches(reports: DataFrame, searches: DataFrame) -> DataFrame:
         F.when(phone, digits_only(F.col("q"))).otherwise(F.col("q")).alias("q"),
     )
     found = matches(reports, asked, ("owner_phone", "patient_name", "pet_name"))
-    rows = found.join(asked.select("query_no", "phone"), "query_no").join(reports, "id").filter(
+    rows = found.join(reports, "id").filter(
         F.col("phone").isNull() | F.contains(digits_only(F.col("owner_phone")), F.col("phone"))
     )
     rows = rows.select(
         "query_no", owner_key(F.col("owner_phone"), F.col("patient_name")).alias("owner_key"),
         pet_key(F.col("pet_name"), F.col("id")).alias("pet_key"), *reports.columns,
     )
+    texts = ("patient_name", "owner_phone", "referring_vet")
+
+    def known(c: str) -> Column:
+        return F.when(F.nullif(c, F.lit("")).isNotNull(), F.struct("id", F.col(c).alias("text")))
+
+    # hits are read once: what an owner needs of them is kept with its pets
     newest = F.max_by(F.struct(*PET_FIELDS, "report_date"), "id")
-    pets = rows.groupBy("query_no", "owner_key", "pet_key").agg(newest.alias("_p"), F.max("id").alias("last_report_id"))
-    known = lambda c: F.max_by(F.nullif(c, F.lit("")), F.when(F.nullif(c, F.lit("")).isNotNull(), F.col("id")))
-    owners = rows.groupBy("query_no", "owner_key").agg(
-        *[F.coalesce(known(F.col(c)), F.lit("")).alias(c) for c in ("patient_name", "owner_phone", "referring_vet")],
-        F.max("id").alias("owner_last_report_id"),
+    pets = _stored(rows.groupBy("query_no", "owner_key", "pet_key").agg(
+        newest.alias("_p"), F.max("id").alias("last_report_id"), *[F.max(known(c)).alias(f"_{c}") for c in texts]
+    ), "found-pets")
+    owners = pets.groupBy("query_no", "owner_key").agg(
+        *[F.coalesce(F.max(f"_{c}")["text"], F.lit("")).alias(c) for c in texts],
+        F.max("last_report_id").alias("owner_last_report_id"),
     )
-    return pets.join(owners, ["query_no", "owner_key"]).select(
+    return pets.select("query_no", "owner_key", "pet_key", "_p", "last_report_id").join(owners, ["query_no", "owner_key"]).select(
         "query_no", "owner_key", "patient_name", "owner_phone", "referring_vet", "owner_last_report_id", "pet_key",
         *[F.coalesce(F.col(f"_p.{c}"), F.lit("")).alias(c) for c in PET_FIELDS],
         "last_report_id", F.col("_p.report_date").alias("last_report_date"),

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from assaybook.functions.text import like_any, like_pattern
 from assaybook.operators.lists import report_list, report_list_batch
 from assaybook.operators.newest import kth_largest, newest_rows
-from assaybook.operators.searches import matches, pattern_column, prepare, report_list_searches
+from assaybook.operators.searches import SIZES, matches, pattern_column, prepare, report_list_searches, text_places
 from workload.labviews import Lab
 
 ALPHABET = "abAB%_\\ é\n1"
@@ -109,3 +109,20 @@ def test_newest_rows(spark, n):
 def test_any_text_single(spark):
     df = spark.createDataFrame([("A%b",), ("ab",)], "a string")
     assert df.filter(like_any("a\\%", [F.col("a")])).count() == 1
+
+
+def test_candidates_are_few(spark):
+    # digits: by three characters each search would meet about one text in 70
+    df = spark.createDataFrame([(i, f"customer#{i * 7919 % 10**9:09d}") for i in range(3000)], "id long, a string")
+    asked = spark.createDataFrame([(i, f"#{i * 7919 % 10**9:09d}") for i in range(0, 3000, 3)] + [(9000 + i, f"mer%{i}7919") for i in range(10)], "query_no int, q string")
+    each = prepare(asked, sizes=SIZES).select("query_no", F.explode("grams").alias("gram"))
+    places = text_places(df.select(F.col("a").alias("text")), each).groupBy("gram").agg(F.count("*").alias("n"))
+    rarest = each.join(places, "gram", "left").groupBy("query_no").agg(F.min(F.coalesce("n", F.lit(0))).alias("n"))
+    assert rarest.agg(F.sum("n")).first()[0] < 3 * matches(df, asked, ["a"]).count()
+
+
+def test_no_place_is_lost(spark):
+    texts = spark.createDataFrame([("abcabc é",), ("xyz",)], "text string")
+    every = sorted({(t, t[i : i + n]) for t in ("abcabc é", "xyz") for n in SIZES for i in range(len(t) - n + 1)})
+    wanted = spark.createDataFrame([(g,) for _, g in every], "gram string")
+    assert sorted(map(tuple, text_places(texts, wanted).collect())) == every
