@@ -373,3 +373,22 @@ def test_missing_optional_tables(spark, lab, tmp_path):
     with pytest.raises(Exception):
         loaded["lab_report_panels"].count()
     assert empty_table(spark, "lab_report_forms").columns == loaded["lab_report_forms"].columns
+
+
+def test_preview_lines_are_dealt(spark):
+    """A panel that many drafts pick isn't one task's work; every draft meets each parameter once."""
+    panels = spark.createDataFrame([(1, "CBC", "Blood", None, 1, 1, None)], TABLES["lab_test_panels"])
+    params = spark.range(1, 41).select(
+        "id", F.lit(1).cast("bigint").alias("panel_id"), F.concat(F.lit("P"), "id").alias("code"), F.lit("n").alias("name"), F.lit("").alias("unit"),
+        F.lit("1 - 5").alias("reference_range_dog"), F.lit("").alias("reference_range_cat"), F.lit("2 - 3").alias("reference_range"),
+        F.lit(0).alias("display_order"), F.lit(1).alias("is_active"),
+    )
+    drafts = spark.range(500).select(
+        F.col("id").alias("draft_id"), F.when(F.col("id") % 2 == 0, "cat").otherwise("dog").alias("species"),
+        F.array(F.lit("1"), F.lit(" 1")).alias("panel_ids"), F.lit(None).cast("array<string>").alias("included_parameter_ids"),
+        F.lit(None).cast("array<string>").alias("parameter_ids_snapshot"), F.create_map(F.lit("7"), F.lit("4")).alias("results"),
+    )
+    lines = preview_lines(drafts, panels.coalesce(1), params.coalesce(1))
+    parts = lines.groupBy(F.spark_partition_id()).count().count()
+    got = lines.agg(F.count("*"), F.countDistinct("draft_id", "parameter_id"), F.sum(F.col("result_out").cast("int"))).first()
+    assert tuple(got) == (20000, 20000, 250) and parts > 1
