@@ -166,7 +166,7 @@ def update_partitioned(spark: SparkSession, path: str, payloads: DataFrame, as_o
     bodies = stored(payloads, "bodies")
     asked = touched(bodies.select(to_id(F.col("report_id").cast("string")).alias("id")), "id", count)
     known = load_partitioned(spark, path, dict.fromkeys(KEYS, asked))
-    good, rejects = accept_updates(known, bodies, as_of)
+    good, rejects = accept_updates(known, bodies, as_of, stored)
     good, rejects = stored(good, "accepted"), stored(rejects, "rejects")
     hit = touched(good, "report_id", count)
     buckets = dict.fromkeys(OF_REPORTS, hit)

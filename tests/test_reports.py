@@ -392,3 +392,17 @@ def test_preview_lines_are_dealt(spark):
     parts = lines.groupBy(F.spark_partition_id()).count().count()
     got = lines.agg(F.count("*"), F.countDistinct("draft_id", "parameter_id"), F.sum(F.col("result_out").cast("int"))).first()
     assert tuple(got) == (20000, 20000, 250) and parts > 1
+
+
+def test_checked_bodies_travel_once(spark, sf):
+    """With a store the few faulty bodies are known first, and whole bodies meet them where they are read."""
+    from assaybook.session import stored
+    from workload.labviews import AS_OF, Lab
+
+    lab = Lab(spark, sf)
+    for accept in (intake.accept_creates, intake.accept_updates):
+        good, rejects = accept(lab.tables, lab.payloads, AS_OF)
+        kept, refused = accept(lab.tables, lab.payloads, AS_OF, store=stored)
+        assert rows(refused, "seq", "reject_reason") == rows(rejects, "seq", "reject_reason")
+        assert rows(kept, "seq", "report_id", "_panels", "_forms") == rows(good, "seq", "report_id", "_panels", "_forms")
+        assert "hashpartitioning(seq" not in kept._jdf.queryExecution().executedPlan().toString()
