@@ -406,3 +406,19 @@ def test_checked_bodies_travel_once(spark, sf):
         assert rows(refused, "seq", "reject_reason") == rows(rejects, "seq", "reject_reason")
         assert rows(kept, "seq", "report_id", "_panels", "_forms") == rows(good, "seq", "report_id", "_panels", "_forms")
         assert "hashpartitioning(seq" not in kept._jdf.queryExecution().executedPlan().toString()
+
+
+def test_bodies_are_read_once(spark, sf):
+    from assaybook.session import stored
+    from workload.labviews import AS_OF, Lab
+
+    lab, frames = Lab(spark, sf), {}
+
+    def keep(df, name):
+        frames[name] = df._jdf.queryExecution().executedPlan().toString()
+        return stored(df, name)
+
+    for accept in (intake.accept_creates, intake.accept_updates):
+        kept, _ = accept(lab.tables, lab.payloads, AS_OF, store=keep)
+        # after the first look at the bodies only the stored ones are read
+        assert "read-" in frames["missing-parents"] and "customer.parquet" not in frames["missing-parents"]
