@@ -30,20 +30,20 @@ def _span() -> Column:
     return F.shiftright("id", SPAN_BITS).alias("span")
 
 
-def owner_states(reports: DataFrame) -> DataFrame:
-    """One state per owner and span of ids."""
+def owner_states(keyed: DataFrame) -> DataFrame:
+    """One state per owner and span of ids, of reports with their keys."""
     def newest(c: str) -> Column:
         text = or_null(F.col(c))
         return F.max(F.when(text.isNotNull(), F.struct("id", text.alias("text")))).alias(c)
 
-    return _keyed(reports).groupBy("owner_key", _span()).agg(
+    return keyed.groupBy("owner_key", _span()).agg(
         *[newest(c) for c in OWNER_TEXTS], F.max("id").alias("last_report_id"), F.count(F.lit(1)).alias("reports")
     )
 
 
-def pet_states(reports: DataFrame) -> DataFrame:
-    """One state per owner, pet and span of ids."""
-    return _keyed(reports).groupBy("owner_key", "pet_key", _span()).agg(F.max(F.struct("id", *PET_FIELDS, "report_date")).alias("newest"))
+def pet_states(keyed: DataFrame) -> DataFrame:
+    """One state per owner, pet and span of ids, of reports with their keys."""
+    return keyed.groupBy("owner_key", "pet_key", _span()).agg(F.max(F.struct("id", *PET_FIELDS, "report_date")).alias("newest"))
 
 
 def _merged_owners(states: DataFrame, *key: str) -> DataFrame:
@@ -105,12 +105,15 @@ class ReportDirectory:
             overwrite_buckets(self.spark.read.schema(f"{ddl}, bucket INT").parquet(f"{stage}/{kind}"), f"{self.path}/{kind}", numbers)
 
     def add(self, reports: DataFrame, name: str) -> None:
-        """Merges the states of new reports in. name: of this change, never used for another one."""
+        """Merges the states of new reports in. name: of this change, never used for another one. The reports are read once:
+        both kinds of states and the partitions come from a stored copy with their keys."""
+        arrived = self._stored(_keyed(reports), f"{self.path}/_changes/{name}/reports")
+
         def change(kind: str, old: DataFrame) -> DataFrame:
             _, states, merged, key = KINDS[kind]
-            return merged(old.unionByName(states(reports)), *key)
+            return merged(old.unionByName(states(arrived)), *key)
 
-        self._replace(name, _keyed(reports).select("owner_key"), change)
+        self._replace(name, arrived.select("owner_key"), change)
 
     def remove(self, removed: DataFrame, left: DataFrame, name: str) -> None:
         """Takes reports out: removed holds them, left all reports that stay. Of these, only those of the same owners and
@@ -122,9 +125,10 @@ class ReportDirectory:
             return
         # whole spans, so that the bounds reach the scan
         near = left.filter((F.col("id") >= ends["a"] << SPAN_BITS) & (F.col("id") < (ends["z"] + 1) << SPAN_BITS))
-        names = near.columns
-        keyed = _keyed(near).select("id", "owner_key", _span())
-        again = near.join(keyed.join(pairs, ["owner_key", "span"], "left_semi").select("id"), "id", "left_semi").select(*names)
+        again = self._stored(
+            _keyed(near).withColumn("span", _span()).join(pairs, ["owner_key", "span"], "left_semi").drop("span"),
+            f"{self.path}/_changes/{name}/reports",
+        )
 
         def change(kind: str, old: DataFrame) -> DataFrame:
             kept = old.join(pairs, ["owner_key", "span"], "left_anti")

@@ -68,3 +68,18 @@ def test_other_partitions_stay(spark, tmp_path):
     touched = {f.split("/")[1] for f in before - files(place)}
     assert len(touched) == 1
     same(directory, many.unionByName(one))
+
+
+def test_reports_are_read_once(spark, tmp_path):
+    directory = ReportDirectory(spark, f"{tmp_path}/d", buckets=4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    reports = made(spark, random.Random(1), range(1, 41))
+    directory.add(reports.mapInArrow(counted, reports.schema), "a")
+    assert seen.value == 40
+    same(directory, reports)
