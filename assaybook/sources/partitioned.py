@@ -117,13 +117,21 @@ def replace_partitions(spark: SparkSession, path: str, stage: str, buckets: Mapp
         overwrite_buckets(rows, f"{path}/{name}", numbers)
 
 
+def _lie_together(rows: DataFrame, numbers: Iterable[int]) -> bool:
+    """Do stored files hold few buckets each, so that moving them as they lie writes hardly more files than there are?"""
+    pairs = rows.select(F.input_file_name().alias("f"), "bucket").distinct()
+    found = pairs.agg(F.count(F.lit(1)).alias("pairs"), F.countDistinct("f").alias("files")).first()
+    return found["pairs"] <= 2 * found["files"] + len(list(numbers))
+
+
 def overwrite_buckets(rows: DataFrame | None, target: str, numbers: Iterable[int]) -> None:
     """Replaces the numbered partitions of a table by rows, which have a column bucket. A partition that gets none keeps one row
     of nulls, which readers drop: overwriting leaves a partition alone that gets no row."""
     if not numbers:
         return
     blank = rows.sparkSession.createDataFrame([(b,) for b in numbers], "bucket INT")
-    _rebalanced(rows.unionByName(blank, allowMissingColumns=True)).write.mode("overwrite").option(
+    whole = rows.unionByName(blank, allowMissingColumns=True)
+    (whole if _lie_together(rows, numbers) else _rebalanced(whole)).write.mode("overwrite").option(
         "partitionOverwriteMode", "dynamic"
     ).partitionBy("bucket").parquet(target)
 
@@ -185,10 +193,14 @@ def _image_buckets(spark: SparkSession, path: str, requests: DataFrame, count: i
 
 
 def delete_partitioned(spark: SparkSession, path: str, ids: DataFrame) -> None:
-    """delete_reports on tables saved by save_partitioned: ids(report_id)."""
+    """delete_reports on tables saved by save_partitioned: ids(report_id). They are stored first: every table meets the same
+    few numbers, whatever they are worked out from."""
     count, _ = layout(spark, path)
+    place = f"{path}/_changes/{uuid.uuid4().hex}/ids"
+    ids.select(F.col("report_id").cast("bigint").alias("report_id")).distinct().write.parquet(place)
+    ids = spark.read.schema("report_id BIGINT").parquet(place)
     hit = touched(ids, "report_id", count)
     images = read_partitions(spark, path, "lab_report_images").select("id", "report_id")
-    owned = images.join(ids.select("report_id").distinct(), "report_id", "left_semi")
+    owned = images.join(ids, "report_id", "left_semi")
     buckets = dict.fromkeys(OF_REPORTS, hit) | {"lab_report_images": touched(owned, "id", count)}
     change_partitions(spark, path, buckets, lambda tables: delete_reports(tables, ids))

@@ -103,3 +103,28 @@ def test_nothing_to_change(spark, lab, tmp_path):
     assert {n: files(path, n) for n in KEYS} == before
 
 
+def test_deletes_work_their_ids_out_once(spark, lab, tmp_path):
+    path = f"{tmp_path}/lab"
+    save_partitioned(lab.tables, path, buckets=4)
+    seen = spark.sparkContext.accumulator(0)
+
+    def counted(batches):
+        for b in batches:
+            seen.add(b.num_rows)
+            yield b
+
+    gone = lab.reports.filter("id % 50 = 3").select(F.col("id").alias("report_id"))
+    delete_partitioned(spark, path, gone.mapInArrow(counted, "report_id BIGINT"))
+    assert seen.value == gone.count() > 0
+
+
+def test_files_of_few_buckets_move_without_a_shuffle(spark, tmp_path):
+    rows_ = spark.range(4000).withColumn("bucket", bucket(F.col("id"), 40))
+    rows_.repartition(40, "bucket").write.parquet(f"{tmp_path}/apart")
+    rows_.repartition(40).write.parquet(f"{tmp_path}/mixed")
+    for name, want in (("apart", True), ("mixed", False)):
+        stage = spark.read.parquet(f"{tmp_path}/{name}")
+        assert partitioned._lie_together(stage, range(40)) is want
+        partitioned.overwrite_buckets(stage, f"{tmp_path}/out-{name}", range(40))
+        out = spark.read.parquet(f"{tmp_path}/out-{name}").filter("id is not null")
+        assert rows(out.select("id", "bucket")) == rows(rows_)
