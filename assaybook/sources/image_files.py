@@ -58,11 +58,13 @@ def file_manifest(spark: SparkSession, path: str, max_bytes: int | None = None)
     wrong_content (its first bytes don't fit its name)."""
     images = _read(spark, path, IMAGE_NAMES)
     fit = images if max_bytes is None else images.filter(F.col("length") <= max_bytes)
-    opened = fit.select("path", looks_like(F.col("path"), F.col("content")).alias("fits"))
+    wrong = F.when(~looks_like(F.col("path"), F.col("content")), "wrong_content")
+    opened = fit.select(_name(), F.col("length").alias("bytes"), wrong.alias("reject_reason"))
+    # the rest is refused unopened; no file is in both, so nothing has to be joined
     named = F.lower("stored_name").rlike(r"\.(" + "|".join(BEGINNINGS) + r")\z")
     reason = F.when(~named, "not_an_image")
     if max_bytes is not None:
         reason = reason.when(F.col("bytes") > max_bytes, "too_large")
-    reason = reason.when(~F.col("fits"), "wrong_content")
-    rows = list_files(spark, path).join(opened, "path", "left")
-    return rows.select("stored_name", "bytes", reason.isNull().alias("accepted"), reason.alias("reject_reason"))
+    shut = list_files(spark, path).select("stored_name", "bytes", reason.alias("reject_reason")).filter(F.col("reject_reason").isNotNull())
+    rows = opened.unionByName(shut)
+    return rows.select("stored_name", "bytes", F.col("reject_reason").isNull().alias("accepted"), "reject_reason")

@@ -51,3 +51,8 @@ def test_listing_opens_nothing(spark, folder):
 
 def test_patterns():
     assert "[jJ][pP][gG]" in image_files.IMAGE_NAMES
+
+
+def test_manifest_joins_nothing(spark, folder):
+    plan = scans(file_manifest(spark, folder, 1000))
+    assert "Join" not in plan and "Exchange" not in plan
