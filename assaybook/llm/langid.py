@@ -11,6 +11,10 @@ learned: TOTAL_ROWS texts of all languages are shared out evenly where SAMPLE_RO
 TOTAL_ROWS * WINDOWS_OF_ROW * WINDOW bytes go to the driver (and one text of each language at least).
 The result depends on the rows alone: weights start from a fixed seed.
 
+With `noise` the model also learns what is no language, as the label `und`: windows of the sample with their bytes
+in random order, or with random letters, as many as of a language on average. A closed choice can't tell this by its score: random
+letters score 0.3 to 0.7, as short texts do.
+
 Defined cases: a null text, or one without any letter, is `und` with score 0, as is every text when nothing
 could be learned. Rows with a null language are never learned from. Ties go to the first language by name.
 Repeated rows give repeated results; an empty table gives an empty result.
@@ -33,6 +37,8 @@ WINDOW = 128
 WIDTHS, FILTERS, DIM = (2, 3, 4), 16, 8
 SAMPLE_ROWS, WINDOWS_OF_ROW, TOTAL_ROWS = 1200, 6, 240_000
 UND = "und"
+#: A shorter text with a letter is never taken for noise: less than a full window is too little to tell.
+SURE_BYTES = WINDOW
 _LETTERS = np.zeros(256, dtype=bool)
 _LETTERS[65:91] = _LETTERS[97:123] = True
 
@@ -144,8 +150,24 @@ def windows(data: np.ndarray, borders: np.ndarray) -> tuple[np.ndarray, np.ndarr
     return np.where(inside, LOWER[data[np.minimum(place, len(data) - 1)]], 0).astype(np.uint8), row, used
 
 
-def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", only: Column | None = None) -> Model | None:
-    """A model of the languages of docs, or of the rows for which `only` holds; None if no row can be learned from."""
+def scrambled(x: np.ndarray) -> np.ndarray:
+    """Windows without a language: every other one with its bytes in random order, the rest with random letters for a-z."""
+    rng, out = np.random.default_rng(11), x.copy()
+    for i, row in enumerate(out):
+        used = row[: np.count_nonzero(row)]
+        if i % 2:
+            used[:] = rng.permutation(used)
+        else:
+            letters = np.flatnonzero((used >= 97) & (used < 123))
+            used[letters] = rng.integers(97, 123, len(letters))
+    return out
+
+
+def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", only: Column | None = None, noise: bool = False) -> Model | None:
+    """A model of the languages of docs, or of the rows for which `only` holds; None if no row can be learned from.
+
+    With `noise` also of what is no language (UND).
+    """
     rows = docs.select(F.col(lang_col).cast("string").alias("lang"), F.col(text_col).alias("text"), (F.lit(True) if only is None else only).alias("use"))
     rows = rows.filter("use and lang is not null and length(text) > 0").drop("use")
     keyed = rows.withColumn("h", F.xxhash64("text"))
@@ -172,7 +194,12 @@ def fit(docs: DataFrame, text_col: str = "text", lang_col: str = "lang", only: C
     number = {name: i for i, name in enumerate(names)}
     pairs = sorted((b, number[x]) for b, x in zip(got.column("bytes").to_pylist(), got.column("lang").to_pylist(), strict=True) if x in number)
     x = np.frombuffer(b"".join(b for b, _ in pairs), dtype=np.uint8).reshape(-1, WINDOW)
-    return train(x, np.array([n for _, n in pairs]), names)
+    y = np.array([n for _, n in pairs])
+    if noise:
+        bad = scrambled(x[:: len(names)])
+        names = names if UND in names else [*names, UND]
+        x, y = np.concatenate([x, bad]), np.concatenate([y, np.full(len(bad), names.index(UND))])
+    return train(x, y, names)
 
 
 def predict(df: DataFrame, model: Model | None, text_col: str = "text") -> DataFrame:
@@ -217,7 +244,9 @@ def fold(id_col: str = "doc_id") -> Column:
 def identify(df: DataFrame, model: Model | None, text_col: str = "text", margin: float = 0.001) -> DataFrame:
     """df without the rows that have no language: `und`, or a score that is no better than a blind guess.
 
-    A blind guess among L languages scores 1/L; a text must exceed it by `margin` of what is left up to 1.
+    A blind guess among L languages scores 1/L; a text must exceed it by `margin` of what is left up to 1. This finds
+    only texts of which the model knows nothing; noise, and languages that were not learned, go as `und` with a model that was fitted
+    with `noise`. There a text with a letter and fewer than SURE_BYTES bytes stays.
 
     Without a model only texts without a letter go: that nothing could be learned says nothing about a text.
     """
@@ -227,4 +256,5 @@ def identify(df: DataFrame, model: Model | None, text_col: str = "text", margin:
     pred, score = told.columns[-2:]
     blind = 1 / len(model.languages)
     min_score = blind + margin * (1 - blind)
-    return told.filter((F.col(pred) != UND) & (F.col(score) >= min_score)).select(*df.columns)
+    short = (F.col(score) > 0) & (F.octet_length(F.col(text_col)) < SURE_BYTES)
+    return told.filter(((F.col(pred) != UND) | short) & (F.col(score) >= min_score)).select(*df.columns)

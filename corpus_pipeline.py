@@ -16,11 +16,11 @@ from assaybook.session import tune
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows without a language go: no letters, or a best guess that is hardly better than chance.
+    """Rows without a language go: no letters, noise, or a best guess that is hardly better than chance.
 
-    The model learns from the rows that have a language (a bounded sample, see langid).
+    The model learns from the rows that have a language (a bounded sample, see langid), and from their scrambled texts what is none.
     """
-    return langid.identify(docs, langid.fit(docs))
+    return langid.identify(docs, langid.fit(docs, noise=True))
 
 
 def exact(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -1,7 +1,9 @@
 """Language identification: held-out accuracy, gradients, defined cases."""
 
+import base64
 import zlib
 
+import corpus_pipeline
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import functions as F
@@ -86,3 +88,16 @@ def test_threshold_follows_the_number_of_languages(spark):
             model.out[:], model.out_bias[:] = 0, 0
             model.out_bias[0] = weight
             assert [r.doc_id for r in langid.identify(df, model).collect()] == kept
+
+
+def test_noise_has_no_language(spark, sf):
+    """Random letters, base64 and a script that was never learned go; every given document, whatever its length, stays."""
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    rng = np.random.default_rng(5)
+    noise = [" ".join("".join(rng.choice(list("abcdefghijklmnopqrstuvwxyz"), rng.integers(2, 9))) for _ in range(n)) for n in (60, 400)]
+    noise += [base64.b64encode(rng.bytes(n)).decode() for n in (200, 1500)]
+    noise += ["".join(chr(0x4E00 + i) for i in rng.integers(0, 3000, n)) for n in (300, 900)]
+    odd = spark.createDataFrame([(90_000 + i, t, None, "s", len(t)) for i, t in enumerate([*noise, "The end.", "All rights reserved."])], docs.schema)
+    kept = corpus_pipeline.language(spark, docs.unionByName(odd), sf)
+    want = [r.doc_id for r in docs.collect()] + [90_000 + len(noise), 90_001 + len(noise)]
+    assert sorted(r.doc_id for r in kept.collect()) == sorted(want)
