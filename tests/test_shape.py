@@ -92,3 +92,19 @@ def test_equal_filters_reach_the_parquet_reader(spark, tmp_path):
     new = stored.select(stored.id.alias("seq"))
     plan = numbering.assign_report_no(new, stored, 2026)._jdf.queryExecution().executedPlan().toString()
     assert "StringStartsWith(report_no,PZ-2026-)" in plan
+
+
+def test_task_sizes_are_bounded(spark, sf):
+    """Splits of files and merged shuffle partitions are set to what a task holds; smaller settings stay."""
+    from assaybook.session import TASK_BYTES, tune
+
+    saved = {key: spark.conf.get(key) for key in TASK_BYTES}
+    try:
+        for size, want in (("128MB", list(TASK_BYTES.values())), ("1g", list(TASK_BYTES.values())), ("8m", ["8m"] * 2), ("65536b", ["65536b"] * 2)):
+            for key in TASK_BYTES:
+                spark.conf.set(key, size)
+            QUERIES["page_plan"](spark, sf)
+            assert [spark.conf.get(key) for key in TASK_BYTES] == [str(v) for v in want]
+    finally:
+        for key, size in saved.items():
+            spark.conf.set(key, size)
