@@ -150,17 +150,52 @@ def _by_length(df: DataFrame, open_searches: DataFrame, columns: Sequence[str],
     return rows.join(_stored(answers, "lengths"), "longest").drop("longest")
 
 
+def _questions(searches: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(what is asked, each once, with a number of its own as query_no; who asks for it: query_no, question, alone). alone is
+    false where a query_no comes with several texts. searches(query_no, q) may repeat; other columns belong to the text."""
+    kept = [c for c in searches.columns if c not in ("query_no", "q")]
+    said = searches.select("query_no", F.lower(trim(F.coalesce(F.col("q"), F.lit("")))).alias("q"), *kept).distinct()
+    said = _stored(said.withColumn("alone", F.count(F.lit(1)).over(Window.partitionBy("query_no")) == 1), "said")
+    asked = said.select("q", *kept).distinct().withColumn("question", F.monotonically_increasing_id())
+    # numbers are fixed once they are stored
+    asked = _stored(asked, "questions")
+    same = reduce(Column.__and__, [said[c].eqNullSafe(asked[c]) for c in ("q", *kept)])
+    askers = said.join(asked, same).select(said["query_no"], "question", "alone")
+    return asked.withColumnRenamed("question", "query_no"), _stored(askers, "askers")
+
+
+def _any_shared(askers: DataFrame) -> bool:
+    """Does a query_no come with several texts?"""
+    return not askers.filter(~F.col("alone")).isEmpty()
+
+
 def report_list_searches(
     reports: DataFrame, searches: DataFrame, limit: str | int | None = None
 ) -> DataFrame:
     """report_list for searches(query_no, q) as rows: every match, or the newest `limit` of each with its position."""
     n = list_limit(limit)
-    found = matches(reports, searches, SEARCHED)
-    if n is not None:
-        newest = Window.partitionBy("query_no").orderBy(F.desc("id"))
-        found = found.withColumn("position", F.row_number().over(newest)).filter(F.col("position") <= n)
-    extra = [] if n is None else ["position"]
-    return found.join(reports.select(*LIST_COLUMNS), "id").select(*LIST_COLUMNS, "query_no", *extra)
+    questions, askers = _questions(searches)
+    found = matches(reports, questions, SEARCHED).withColumnRenamed("query_no", "question")
+    listed = reports.select(*LIST_COLUMNS)
+    one, shared = askers.filter("alone").drop("alone"), askers.filter(~F.col("alone")).drop("alone")
+    if n is None:
+        # the answers to a search are as many as its askers times its reports: that product travels no more
+        rows = found.join(listed, "id").join(one, "question").select(*LIST_COLUMNS, "query_no")
+        if _any_shared(askers):
+            ids = found.join(shared, "question").select("query_no", "id").distinct()
+            rows = rows.unionByName(ids.join(listed, "id").select(*LIST_COLUMNS, "query_no"))
+        return rows
+
+    def newest(rows: DataFrame, key: str) -> DataFrame:
+        place = F.row_number().over(Window.partitionBy(key).orderBy(F.desc("id")))
+        return rows.withColumn("position", place).filter(F.col("position") <= n)
+
+    top = newest(found.select("question", "id"), "question")
+    rows = top.join(one, "question").select("query_no", "id", "position")
+    if _any_shared(askers):
+        ids = top.join(shared, "question").select("query_no", "id").distinct()
+        rows = rows.unionByName(newest(ids, "query_no"))
+    return rows.join(listed, "id").select(*LIST_COLUMNS, "query_no", "position")
 
 
 def patient_searches(reports: DataFrame, searches: DataFrame) -> DataFrame:

@@ -12,6 +12,7 @@ from assaybook.functions.text import like_any, like_pattern
 from assaybook.operators.lists import report_list, report_list_batch
 from assaybook.operators.newest import kth_largest, newest_rows
 from assaybook.operators.searches import SIZES, matches, pattern_column, prepare, report_list_searches, text_places
+from assaybook.schemas import conform
 from workload.labviews import Lab
 
 ALPHABET = "abAB%_\\ é\n1"
@@ -126,3 +127,35 @@ def test_no_place_is_lost(spark):
     every = sorted({(t, t[i : i + n]) for t in ("abcabc é", "xyz") for n in SIZES for i in range(len(t) - n + 1)})
     wanted = spark.createDataFrame([(g,) for _, g in every], "gram string")
     assert sorted(map(tuple, text_places(texts, wanted).collect())) == every
+
+
+def _texts_asked_often(spark):
+    pets = ["Rex", " rex ", "MILO", "", None]
+    rows = [(i, f"PZ-2026-{i}", f"Customer#{i % 23:09d}", pets[i % 5], f"0301 {i % 23}") for i in range(1, 121)]
+    reports = conform(spark.createDataFrame(rows, "id long, report_no string, patient_name string, pet_name string, owner_phone string"), "lab_reports")
+    # the same text from many, a query_no with two texts, one that comes twice
+    asked = [(i, "Rex" if i % 2 else " rex") for i in range(40)] + [(100, "Milo"), (100, "Customer#00000002"), (101, "ex"), (101, "ex"), (102, "")]
+    return reports, spark.createDataFrame(asked, "query_no int, q string")
+
+
+def test_equal_searches_are_worked_out_once(spark):
+    reports, asked = _texts_asked_often(spark)
+    found = report_list_searches(reports, asked)
+    hits = {n: {r.id for r in report_list(reports, q).select("id").collect()} for n, q in ((1, "rex"), (2, "Milo"), (3, "Customer#00000002"), (4, "ex"))}
+    got = [(r.query_no, r.id) for r in found.select("query_no", "id").collect()]
+    assert len(got) == len(set(got))
+    for n, want in ((0, hits[1]), (39, hits[1]), (100, hits[2] | hits[3]), (101, hits[4])):
+        assert {i for q, i in got if q == n} == want
+    assert sum(q == 102 for q, _ in got) == reports.count()
+    top = report_list_searches(reports, asked, 3).select("query_no", "id", "position").collect()
+    for n, want in ((5, hits[1]), (100, hits[2] | hits[3])):
+        assert sorted((r.position, r.id) for r in top if r.query_no == n) == list(enumerate(sorted(want, reverse=True)[:3], 1))
+
+
+def test_answers_to_equal_searches_dont_travel(spark):
+    reports, asked = _texts_asked_often(spark)
+    text = plan(report_list_searches(reports, asked.filter("query_no <> 100")).select("query_no", "id"))
+    # the last join multiplies a text's reports by those who ask for it: nothing is dealt out after it
+    assert re.search(r"Join \[question", text.split("Exchange")[0])
+    ranked = plan(report_list_searches(reports, asked.filter("query_no <> 100"), 3))
+    assert re.search(r"WindowGroupLimit \[question.*Partial", ranked)
