@@ -198,21 +198,13 @@ def report_list_searches(
     return rows.join(listed, "id").select(*LIST_COLUMNS, "query_no", "position")
 
 
-def patient_searches(reports: DataFrame, searches: DataFrame) -> DataFrame:
-    """patient_search for searches(query_no, q) as rows: + query_no. A search with seven digits or more looks for them
-    among phone numbers; a blank one finds nothing."""
-    q = trim(F.coalesce(F.col("q"), F.lit("")))
-    phone = is_phone_query(q)
-    asked = searches.select("query_no", q.alias("q")).filter(F.col("q") != "").select(
-        "query_no", F.when(is_phone_query(F.col("q")), digits_only(F.col("q"))).alias("phone"),
-        F.when(phone, digits_only(F.col("q"))).otherwise(F.col("q")).alias("q"),
-    )
-    found = matches(reports, asked, ("owner_phone", "patient_name", "pet_name"))
+def _found_directory(found: DataFrame, reports: DataFrame, key: str) -> DataFrame:
+    """Owners and pets of found(key, id, phone), one row per pet."""
     rows = found.join(reports, "id").filter(
         F.col("phone").isNull() | F.contains(digits_only(F.col("owner_phone")), F.col("phone"))
     )
     rows = rows.select(
-        "query_no", owner_key(F.col("owner_phone"), F.col("patient_name")).alias("owner_key"),
+        key, owner_key(F.col("owner_phone"), F.col("patient_name")).alias("owner_key"),
         pet_key(F.col("pet_name"), F.col("id")).alias("pet_key"), *reports.columns,
     )
     texts = ("patient_name", "owner_phone", "referring_vet")
@@ -222,15 +214,37 @@ def patient_searches(reports: DataFrame, searches: DataFrame) -> DataFrame:
 
     # hits are read once: what an owner needs of them is kept with its pets
     newest = F.max_by(F.struct(*PET_FIELDS, "report_date"), "id")
-    pets = _stored(rows.groupBy("query_no", "owner_key", "pet_key").agg(
+    pets = _stored(rows.groupBy(key, "owner_key", "pet_key").agg(
         newest.alias("_p"), F.max("id").alias("last_report_id"), *[F.max(known(c)).alias(f"_{c}") for c in texts]
     ), "found-pets")
-    owners = pets.groupBy("query_no", "owner_key").agg(
+    owners = pets.groupBy(key, "owner_key").agg(
         *[F.coalesce(F.max(f"_{c}")["text"], F.lit("")).alias(c) for c in texts],
         F.max("last_report_id").alias("owner_last_report_id"),
     )
-    return pets.select("query_no", "owner_key", "pet_key", "_p", "last_report_id").join(owners, ["query_no", "owner_key"]).select(
-        "query_no", "owner_key", "patient_name", "owner_phone", "referring_vet", "owner_last_report_id", "pet_key",
+    return pets.select(key, "owner_key", "pet_key", "_p", "last_report_id").join(owners, [key, "owner_key"]).select(
+        key, "owner_key", "patient_name", "owner_phone", "referring_vet", "owner_last_report_id", "pet_key",
         *[F.coalesce(F.col(f"_p.{c}"), F.lit("")).alias(c) for c in PET_FIELDS],
         "last_report_id", F.col("_p.report_date").alias("last_report_date"),
     )
+
+
+def patient_searches(reports: DataFrame, searches: DataFrame) -> DataFrame:
+    """patient_search for searches(query_no, q) as rows: + query_no. A search with seven digits or more looks for them
+    among phone numbers; a blank one finds nothing."""
+    q = trim(F.coalesce(F.col("q"), F.lit("")))
+    phone = is_phone_query(q)
+    asked = searches.select("query_no", q.alias("q")).filter(F.col("q") != "").select(
+        "query_no", F.when(is_phone_query(F.col("q")), digits_only(F.col("q"))).alias("phone"),
+        F.when(phone, digits_only(F.col("q"))).otherwise(F.col("q")).alias("q"),
+    )
+    questions, askers = _questions(asked)
+    found = matches(reports, questions, ("owner_phone", "patient_name", "pet_name")).withColumnRenamed("query_no", "question")
+    one, shared = askers.filter("alone").drop("alone"), askers.filter(~F.col("alone")).drop("alone")
+    # a search is answered once, whoever asks for it
+    answers = _found_directory(found, reports, "question")
+    columns = ["query_no", *[c for c in answers.columns if c != "question"]]
+    rows = answers.join(one, "question").select(*columns)
+    if _any_shared(askers):
+        ids = found.join(shared, "question").select("query_no", "id", "phone").distinct()
+        rows = rows.unionByName(_found_directory(ids, reports, "query_no"))
+    return rows

@@ -8,10 +8,10 @@ from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
-from assaybook.functions.text import like_any, like_pattern
+from assaybook.functions.text import digits_only, like_any, like_pattern, owner_key, pet_key
 from assaybook.operators.lists import report_list, report_list_batch
 from assaybook.operators.newest import kth_largest, newest_rows
-from assaybook.operators.searches import SIZES, matches, pattern_column, prepare, report_list_searches, text_places
+from assaybook.operators.searches import SIZES, matches, patient_searches, pattern_column, prepare, report_list_searches, text_places
 from assaybook.schemas import conform
 from workload.labviews import Lab
 
@@ -159,3 +159,29 @@ def test_answers_to_equal_searches_dont_travel(spark):
     assert re.search(r"Join \[question", text.split("Exchange")[0])
     ranked = plan(report_list_searches(reports, asked.filter("query_no <> 100"), 3))
     assert re.search(r"WindowGroupLimit \[question.*Partial", ranked)
+
+
+def test_patients_found_often_are_worked_out_once(spark):
+    reports, asked = _texts_asked_often(spark)
+    more = asked.union(spark.createDataFrame([(200, "0301 00"), (200, "milo"), (201, "030 119"), (202, None)], asked.schema))
+    got = [tuple(r) for r in patient_searches(reports, more).collect()]
+    assert len(got) == len(set(got)) and not {102, 202} & {r[0] for r in got}
+
+    def want(n, *qs):  # newest hit of each pet of each owner, hits of any of the texts
+        hits = {(r.id, r.owner_key, r.pet_key) for q in qs for r in _patients(reports, q)}
+        return {(n, o, p, max(i for i, *key in hits if key == [o, p])) for _, o, p in hits}
+
+    for n, qs in ((0, ["rex"]), (39, ["rex"]), (100, ["Milo", "Customer#00000002"]), (101, ["ex"]), (200, ["0301 00", "milo"]), (201, ["030 119"])):
+        found = {(r[0], r[1], r[6], r[12]) for r in got if r[0] == n}
+        assert found == want(n, *qs) and (found or n in (200, 201))
+    text = plan(patient_searches(reports, asked.filter("query_no <> 100")))
+    assert re.search(r"Join \[question", text.split("Exchange")[0])
+
+
+def _patients(reports, q):
+    digits = re.sub("[^0-9]", "", q)
+    phone = digits if len(digits) >= 7 else None
+    rows = reports.filter(like_any(phone or q, [F.col(c) for c in ("owner_phone", "patient_name", "pet_name")]))
+    if phone:
+        rows = rows.filter(F.contains(digits_only(F.col("owner_phone")), F.lit(phone)))
+    return rows.select("id", owner_key(F.col("owner_phone"), F.col("patient_name")).alias("owner_key"), pet_key(F.col("pet_name"), F.col("id")).alias("pet_key")).collect()
