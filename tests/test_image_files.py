@@ -56,3 +56,30 @@ def test_patterns():
 def test_manifest_joins_nothing(spark, folder):
     plan = scans(file_manifest(spark, folder, 1000))
     assert "Join" not in plan and "Exchange" not in plan
+
+
+def test_tasks_list_the_folder(spark, folder, tmp_path):
+    """The driver holds no list of files: it is stored by tasks, and equals what Spark's reader lists."""
+    (tmp_path / "inner" / "deep").mkdir()
+    (tmp_path / "inner" / "deep" / "last.png").write_bytes(HEADS["png"])
+    for hidden in (".dot.png", "_under.png", "now.png._COPYING_", "empty.png"):
+        (tmp_path / hidden).write_bytes(b"" if hidden == "empty.png" else HEADS["png"])
+    (tmp_path / "_a=b.png").write_bytes(HEADS["png"])
+    (tmp_path / "_hidden").mkdir()
+    (tmp_path / "_hidden" / "in.png").write_bytes(HEADS["png"])
+    (tmp_path / "nowhere.png").symlink_to(tmp_path / "missing.png")
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    for path in (folder, f"file://{folder}/"):
+        assert rows(list_files(spark, path)) == rows(image_files._named(image_files._read(spark, folder)))
+        assert len(rows(list_files(spark, path))) == 32
+    for df in (list_files(spark, folder), file_manifest(spark, folder, 1000)):
+        assert "binaryFile" not in scans(df) and "Format: BinaryFile" not in scans(df) and "Format: Parquet" in scans(df)
+    # one file or a pattern is left to Spark's reader
+    assert [r.stored_name for r in list_files(spark, f"{folder}/good.gif").collect()] == ["good.gif"]
+    assert list_files(spark, f"{folder}/good.*").count() == 5
+    with pytest.raises(Exception, match="PATH_NOT_FOUND"):
+        list_files(spark, f"{folder}/none")
+
+
+def test_an_empty_folder(spark, tmp_path):
+    assert list_files(spark, str(tmp_path)).count() == 0 and file_manifest(spark, str(tmp_path), 10).count() == 0
