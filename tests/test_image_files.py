@@ -81,5 +81,16 @@ def test_tasks_list_the_folder(spark, folder, tmp_path):
         list_files(spark, f"{folder}/none")
 
 
+def test_missing_files_of_a_listed_folder(spark, folder):
+    """The driver lists nothing; the listing meets the image rows in a join."""
+    from assaybook.sources.images import missing_files
+
+    names = ["good.gif", "gone.gif", "inner/UP.GIF", "UP.GIF", "", None, "a b%20+ü.png", "gone.gif"]
+    images = spark.createDataFrame(list(enumerate(names)), "id long, stored_name string")
+    lost = missing_files(images, list_files(spark, folder))
+    assert sorted(r.id for r in lost.collect()) == [1, 7]
+    assert "BinaryFile" not in scans(lost)
+
+
 def test_an_empty_folder(spark, tmp_path):
     assert list_files(spark, str(tmp_path)).count() == 0 and file_manifest(spark, str(tmp_path), 10).count() == 0
