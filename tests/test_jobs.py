@@ -92,6 +92,25 @@ def test_stream_equals_batch(spark, tmp_path):
     assert rows(streamed_tables(spark, str(out))["lab_reports"], "id", "report_no", "patient_name") == headers
 
 
+def test_a_batch_checks_its_bodies_once(spark, tmp_path, monkeypatch):
+    """Refused and accepted bodies are told apart on stored bodies, whose child lists are worked out."""
+    from assaybook.streaming import reports
+
+    src, out, read = tmp_path / "in.json", tmp_path / "out", []
+    src.write_text("\n".join([body(1), body(2, species="fish"), body(3, panel_ids=[9]), "{bad", body(4)]))
+
+    def accept(*args, **options):
+        accepted, refused = intake.accept_creates(*args, **options)
+        read.extend("".join(df.inputFiles()) for df in (accepted, refused))
+        return accepted, refused
+
+    monkeypatch.setattr(reports, "accept_creates", accept)
+    save_batch(spark.read.text(str(src)), 0, str(out), catalog(spark), 7, DAY)
+    assert len(read) == 2 and all("/_read/batch=0" in files and "/_bodies/" not in files for files in read)
+    assert rows(spark.read.parquet(f"{out}/rejects"), "reject_reason") == [("bad_json",), ("species_required",), ("unknown_panel",)]
+    assert rows(streamed_tables(spark, str(out))["lab_reports"], "id", "patient_name") == [(1, "Owner 1"), (2, "Owner 4")]
+
+
 def test_half_written_batch_is_not_seen(spark, tmp_path):
     src, out = tmp_path / "in.json", tmp_path / "out"
     src.write_text(body(1))
