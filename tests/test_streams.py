@@ -68,3 +68,28 @@ def test_bodies_sent_twice_are_saved_once(spark, tmp_path):
     saved = streamed_tables(spark, str(out))["lab_reports"].collect()
     assert sorted(r.patient_name for r in saved) == ["Owner 1", "Owner 2", "Owner 3", "Owner 4"]
     assert sorted(r.id for r in saved) == [1, 2, 3, 4] and len({r.report_no for r in saved}) == 4
+
+
+def test_hashes_of_bodies_are_kept_on_disk(spark, tmp_path):
+    """A new stream keeps its hashes on disk, one that began with Spark's default goes on with it; the session stays as it was."""
+    catalog = {
+        "lab_test_panels": conform(spark.createDataFrame([(1, "A")], "id BIGINT, code STRING"), "lab_test_panels"),
+        "lab_test_parameters": conform(spark.createDataFrame([(10, 1, "P")], "id BIGINT, panel_id BIGINT, code STRING"), "lab_test_parameters"),
+    }
+    body = lambda i: json.dumps({"patient_name": f"Owner {i}", "pet_name": "Rex", "species": "dog", "panel_ids": [1]})
+    provider = "spark.sql.streaming.stateStore.providerClass"
+    for first in ("RocksDBStateStoreProvider", "HDFSBackedStateStoreProvider"):
+        source, out = tmp_path / first / "in", tmp_path / first / "out"
+        source.mkdir(parents=True)
+        for name, numbers in {"a": [1, 2, 1], "b": [2, 3]}.items():
+            (source / f"{name}.json").write_text("\n".join(map(body, numbers)))
+            if name == "a" and first.startswith("HDFS"):
+                spark.conf.set(provider, f"org.apache.spark.sql.execution.streaming.state.{first}")
+            query = stream_reports(spark, str(source), str(out), catalog, 7, clock=lambda: "2026-03-05 10:00:00", once_within="1 hour")
+            query.awaitTermination()
+            spark.conf.unset(provider)
+            assert query.exception() is None
+        offsets = [f.read_text() for f in (out / "_checkpoint" / "offsets").iterdir() if f.name.isdigit()]
+        assert len(offsets) > 1 and all(first in o for o in offsets)
+        assert sorted(r.patient_name for r in streamed_tables(spark, str(out))["lab_reports"].collect()) == ["Owner 1", "Owner 2", "Owner 3"]
+        assert spark.conf.get(provider, None) is None
